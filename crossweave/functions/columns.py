@@ -85,7 +85,7 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     A nudge far below the last digit makes exact decimal ties round the same way
     whatever the order in which a sum was taken.
     """
-    nudge = 0.37 * 10.0 ** -(digits + 2)
+    nudge = 0.371728349 * 10.0 ** -(digits + 2)
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):

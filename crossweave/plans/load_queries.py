@@ -1,3 +1,3 @@
 """Import every query module once; importing registers its queries."""
 
-from . import q_price_volume  # noqa: F401
+from . import q_clean, q_price_volume, q_sources  # noqa: F401

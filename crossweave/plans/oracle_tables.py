@@ -97,6 +97,10 @@ SELECT trade_date, ts_code, round(100 * (avg(l_discount) - avg(l_tax)), 6) AS sc
 }
 
 
+# the panels round with the same nudge as the Spark side
+TABLES = {n: (deps, text.replace(", 6)", " + 3.71728349e-9, 6)")) for n, (deps, text) in TABLES.items()}
+
+
 def with_tables(body: str, needs: tuple[str, ...], doubles: tuple[str, ...], recursive: bool = False, digits: int = 6) -> str:
     """``body`` behind the tables it needs, floating outputs rounded.
 
@@ -123,7 +127,7 @@ def with_tables(body: str, needs: tuple[str, ...], doubles: tuple[str, ...], rec
         body = select
     if doubles:
         # the nudge settles decimal ties, adding 0.0 turns a negative zero into zero
-        nudge = f"{0.37 * 10.0 ** -(digits + 2):.2e}"
+        nudge = repr(0.371728349 * 10.0 ** -(digits + 2))
         reps = ", ".join(f"round({d} + {nudge}, {digits}) + 0.0 AS {d}" for d in doubles)
         body = f"SELECT * REPLACE ({reps}) FROM (\n{body})"
     if not ctes:

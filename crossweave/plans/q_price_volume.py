@@ -130,7 +130,7 @@ factor_query(
 )
 simple(
     "volume_price_trend", "W14", PV.volume_price_trend,
-    digits=4,
+    digits=2,
     sql_cols={
         "volume_price_trend": "CASE WHEN pct_chg IS NOT NULL THEN sum(vol * (pct_chg / 100.0)) "
         f"OVER ({BY} ROWS UNBOUNDED PRECEDING) END"

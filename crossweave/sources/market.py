@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_int, safe_div
@@ -50,6 +50,11 @@ REPORT_MIXES: dict[str, str] = {
 }
 
 
+def _r6(x) -> Column:
+    """Six digits; the nudge settles exact decimal ties whatever the summing order."""
+    return F.round((F.col(x) if isinstance(x, str) else x) + 3.71728349e-9, 6)
+
+
 class Market:
     """Lazy panels over one folder of order tables."""
 
@@ -89,15 +94,15 @@ class Market:
             self.lines()
             .groupBy("trade_date", "ts_code", "suppkey")
             .agg(
-                F.round(F.max("p"), 6).alias("high"),
-                F.round(F.min("p"), 6).alias("low"),
-                F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("close"),
+                _r6(F.max("p")).alias("high"),
+                _r6(F.min("p")).alias("low"),
+                _r6(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"),
                 F.round(F.sum("l_quantity"), 2).alias("vol"),
                 F.round(F.sum("l_extendedprice") / 1000, 5).alias("amount"),
             )
         )
         s = Series()
-        agg = agg.withColumn("open", F.round((F.col("high") + F.col("low")) / 2, 6))
+        agg = agg.withColumn("open", _r6((F.col("high") + F.col("low")) / 2))
         agg = agg.withColumn("pre_close", s.lag("close"))
         return agg.select(
             "trade_date",
@@ -107,8 +112,8 @@ class Market:
             "low",
             "close",
             "pre_close",
-            F.round(F.col("close") - F.col("pre_close"), 6).alias("change"),
-            F.round((F.col("close") / F.col("pre_close") - 1) * 100, 6).alias("pct_chg"),
+            _r6(F.col("close") - F.col("pre_close")).alias("change"),
+            _r6((F.col("close") / F.col("pre_close") - 1) * 100).alias("pct_chg"),
             "vol",
             "amount",
             "suppkey",
@@ -118,13 +123,13 @@ class Market:
         b = self.lines().select("trade_date", "ts_code", "suppkey").distinct()
         year = F.floor(F.col("trade_date") / 10000)
         factor = 1 + 0.1 * (year - 1995) * (F.col("suppkey") % 3)
-        return b.select("trade_date", "ts_code", F.round(factor, 6).alias("adj_factor"))
+        return b.select("trade_date", "ts_code", _r6(factor).alias("adj_factor"))
 
     def bars_adj(self) -> DataFrame:
         """Bars with the adjustment factor (same derivation, no join needed)."""
         year = F.floor(F.col("trade_date") / 10000)
         factor = 1 + 0.1 * (year - 1995) * (F.col("suppkey") % 3)
-        return self.bars().withColumn("adj_factor", F.round(factor, 6))
+        return self.bars().withColumn("adj_factor", _r6(factor))
 
     def moneyflow(self) -> DataFrame:
         """Buys and sells by order size."""
@@ -140,7 +145,7 @@ class Market:
             for b in ("sm", "md", "lg", "elg"):
                 hit = (F.col("_size") == b) & (F.col("l_linestatus") == status)
                 aggs.append(
-                    F.round(F.sum(F.when(hit, F.col("l_extendedprice")).otherwise(0.0)) / 10000, 6).alias(
+                    _r6(F.sum(F.when(hit, F.col("l_extendedprice")).otherwise(0.0)) / 10000).alias(
                         f"{side}_{b}_amount"
                     )
                 )
@@ -151,7 +156,7 @@ class Market:
 
         def net(kind):
             parts = [F.col(f"buy_{b}_{kind}") - F.col(f"sell_{b}_{kind}") for b in ("sm", "md", "lg", "elg")]
-            return F.round(parts[0] + parts[1] + parts[2] + parts[3], 6).alias(f"net_mf_{kind}")
+            return _r6(parts[0] + parts[1] + parts[2] + parts[3]).alias(f"net_mf_{kind}")
 
         return mf.select("*", net("amount"), net("vol"))
 
@@ -163,24 +168,24 @@ class Market:
             .withColumn("_qe", quarter_end)
             .groupBy("ts_code", "suppkey", "_qe")
             .agg(
-                F.round(100 * F.avg("l_discount"), 6).alias("roe"),
-                F.round(100 * F.avg("l_tax"), 6).alias("roa"),
-                F.round(100 * (1 - F.avg("l_discount") - F.avg("l_tax")), 6).alias("gross_margin"),
-                F.round(F.sum("l_extendedprice") / 100000, 6).alias("eps"),
+                _r6(100 * F.avg("l_discount")).alias("roe"),
+                _r6(100 * F.avg("l_tax")).alias("roa"),
+                _r6(100 * (1 - F.avg("l_discount") - F.avg("l_tax"))).alias("gross_margin"),
+                _r6(F.sum("l_extendedprice") / 100000).alias("eps"),
                 F.round(F.sum("l_extendedprice"), 2).alias("revenue"),
-                F.round(100 * F.avg((F.col("l_linestatus") == "F").cast("double")), 6).alias("debt_to_assets"),
+                _r6(100 * F.avg((F.col("l_linestatus") == "F").cast("double"))).alias("debt_to_assets"),
             )
         )
         s = Series("ts_code", "_qe")
         agg = agg.withColumns(
             {
-                "bps": F.round(F.sum("revenue").over(s.so_far) / 1000000, 6),
-                "or_yoy": F.round((safe_div("revenue", s.lag("revenue", 4)) - 1) * 100, 6),
+                "bps": _r6(F.sum("revenue").over(s.so_far) / 1000000),
+                "or_yoy": _r6((safe_div("revenue", s.lag("revenue", 4)) - 1) * 100),
                 "end_date": as_int(F.col("_qe")),
                 "ann_date": as_int(F.date_add(F.col("_qe"), (20 + F.col("suppkey") % 40).cast("int"))),
             }
         )
-        mixes = [F.round(F.expr(e), 6).alias(n) for n, e in REPORT_MIXES.items()]
+        mixes = [_r6(F.expr(e)).alias(n) for n, e in REPORT_MIXES.items()]
         return agg.select(
             "ts_code", "suppkey", "ann_date", "end_date", "roe", "roa", "gross_margin", "eps", "bps",
             "or_yoy", "debt_to_assets", "revenue", *mixes,
@@ -260,7 +265,7 @@ class Market:
         return (
             self.lines()
             .groupBy("trade_date", "ts_code")
-            .agg(F.round(100 * (F.avg("l_discount") - F.avg("l_tax")), 6).alias("score"))
+            .agg(_r6(100 * (F.avg("l_discount") - F.avg("l_tax"))).alias("score"))
         )
 
     def param_grid(self) -> DataFrame:
