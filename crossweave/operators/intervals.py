@@ -28,7 +28,8 @@ def daily_name_status(names: DataFrame, extend_to: int | None = None) -> DataFra
     iv = names.withColumns({"_end": F.coalesce("end_date", F.lit(known)), "_status": name_status("name")})
     iv = iv.where(F.col("_end") >= F.col("start_date"))
     days = F.sequence(as_date("start_date"), as_date("_end"))
-    events = iv.select("ts_code", "_status", "start_date", "ann_date", as_int(F.explode(days)).alias("trade_date"))
+    events = iv.select("ts_code", "_status", "start_date", "ann_date", F.explode(days).alias("_day"))
+    events = events.withColumn("trade_date", as_int(F.col("_day")))
     order = F.struct(F.col("start_date"), F.col("ann_date"), F.col("_status"))
     latest = events.groupBy("trade_date", "ts_code").agg(F.max_by("_status", order).alias("_status"))
     grid = dense_calendar(names, span["lo"], known)
@@ -63,9 +64,8 @@ def membership_snapshot(members: DataFrame, dates: DataFrame) -> DataFrame:
 
 def calendar_days(spark, start: int, end: int) -> DataFrame:
     """All days of a range."""
-    return spark.range(1).select(
-        as_int(F.explode(F.sequence(as_date(F.lit(start)), as_date(F.lit(end))))).alias("trade_date")
-    )
+    days = spark.range(1).select(F.explode(F.sequence(as_date(F.lit(start)), as_date(F.lit(end)))).alias("_day"))
+    return days.select(as_int(F.col("_day")).alias("trade_date"))
 
 
 def normalize_members(raw: DataFrame, level: str, src: str) -> DataFrame:

@@ -102,7 +102,8 @@ def align_weights(a: DataFrame, b: DataFrame, keys: Sequence[str], left: str = "
 def dense_calendar(codes: DataFrame, start: int, end: int, code_col: str = "ts_code") -> DataFrame:
     """Every calendar day for every code: each code row unfolds its own day sequence."""
     days = F.sequence(as_date(F.lit(start)), as_date(F.lit(end)))
-    return codes.select(code_col).distinct().select(as_int(F.explode(days)).alias("trade_date"), code_col)
+    unfolded = codes.select(code_col).distinct().select(F.explode(days).alias("_day"), code_col)
+    return unfolded.select(as_int(F.col("_day")).alias("trade_date"), code_col)
 
 
 def signal_dates(trade_dates: DataFrame, signal: DataFrame, delay: int = 1) -> DataFrame:
