@@ -203,9 +203,9 @@ def with_quantiles(df, x, keys, quantiles, group_rows=None, tiebreak="ts_code",
         q = group_quantiles(df.withColumn("_all", F.lit(0)), x, ["_all"], quantiles, tiebreak, group_rows, limit, slice_rows)
         return df.withColumn("_all", F.lit(0)).join(F.broadcast(q), "_all", "left").drop("_all")
     if fits_one_task(df, keys, group_rows, limit):
-        w = Window.partitionBy(*keys)
-        return df.withColumns(
-            {n: F.percentile(F.col(x), F.lit(float(q))).over(w) for n, q in quantiles.items()}
-        )
+        # one pass over the group's values for all quantiles
+        qs = F.array(*[F.lit(float(q)) for q in quantiles.values()])
+        df = df.withColumn("_q", F.percentile(F.col(x), qs).over(Window.partitionBy(*keys)))
+        return df.withColumns({n: F.get("_q", F.lit(i)) for i, n in enumerate(quantiles)}).drop("_q")
     q = group_quantiles(df, x, keys, quantiles, tiebreak, group_rows, limit, slice_rows)
     return df.join(q, keys, "left")

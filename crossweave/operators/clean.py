@@ -173,18 +173,23 @@ def drop_benchmark_category(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def session_returns(bars: DataFrame, lo: float = -0.35, hi: float = 0.60) -> DataFrame:
-    """Full-day, overnight and intraday return, clipped; and the raw opening gap."""
-    full = safe_div("close", "pre_close") - 1
-    gap = safe_div("open", "pre_close") - 1
-    intraday = safe_div("close", "open") - 1
-    return bars.withColumns(
+    """Full-day, overnight and intraday return, clipped, and the opening gap in percent.
+
+    A gap or intraday move without two positive prices is zero.
+    """
+
+    def move(a: str, b: str) -> Column:
+        usable = (F.col(a) > 0) & (F.col(b) > 0)
+        return F.when(usable, clip(safe_div(F.col(a) - F.col(b), b), lo, hi)).otherwise(0.0)
+
+    df = bars.withColumns(
         {
-            "full_ret": clip(full, lo, hi),
-            "gap_ret": clip(gap, lo, hi),
-            "intraday_ret": clip(intraday, lo, hi),
-            "open_gap_pct": gap * 100,
+            "full_ret": clip(F.col("pct_chg") / 100.0, lo, hi),
+            "gap_ret": move("open", "pre_close"),
+            "intraday_ret": move("close", "open"),
         }
     )
+    return df.withColumn("open_gap_pct", F.col("gap_ret") * 100.0)
 
 
 def is_st(st: str = "st_stock", star: str = "star_st_stock") -> Column:

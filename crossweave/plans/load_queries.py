@@ -1,3 +1,3 @@
 """Import every query module once; importing registers its queries."""
 
-from . import q_aggregates, q_clean, q_fundamental, q_joins, q_moneyflow, q_price_volume, q_sources  # noqa: F401
+from . import q_aggregates, q_clean, q_cross_section, q_fundamental, q_ic, q_joins, q_moneyflow, q_price_volume, q_sources  # noqa: F401

@@ -286,9 +286,10 @@ def _(m):
 
 @query(
     "session_returns", "P27", needs="bars", doubles="full_ret gap_ret intraday_ret open_gap_pct",
-    sql="""SELECT trade_date, ts_code, CASE WHEN pre_close IS NOT NULL THEN least(greatest(close / pre_close - 1, -0.35), 0.60) END AS full_ret,
-      CASE WHEN pre_close IS NOT NULL THEN least(greatest(open / pre_close - 1, -0.35), 0.60) END AS gap_ret,
-      least(greatest(close / nullif(open, 0) - 1, -0.35), 0.60) AS intraday_ret, (open / pre_close - 1) * 100 AS open_gap_pct FROM bars""",
+    sql="""SELECT trade_date, ts_code, full_ret, gap_ret, intraday_ret, gap_ret * 100 AS open_gap_pct FROM (SELECT trade_date, ts_code,
+      CASE WHEN pct_chg IS NOT NULL THEN least(greatest(pct_chg / 100.0, -0.35), 0.60) END AS full_ret,
+      CASE WHEN pre_close > 0 AND open > 0 THEN least(greatest((open - pre_close) / pre_close, -0.35), 0.60) ELSE 0.0 END AS gap_ret,
+      CASE WHEN close > 0 AND open > 0 THEN least(greatest((close - open) / open, -0.35), 0.60) ELSE 0.0 END AS intraday_ret FROM bars)""",
 )
 def _(m):
     return C.session_returns(m.bars()).select("trade_date", "ts_code", "full_ret", "gap_ret", "intraday_ret", "open_gap_pct")
