@@ -196,16 +196,40 @@ def group_quantiles(
 
 
 def with_quantiles(df, x, keys, quantiles, group_rows=None, tiebreak="ts_code", limit=None, slice_rows=None) -> DataFrame:
-    """Add the group's quantiles to every row."""
+    """Add the group's quantiles of one column to every row."""
+    return with_column_quantiles(df, {x: quantiles}, keys, group_rows, tiebreak, limit, slice_rows)
+
+
+def with_column_quantiles(
+    df: DataFrame,
+    wanted: Mapping[str, Mapping[str, float]],
+    keys: Sequence[str] | str,
+    group_rows: int | None = None,
+    tiebreak: str | Sequence[str] = "ts_code",
+    limit: int | None = None,
+    slice_rows: int | None = None,
+) -> DataFrame:
+    """Add quantiles of several columns: column → {output name: quantile}.
+
+    Groups that fit one task share a single window; no key means the whole table.
+    """
     keys = _keys(keys)
     if not keys:
-        # one global row of quantiles, attached over a constant key
-        q = group_quantiles(df.withColumn("_all", F.lit(0)), x, ["_all"], quantiles, tiebreak, group_rows, limit, slice_rows)
-        return df.withColumn("_all", F.lit(0)).join(F.broadcast(q), "_all", "left").drop("_all")
+        df = df.withColumn("_all", F.lit(0))
+        for x, qs in wanted.items():
+            # one row of quantiles, attached over a constant key
+            q = group_quantiles(df, x, ["_all"], qs, tiebreak, group_rows, limit, slice_rows)
+            df = df.join(F.broadcast(q), "_all", "left")
+        return df.drop("_all")
     if fits_one_task(df, keys, group_rows, limit):
-        # one pass over the group's values for all quantiles
-        qs = F.array(*[F.lit(float(q)) for q in quantiles.values()])
-        df = df.withColumn("_q", F.percentile(F.col(x), qs).over(Window.partitionBy(*keys)))
-        return df.withColumns({n: F.get("_q", F.lit(i)) for i, n in enumerate(quantiles)}).drop("_q")
-    q = group_quantiles(df, x, keys, quantiles, tiebreak, group_rows, limit, slice_rows)
-    return df.join(q, keys, "left")
+        w = Window.partitionBy(*keys)
+        arrays = {
+            f"_q{i}": F.percentile(F.col(x), F.array(*[F.lit(float(q)) for q in qs.values()])).over(w)
+            for i, (x, qs) in enumerate(wanted.items())
+        }
+        df = df.withColumns(arrays)
+        out = {n: F.get(f"_q{i}", F.lit(k)) for i, qs in enumerate(wanted.values()) for k, n in enumerate(qs)}
+        return df.withColumns(out).drop(*arrays)
+    for x, qs in wanted.items():
+        df = _null_safe_join(df, group_quantiles(df, x, keys, qs, tiebreak, group_rows, limit, slice_rows), keys)
+    return df

@@ -288,3 +288,97 @@ def regression_error(df: DataFrame, pred: str = "score", label: str = "label") -
     )
 
 
+
+
+def nav_performance(nav: DataFrame, value: str = "nav", ret: str = "ret", ann: float = 252.0) -> DataFrame:
+    """Metrics of a value series with calendar years, and Sharpe from the annual return."""
+    w = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    df = nav.withColumn("_dd", F.col(value) / F.max(value).over(w) - 1)
+    down = F.when(F.col(ret) < 0, F.col(ret))
+    g = df.agg(
+        F.min_by(value, "trade_date").alias("_first"),
+        F.max_by(value, "trade_date").alias("_last"),
+        F.datediff(as_date(F.max("trade_date")), as_date(F.min("trade_date"))).alias("_days"),
+        F.stddev_samp(ret).alias("_sd"),
+        F.when(F.count(down) > 1, F.stddev_samp(down)).alias("_dsd"),
+        F.min("_dd").alias("max_drawdown"),
+        F.avg((F.col(ret) > 0).cast("double")).alias("win_rate"),
+        F.count("*").alias("n_trading_days"),
+    )
+    total = F.col("_last") / F.col("_first") - 1
+    years = F.col("_days") / F.lit(365.25)
+    g = g.withColumn("total_return", total)
+    g = g.withColumns(
+        {
+            "annual_return": F.when(years > 0, F.pow(1 + F.col("total_return"), 1 / years) - 1).otherwise(0.0),
+            "annual_volatility": F.col("_sd") * F.sqrt(F.lit(ann)),
+        }
+    )
+    down_vol = F.coalesce(F.col("_dsd") * F.sqrt(F.lit(ann)), F.col("annual_volatility"))
+    zero = F.lit(0.0)
+    return g.withColumns(
+        {
+            "sharpe_ratio": F.coalesce(safe_div("annual_return", "annual_volatility"), zero),
+            "sortino_ratio": F.coalesce(safe_div("annual_return", down_vol), zero),
+            "calmar_ratio": F.when(
+                F.col("max_drawdown") < 0, safe_div("annual_return", F.abs("max_drawdown"))
+            ).otherwise(0.0),
+        }
+    ).drop("_first", "_last", "_days", "_sd", "_dsd")
+
+
+def account_performance(report: DataFrame, initial: float, ann: float = 252.0) -> DataFrame:
+    """Metrics of an account report with activity and cost totals."""
+    w = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    df = report.withColumn("_dd", F.col("account_value") / F.max("account_value").over(w) - 1)
+    r = F.col("return")
+    down = F.when(r < 0, r)
+    g = df.agg(
+        F.count("return").alias("trading_days"),
+        F.max_by("account_value", "trade_date").alias("final_value"),
+        F.stddev_samp("return").alias("_sd"),
+        F.stddev_samp(down).alias("_dsd"),
+        F.min("_dd").alias("max_drawdown"),
+        F.avg((r > 0).cast("double")).alias("win_rate"),
+        F.avg("return").alias("mean_daily_return"),
+        F.max("return").alias("best_daily_return"),
+        F.min("return").alias("worst_daily_return"),
+        F.avg("turnover").alias("mean_turnover"),
+        F.sum("cost").alias("total_cost"),
+        F.sum((F.col("turnover") > 0).cast("int")).alias("active_days"),
+    )
+    g = g.withColumn("total_return", F.col("final_value") / initial - 1)
+    g = g.withColumns(
+        {
+            "annualized_return": F.pow(1 + F.col("total_return"), F.lit(ann) / F.col("trading_days")) - 1,
+            "annualized_volatility": F.col("_sd") * F.sqrt(F.lit(ann)),
+        }
+    )
+    return g.withColumns(
+        {
+            "sharpe": safe_div("annualized_return", "annualized_volatility"),
+            "sortino": safe_div("annualized_return", F.col("_dsd") * F.sqrt(F.lit(ann))),
+            "calmar": safe_div("annualized_return", F.abs("max_drawdown")),
+        }
+    ).drop("_sd", "_dsd")
+
+
+def yearly_performance(report: DataFrame, value: str = "account_value", min_rows: int = 5, ann: float = 252.0) -> DataFrame:
+    """Return, Sharpe and drawdown of each calendar year with enough dates."""
+    df = report.withColumn("year", F.floor(F.col("trade_date") / 10000).cast("int"))
+    y = Window.partitionBy("year").orderBy("trade_date")
+    peak = F.max(value).over(y.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumns({"_r": safe_div(value, F.lag(value).over(y)) - 1, "_dd": (F.col(value) - peak) / peak})
+    g = df.groupBy("year").agg(
+        F.count("*").alias("trading_days"),
+        (F.max_by(value, "trade_date") / F.min_by(value, "trade_date") - 1).alias("total_return"),
+        F.avg("_r").alias("_m"),
+        F.stddev_samp("_r").alias("_s"),
+        F.min("_dd").alias("max_drawdown"),
+    ).where(F.col("trading_days") >= min_rows)
+    return g.withColumns(
+        {
+            "annual_return": F.col("total_return") * ann / F.col("trading_days"),
+            "sharpe": F.coalesce(safe_div("_m", "_s") * F.sqrt(F.lit(ann)), F.lit(0.0)),
+        }
+    ).drop("_m", "_s")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, row_mean, safe_div, to_numeric
-from ..functions.groups import _null_safe_join, average_rank, group_stats, with_quantiles
+from ..functions.groups import _null_safe_join, average_rank, group_stats, with_column_quantiles
 from ..functions.rolling import Series
 
 DATE = "trade_date"
@@ -24,14 +24,16 @@ def winsorize(
     group_rows: int | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Clip to the group's ``q`` and ``1-q`` quantiles; groups below ``min_count`` values stay as they are."""
+    wanted = {c: {f"_lo_{c}": q, f"_hi_{c}": 1 - q} for c in cols}
+    df = with_column_quantiles(df, wanted, keys, group_rows, limit=limit)
+    counts = {f"_n_{c}": F.count(c) for c in cols} if min_count else {}
+    if counts:
+        df = group_stats(df, keys, counts, group_rows, limit)
+    out = {}
     for c in cols:
-        df = with_quantiles(df, c, keys, {"_lo": q, "_hi": 1 - q}, group_rows, limit=limit)
-        clipped = clip(c, F.col("_lo"), F.col("_hi"))
-        if min_count:
-            df = group_stats(df, keys, {"_n": F.count(c)}, group_rows, limit)
-            clipped = F.when(F.col("_n") >= min_count, clipped).otherwise(F.col(c))
-        df = df.withColumn(c, clipped).drop("_lo", "_hi", "_n")
-    return df
+        clipped = clip(c, F.col(f"_lo_{c}"), F.col(f"_hi_{c}"))
+        out[c] = F.when(F.col(f"_n_{c}") >= min_count, clipped).otherwise(F.col(c)) if min_count else clipped
+    return df.withColumns(out).drop(*[n for qs in wanted.values() for n in qs], *counts)
 
 
 def zscore(
@@ -142,15 +144,21 @@ def industry_concentration(
     return df.withColumn("industry_concentration", safe_div(F.lit(1.0), F.col("_n").cast("double"))).drop("_n")
 
 
-def composite(
-    df: DataFrame, parts: Sequence[str], out: str, group_rows: int | None = None, limit: int | None = None
+def composites(
+    df: DataFrame, parts: Mapping[str, Sequence[str]], group_rows: int | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Mean of clipped, standardised components; a missing one is skipped."""
-    tmp = {f"_c_{p}": F.col(p) for p in parts}
+    """Scores as means of clipped, standardised components; a missing component is skipped."""
+    tmp = {f"_c_{p}": F.col(p) for cols in parts.values() for p in cols}
     df = df.withColumns(tmp)
     df = winsorize(df, list(tmp), min_count=3, group_rows=group_rows, limit=limit)
     df = zscore(df, list(tmp), group_rows=group_rows, limit=limit)
-    return df.withColumn(out, row_mean(list(tmp))).drop(*tmp)
+    return df.withColumns({out: row_mean([f"_c_{p}" for p in cols]) for out, cols in parts.items()}).drop(*tmp)
+
+
+def composite(
+    df: DataFrame, parts: Sequence[str], out: str, group_rows: int | None = None, limit: int | None = None
+) -> DataFrame:
+    return composites(df, {out: parts}, group_rows, limit)
 
 
 def industry_zscore(
@@ -173,7 +181,8 @@ def industry_zscore(
 
 
 def group_least_squares(
-    df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (DATE,), weight: str | None = None, min_rows: int = 0
+    df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (DATE,), weight: str | None = None, min_rows: int = 0,
+    group_rows: int | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Minimum-norm weighted least squares with intercept, one row of coefficients per group.
 
@@ -184,8 +193,8 @@ def group_least_squares(
     """
     keys, xs = list(keys), list(xs)
     w = F.col(weight) if weight else F.lit(1.0)
-    active = df.groupBy(*keys).agg(*[(F.count(x) > 0).alias(f"_a_{x}") for x in xs])
-    df = _null_safe_join(df, active, keys)
+    df = group_stats(df, keys, {f"_a_{x}": F.count(x) for x in xs}, group_rows, limit)
+    df = df.withColumns({f"_a_{x}": F.coalesce(F.col(f"_a_{x}") > 0, F.lit(False)) for x in xs})
     complete = F.col(y).isNotNull() & (w > 0)
     for x in xs:
         complete = complete & (F.col(x).isNotNull() | ~F.col(f"_a_{x}"))
@@ -232,11 +241,14 @@ def group_least_squares(
 
 def least_squares_residual(
     df: DataFrame, y: str, xs: Sequence[str], out: str, keys: Sequence[str] = (DATE,), weight: str | None = None,
-    min_rows: int = 0, fallback: str = "null", coefficients: DataFrame | None = None,
+    min_rows: int = 0, fallback: str = "null", coefficients: DataFrame | None = None, group_rows: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """``y`` less its fit per group; ``fallback='keep'`` leaves ``y`` where there was no fit."""
     keys, xs = list(keys), list(xs)
-    fit = coefficients if coefficients is not None else group_least_squares(df, y, xs, keys, weight, min_rows)
+    fit = coefficients
+    if fit is None:
+        fit = group_least_squares(df, y, xs, keys, weight, min_rows, group_rows, limit)
     joined = _null_safe_join(df, fit.withColumnRenamed("n_rows", "_fit_rows"), keys)
     pred = F.col("intercept")
     for x in xs:
@@ -249,9 +261,13 @@ def least_squares_residual(
     return joined.withColumn(out, res).drop("_fit_rows", "intercept", *[f"b_{x}" for x in xs])
 
 
-def neutralize_styles(df: DataFrame, y: str, styles: Sequence[str], out: str) -> DataFrame:
+def neutralize_styles(
+    df: DataFrame, y: str, styles: Sequence[str], out: str, group_rows: int | None = None, limit: int | None = None
+) -> DataFrame:
     """Score less its linear dependence on style exposures; rows without exposures keep their score."""
-    return least_squares_residual(df, y, styles, out, min_rows=len(styles) + 2, fallback="keep")
+    return least_squares_residual(
+        df, y, styles, out, min_rows=len(styles) + 2, fallback="keep", group_rows=group_rows, limit=limit
+    )
 
 
 def standardize_alpha(
@@ -267,7 +283,7 @@ def standardize_alpha(
         df = group_stats(df, [DATE, "_ind"], {"_m": F.avg(out)}, group_rows, limit)
         df = df.withColumn(out, F.col(out) - F.coalesce("_m", F.lit(0.0))).drop("_ind", "_m")
     if styles:
-        df = neutralize_styles(df, out, styles, out)
+        df = neutralize_styles(df, out, styles, out, group_rows, limit)
     if method == "rank":
         df = average_rank(df, out, DATE, "_rank", pct=True, group_rows=group_rows, limit=limit)
         df = df.withColumn(out, F.col("_rank")).drop("_rank")

@@ -216,7 +216,7 @@ def scored_styles(m):
             FROM ({_SX}) GROUP BY trade_date) c ON c.trade_date = x.trade_date""",
 )
 def _(m):
-    return X.neutralize_styles(scored_styles(m), "score", ["vol"], "residual").select(*KEYS, "residual")
+    return X.neutralize_styles(scored_styles(m), "score", ["vol"], "residual", m.names).select(*KEYS, "residual")
 
 
 @query("style_residual_two_factors", "X13 X12")
