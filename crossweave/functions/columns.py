@@ -57,19 +57,23 @@ def is_blank(x: Column | str) -> Column:
 def yyyymmdd(x: Column | str) -> Column:
     """INT date from text, int or float text; null where it is no calendar date."""
     text = F.regexp_replace(F.trim(col(x).cast("string")), r"\.0$", "")
-    ok = text.rlike(r"^\d{8}$")
-    day = F.try_to_date(F.when(ok, text), "yyyyMMdd")
-    return F.date_format(day, "yyyyMMdd").cast("int")
+    number = F.when(text.rlike(r"^\d{8}$"), text).try_cast("int")
+    valid = F.try_to_date(number.cast("string"), "yyyyMMdd")
+    return F.when(valid.isNotNull(), number)
+
+
+def _ymd(d: Column) -> tuple[Column, Column, Column]:
+    return (d / 10000).cast("int"), (d / 100 % 100).cast("int"), (d % 100).cast("int")
 
 
 def as_date(x: Column | str) -> Column:
-    """DATE of a YYYYMMDD integer."""
-    return F.to_date(col(x).cast("string"), "yyyyMMdd")
+    """DATE of a valid YYYYMMDD integer: plain arithmetic, no text is parsed."""
+    return F.make_date(*_ymd(col(x)))
 
 
 def as_int(d: Column) -> Column:
     """YYYYMMDD integer of a DATE."""
-    return F.date_format(d, "yyyyMMdd").cast("int")
+    return (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("int")
 
 
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:

@@ -18,9 +18,13 @@ from .columns import col, safe_div
 
 class Series:
     def __init__(self, keys: Sequence[str] | str = "ts_code", order: Sequence[str] | str = "trade_date"):
-        keys = [keys] if isinstance(keys, str) else list(keys)
-        order = [order] if isinstance(order, str) else list(order)
-        self.spec: WindowSpec = Window.partitionBy(*keys).orderBy(*order)
+        self.keys = [keys] if isinstance(keys, str) else list(keys)
+        self.order = [order] if isinstance(order, str) else list(order)
+
+    @property
+    def spec(self) -> WindowSpec:
+        # built on use: a window needs a running session, importing this module does not
+        return Window.partitionBy(*self.keys).orderBy(*self.order)
 
     def frame(self, start: int, end: int = 0) -> WindowSpec:
         return self.spec.rowsBetween(start, end)

@@ -280,16 +280,15 @@ def compare_metrics(base: DataFrame, new: DataFrame, columns: Sequence[str]) ->
     return a.join(b, "metric", "full_outer").withColumn("diff", F.col("new") - F.col("base"))
 
 
-def regression_error(df: DataFrame, pred: str = "score", label: str = "label") -> DataFrame:
+def regression_error(df: DataFrame, pred: str = "score", label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
     """Root mean squared error and pooled correlation."""
     d = F.col(pred) - F.col(label)
-    return df.where(F.col(pred).isNotNull() & F.col(label).isNotNull()).agg(
+    v = df.where(F.col(pred).isNotNull() & F.col(label).isNotNull())
+    return (v.groupBy(*keys) if keys else v).agg(
         F.sqrt(F.avg(d * d)).alias("rmse"), pair_corr(pred, label).alias("pooled_ic"), F.count("*").alias("rows")
     )
 
 
-
-
 def nav_performance(nav: DataFrame, value: str = "nav", ret: str = "ret", ann: float = 252.0) -> DataFrame:
     """Metrics of a value series with calendar years, and Sharpe from the annual return."""
     w = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)

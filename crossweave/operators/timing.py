@@ -15,7 +15,11 @@ from ..functions.columns import as_date, clip, safe_div
 from ..functions.groups import group_stats, order_position
 
 DATE = "trade_date"
-WHOLE = Window.orderBy(DATE)
+
+
+def whole():
+    """The series in date order."""
+    return Window.orderBy(DATE)
 
 
 def _day(c: str = DATE) -> Column:
@@ -24,13 +28,13 @@ def _day(c: str = DATE) -> Column:
 
 def curves(report: DataFrame, columns, account: float = 1.0) -> DataFrame:
     """Compounded curves of several return columns, starting at ``account``."""
-    w = WHOLE.rowsBetween(Window.unboundedPreceding, 0)
+    w = whole().rowsBetween(Window.unboundedPreceding, 0)
     return report.withColumns({f"{c}_curve": account * F.product(1 + F.coalesce(c, F.lit(0.0))).over(w) for c in columns})
 
 
 def drawdown_interval(curve: DataFrame, value: str = "nav") -> DataFrame:
     """Depth, peak date and trough date of the deepest fall (first of equals)."""
-    w = WHOLE.rowsBetween(Window.unboundedPreceding, 0)
+    w = whole().rowsBetween(Window.unboundedPreceding, 0)
     top = F.max(F.struct(F.col(value), -F.col(DATE))).over(w)
     df = curve.withColumn("_top", top)
     df = df.select(DATE, (F.col(value) / F.col("_top")[value] - 1).alias("depth"), (-F.col("_top").getField("col2")).alias("peak"))
@@ -52,7 +56,7 @@ def trend_position(
     """
     days = lookback_days or 3 * ma
     known = bench.where(F.col(r).isNotNull()).withColumn("_d", _day())
-    nav = F.product(1 + F.col(r)).over(WHOLE.rowsBetween(Window.unboundedPreceding, 0))
+    nav = F.product(1 + F.col(r)).over(whole().rowsBetween(Window.unboundedPreceding, 0))
     df = known.withColumn("_nav", nav)
     hist = F.collect_list("_nav").over(Window.orderBy("_d").rangeBetween(-days, -1))
     df = df.withColumn("_h", hist).withColumn("_n", F.size("_h"))
@@ -84,7 +88,7 @@ def target_vol_position(
     enough = F.count(r).over(past) >= max(5, lookback // 2)
     df = known.withColumn("_vol", F.when(enough, F.stddev_samp(r).over(past)) * F.sqrt(F.lit(252.0)))
     valid = df.where(F.col("_vol") > 0)
-    recent = WHOLE.rowsBetween(-(min(smooth, lookback) - 1), 0)
+    recent = whole().rowsBetween(-(min(smooth, lookback) - 1), 0)
     valid = valid.select(DATE, clip(safe_div(F.lit(target), F.avg("_vol").over(recent)), low, high).alias("_p"))
     return known.select(DATE).join(valid, DATE, "left").select(DATE, F.coalesce("_p", F.lit(high)).alias("position"))
 
@@ -116,11 +120,11 @@ def dispersion_position(
     relative: bool = False,
 ) -> DataFrame:
     """Position by smoothed dispersion, absolute or as a percentile of its own history."""
-    recent = WHOLE.rowsBetween(-(min(smooth, lookback) - 1), 0)
+    recent = whole().rowsBetween(-(min(smooth, lookback) - 1), 0)
     df = disp.withColumn("_s", F.avg("dispersion").over(recent))
     if not relative:
         return df.select(DATE, _ramp(F.col("_s"), *bounds, low, high).alias("position"))
-    w = WHOLE.rowsBetween(-(lookback - 1), 0)
+    w = whole().rowsBetween(-(lookback - 1), 0)
     df = df.withColumn("_h", F.collect_list("dispersion").over(w))
     below = F.size(F.filter("_h", lambda v: v < F.col("_s"))) / F.size("_h")
     size = F.when(F.size("_h") >= max(10, lookback // 3), _ramp(below, *bounds, low, high)).otherwise(high)
@@ -149,7 +153,7 @@ def threshold_position(
 
 def vol_regime_scale(bench: DataFrame, r: str, n: int, low_at: float, high_at: float, low_scale: float, high_scale: float) -> DataFrame:
     """Scale by the population deviation of the last ``n`` market returns; 1 until there are ``n``."""
-    w = WHOLE.rowsBetween(-(n - 1), 0)
+    w = whole().rowsBetween(-(n - 1), 0)
     v = F.when(F.count(r).over(w) >= n, F.stddev_pop(r).over(w))
     scale = F.when(v < low_at, low_scale).when(v > high_at, high_scale).otherwise(1.0)
     return bench.where(F.col(r).isNotNull()).select(DATE, scale.cast("double").alias("scale"))
@@ -160,7 +164,7 @@ def ic_momentum_scale(
 ) -> DataFrame:
     """Scale by the mean of the last ``n`` daily coefficients of dates with enough names."""
     usable = ic.where(F.col("count") >= min_names)
-    w = WHOLE.rowsBetween(-(n - 1), 0)
+    w = whole().rowsBetween(-(n - 1), 0)
     mean = F.avg("ic").over(w)
     share = clip((mean - threshold) / width, 0.0, 1.0)
     ready = (F.count(F.lit(1)).over(w) >= n) & mean.isNotNull()
@@ -184,7 +188,7 @@ def rebalance_dates(dates: DataFrame, freq: str | int) -> DataFrame:
     hit = None if word in DAILY else EVERY_N.fullmatch(word)
     if hit and int(hit.group(1)) > 0:
         step = int(hit.group(1))
-        return d.withColumn("_i", F.row_number().over(WHOLE)).where((F.col("_i") - 1) % step == 0).select(DATE)
+        return d.withColumn("_i", F.row_number().over(whole())).where((F.col("_i") - 1) % step == 0).select(DATE)
     return d
 
 
@@ -197,7 +201,7 @@ def smooth_scores(scores: DataFrame, x: str, out: str, span: int) -> DataFrame:
 
 def realised_portfolio_vol(bench: DataFrame, r: str, n: int = 20, m: int = 10) -> DataFrame:
     """Deviation of the next ``n`` returns of a date-level series; null where it ends before."""
-    w = WHOLE.rowsBetween(0, n - 1)
+    w = whole().rowsBetween(0, n - 1)
     full = F.count(F.lit(1)).over(w) == n
     return bench.select(
         DATE, F.when(full & (F.count(r).over(w) >= max(2, m)), F.stddev_samp(r).over(w)).alias("realised_vol")

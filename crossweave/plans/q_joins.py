@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import intervals as I
 from ..operators import joins as J
+from ..sources.market import _code, _r6
 from .registry import query
 
 
@@ -100,15 +101,10 @@ PRED_LABEL = """SELECT s.trade_date, s.ts_code, s.score, l.label FROM scores s J
 
 def horizon_scores(m):
     """Three model scores per row, as three separate tables joined on the key."""
-    s = m.scores()
     h = [
-        s.select("trade_date", "ts_code", F.col("score").alias("score_1d")),
-        m.lines().groupBy("trade_date", "ts_code").agg(
-            F.round(F.avg("l_quantity") + 3.71728349e-9, 6).alias("score_5d")
-        ),
-        m.lines().groupBy("trade_date", "ts_code").agg(
-            F.round(F.max("l_discount") * 100 + F.avg("l_tax") + 3.71728349e-9, 6).alias("score_20d")
-        ),
+        m.scores().withColumnRenamed("score", "score_1d"),
+        m._panel({"score_5d": _r6(F.avg("l_quantity"))}),
+        m._panel({"score_20d": _r6(F.max("l_discount") * 100 + F.avg("l_tax"))}),
     ]
     df = h[0]
     for t in h[1:]:
@@ -280,7 +276,7 @@ def _basics(m):
         m.table("supplier")
         .join(n, F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
-            F.format_string("S%06d", F.col("s_suppkey")).alias("ts_code"),
+            _code("s_suppkey").alias("ts_code"),
             F.col("n_name").alias("secondary"),
             F.lit(19960101).alias("list_date"),
         )

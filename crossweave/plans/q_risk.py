@@ -384,7 +384,7 @@ def _(m):
 
     s = market_series(m)
     r6 = lambda c: F.round(F.col(c) + 3.71728349e-9, 6)
-    past = TM.WHOLE.rowsBetween(-19, 0)
+    past = TM.whole().rowsBetween(-19, 0)
     pred = s.select("trade_date", F.when(F.count("r").over(past) >= 10, F.stddev_samp("r").over(past)).alias("p"))
     df = pred.join(TM.realised_portfolio_vol(s, "r"), "trade_date").select("trade_date", r6("p").alias("p"), r6("realised_vol").alias("r"))
     return R.forecast_validation(df, "p", "r", group_rows=100_000)

@@ -55,28 +55,35 @@ def _r6(x) -> Column:
     return F.round((F.col(x) if isinstance(x, str) else x) + 3.71728349e-9, 6)
 
 
+def _code(suppkey) -> Column:
+    """Instrument code: the key padded to at least six digits."""
+    k = F.col(suppkey).cast("string")
+    return F.concat(F.lit("S"), F.when(F.length(k) < 6, F.lpad(k, 6, "0")).otherwise(k))
+
+
 class Market:
     """Lazy panels over one folder of order tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._tables[name]
 
     @cached_property
     def names(self) -> int:
         """Number of instruments: proven bound on the rows of one date (a footer count)."""
         return self.table("supplier").count()
 
-    def lines(self) -> DataFrame:
-        """Order lines with week, instrument code and unit price."""
+    def _weekly(self) -> DataFrame:
+        """Order lines with their week; codes and integer dates are formed after aggregation."""
         li = self.table("lineitem")
-        day = F.col("l_shipdate").cast("date")
         return li.select(
-            as_int(F.date_trunc("week", day).cast("date")).alias("trade_date"),
-            F.format_string("S%06d", F.col("l_suppkey")).alias("ts_code"),
+            F.date_trunc("week", "l_shipdate").cast("date").alias("week"),
             F.col("l_suppkey").alias("suppkey"),
             "l_quantity",
             "l_extendedprice",
@@ -85,21 +92,42 @@ class Market:
             "l_returnflag",
             "l_linestatus",
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"),
-            day.alias("ship_day"),
+            F.col("l_shipdate").cast("date").alias("ship_day"),
         )
 
+    def lines(self) -> DataFrame:
+        """Order lines with trade date, instrument code and unit price."""
+        return self._weekly().select(
+            as_int(F.col("week")).alias("trade_date"),
+            _code("suppkey").alias("ts_code"),
+            "suppkey",
+            "l_quantity",
+            "l_extendedprice",
+            "l_discount",
+            "l_tax",
+            "l_returnflag",
+            "l_linestatus",
+            "p",
+            "ship_day",
+        )
+
+    def _panel(self, aggs, keep=()) -> DataFrame:
+        """One aggregation of the lines per (week, supplier), keyed by date and code."""
+        by_key = self._weekly().groupBy("week", "suppkey")
+        g = by_key.agg(*[a.alias(n) for n, a in aggs.items()]) if aggs else by_key.count()
+        return g.select(as_int(F.col("week")).alias("trade_date"), _code("suppkey").alias("ts_code"), *keep, *aggs)
+
     def bars(self) -> DataFrame:
         """Weekly bars: trade_date, ts_code, open … amount, suppkey."""
-        agg = (
-            self.lines()
-            .groupBy("trade_date", "ts_code", "suppkey")
-            .agg(
-                _r6(F.max("p")).alias("high"),
-                _r6(F.min("p")).alias("low"),
-                _r6(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"),
-                F.round(F.sum("l_quantity"), 2).alias("vol"),
-                F.round(F.sum("l_extendedprice") / 1000, 5).alias("amount"),
-            )
+        agg = self._panel(
+            {
+                "high": _r6(F.max("p")),
+                "low": _r6(F.min("p")),
+                "close": _r6(F.sum("l_extendedprice") / F.sum("l_quantity")),
+                "vol": F.round(F.sum("l_quantity"), 2),
+                "amount": F.round(F.sum("l_extendedprice") / 1000, 5),
+            },
+            keep=["suppkey"],
         )
         s = Series()
         agg = agg.withColumn("open", _r6((F.col("high") + F.col("low")) / 2))
@@ -120,7 +148,7 @@ class Market:
         )
 
     def adj_factors(self) -> DataFrame:
-        b = self.lines().select("trade_date", "ts_code", "suppkey").distinct()
+        b = self._panel({}, keep=["suppkey"])
         year = F.floor(F.col("trade_date") / 10000)
         factor = 1 + 0.1 * (year - 1995) * (F.col("suppkey") % 3)
         return b.select("trade_date", "ts_code", _r6(factor).alias("adj_factor"))
@@ -139,20 +167,13 @@ class Market:
             .when(F.col("l_quantity") <= 38, "lg")
             .otherwise("elg")
         )
-        li = self.lines().withColumn("_size", size)
-        aggs = []
+        aggs = {}
         for side, status in (("buy", "O"), ("sell", "F")):
             for b in ("sm", "md", "lg", "elg"):
-                hit = (F.col("_size") == b) & (F.col("l_linestatus") == status)
-                aggs.append(
-                    _r6(F.sum(F.when(hit, F.col("l_extendedprice")).otherwise(0.0)) / 10000).alias(
-                        f"{side}_{b}_amount"
-                    )
-                )
-                aggs.append(
-                    F.round(F.sum(F.when(hit, F.col("l_quantity")).otherwise(0.0)), 2).alias(f"{side}_{b}_vol")
-                )
-        mf = li.groupBy("trade_date", "ts_code").agg(*aggs)
+                hit = (size == b) & (F.col("l_linestatus") == status)
+                aggs[f"{side}_{b}_amount"] = _r6(F.sum(F.when(hit, F.col("l_extendedprice")).otherwise(0.0)) / 10000)
+                aggs[f"{side}_{b}_vol"] = F.round(F.sum(F.when(hit, F.col("l_quantity")).otherwise(0.0)), 2)
+        mf = self._panel(aggs)
 
         def net(kind):
             parts = [F.col(f"buy_{b}_{kind}") - F.col(f"sell_{b}_{kind}") for b in ("sm", "md", "lg", "elg")]
@@ -164,9 +185,8 @@ class Market:
         """Quarterly reports: ts_code, ann_date, end_date and ratios."""
         quarter_end = F.date_add(F.add_months(F.date_trunc("quarter", "ship_day").cast("date"), 3), -1)
         agg = (
-            self.lines()
-            .withColumn("_qe", quarter_end)
-            .groupBy("ts_code", "suppkey", "_qe")
+            self._weekly()
+            .groupBy("suppkey", quarter_end.alias("_qe"))
             .agg(
                 _r6(100 * F.avg("l_discount")).alias("roe"),
                 _r6(100 * F.avg("l_tax")).alias("roa"),
@@ -175,6 +195,7 @@ class Market:
                 F.round(F.sum("l_extendedprice"), 2).alias("revenue"),
                 _r6(100 * F.avg((F.col("l_linestatus") == "F").cast("double"))).alias("debt_to_assets"),
             )
+            .withColumn("ts_code", _code("suppkey"))
         )
         s = Series("ts_code", "_qe")
         agg = agg.withColumns(
@@ -218,7 +239,7 @@ class Market:
             "n_nationkey", F.col("r_name").alias("l1_name"), F.col("n_name").alias("l2_name")
         )  # 25 nations, 5 regions: fixed tables
         switch = F.add_months(F.lit("1998-01-01").cast("date"), (F.col("s_suppkey") % 12).cast("int"))
-        code = F.format_string("S%06d", F.col("s_suppkey")).alias("ts_code")
+        code = _code("s_suppkey").alias("ts_code")
         first = sup.select(
             code, F.col("s_nationkey").alias("_n"), F.lit(19950101).alias("in_date"), as_int(switch).alias("out_date")
         )
@@ -262,11 +283,7 @@ class Market:
 
     def scores(self) -> DataFrame:
         """Model score per date and instrument."""
-        return (
-            self.lines()
-            .groupBy("trade_date", "ts_code")
-            .agg(_r6(100 * (F.avg("l_discount") - F.avg("l_tax"))).alias("score"))
-        )
+        return self._panel({"score": _r6(100 * (F.avg("l_discount") - F.avg("l_tax")))})
 
     def param_grid(self) -> DataFrame:
         """Six parameter rows, as a local table."""
