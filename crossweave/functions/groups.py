@@ -31,6 +31,13 @@ def _keys(keys: Sequence[str] | str) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def _known(keys: Sequence[str]) -> Column:
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return known
+
+
 def measured_group_rows(df: DataFrame, keys: Sequence[str] | str) -> int:
     """Rows of the largest group; only one number reaches the driver."""
     row = df.groupBy(*_keys(keys)).count().agg(F.max("count")).first()
@@ -52,9 +59,7 @@ def group_stats(
     keys = _keys(keys)
     if fits_one_task(df, keys, group_rows, limit):
         w = Window.partitionBy(*keys)
-        known = F.lit(True)
-        for k in keys:
-            known = known & F.col(k).isNotNull()
+        known = _known(keys)
         return df.withColumns({name: F.when(known, a.over(w)) for name, a in aggs.items()})
     stats = df.groupBy(*keys).agg(*[a.alias(name) for name, a in aggs.items()])
     return df.join(stats, keys, "left")
@@ -72,7 +77,7 @@ def order_position(
     """1-based position of each row in its group.
 
     ``order`` is ascending (negate a number for descending) and must end on a column
-    that makes it a total order.
+    that makes it a total order. Keys must not be null.
     """
     keys = _keys(keys)
     order = [col(o) for o in order]
@@ -88,7 +93,7 @@ def order_position(
     # slice boundaries per group: about one per slice_rows rows
     bounds = sampled.groupBy(*keys).agg(F.sort_array(F.collect_list("_o")).alias("_s"))
     bounds = bounds.select(*keys, F.filter("_s", lambda x, i: (i + 1) % step == 0).alias("_bounds"))
-    tagged = _null_safe_join(keyed, bounds, keys)
+    tagged = keyed.join(bounds, keys, "left")
     lo_hi = F.aggregate(
         F.sequence(F.lit(1), F.lit(24)),
         F.struct(F.lit(0).alias("lo"), F.coalesce(F.size("_bounds"), F.lit(0)).alias("hi")),
@@ -102,8 +107,8 @@ def order_position(
     offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inner = Window.partitionBy(*keys, "_slice").orderBy("_o")
     ranked = tagged.withColumn("_r", F.row_number().over(inner))
-    ranked = _null_safe_join(ranked, offsets, [*keys, "_slice"])
-    return ranked.withColumn(out, F.col("_r").cast("long") + F.col("_before")).drop("_o", "_slice", "_r", "_before")
+    ranked = ranked.join(offsets, [*keys, "_slice"])
+    return ranked.select(*df.columns, (F.col("_r").cast("long") + F.col("_before")).alias(out))
 
 
 def _halve(acc):
@@ -117,14 +122,6 @@ def _halve(acc):
     )
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(renamed[f"_r_{k}"])
-    return left.join(renamed, cond, "left").drop(*[f"_r_{k}" for k in keys])
-
-
 def average_rank(
     df: DataFrame,
     x: str,
@@ -138,9 +135,7 @@ def average_rank(
 ) -> DataFrame:
     """Ascending rank with ties averaged; ``pct`` divides by the non-null count. Null stays null."""
     keys = _keys(keys)
-    known = F.col(x).isNotNull()
-    for k in keys:
-        known = known & F.col(k).isNotNull()
+    known = F.col(x).isNotNull() & _known(keys)
     if fits_one_task(df, keys, group_rows, limit):
         ordered = Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last())
         peers = ordered.rangeBetween(Window.currentRow, Window.currentRow)
@@ -168,8 +163,12 @@ def group_quantiles(
     limit: int | None = None,
     slice_rows: int | None = None,
 ) -> DataFrame:
-    """One row per group with exact, linearly interpolated quantiles of the non-null values."""
+    """One row per group with exact, linearly interpolated quantiles of the non-null values.
+
+    Rows with a null key belong to no group.
+    """
     keys = _keys(keys)
+    df = df.where(_known(keys))
     if fits_one_task(df, keys, group_rows, limit):
         names = list(quantiles)
         qs = F.array(*[F.lit(float(q)) for q in quantiles.values()])
@@ -179,7 +178,7 @@ def group_quantiles(
     valid = df.where(F.col(x).isNotNull()).select(*dict.fromkeys([*keys, x, *tie]))
     placed = order_position(valid, keys, [x, *tie], "_p", group_rows, limit=0, slice_rows=slice_rows)
     n = valid.groupBy(*keys).agg(F.count("*").alias("_n"))
-    placed = _null_safe_join(placed, n, keys)
+    placed = placed.join(n, keys)
     picks, outs, wanted = [], [], F.lit(False)
     for i, (name, q) in enumerate(quantiles.items()):
         h = (F.col("_n") - 1) * F.lit(float(q))
@@ -209,7 +208,7 @@ def with_column_quantiles(
     limit: int | None = None,
     slice_rows: int | None = None,
 ) -> DataFrame:
-    """Add quantiles of several columns: column → {output name: quantile}.
+    """Add quantiles of several columns: column → {output name: quantile}. Rows with a null key get nulls.
 
     Groups that fit one task share a single window; no key means the whole table.
     """
@@ -228,8 +227,11 @@ def with_column_quantiles(
             for i, (x, qs) in enumerate(wanted.items())
         }
         df = df.withColumns(arrays)
-        out = {n: F.get(f"_q{i}", F.lit(k)) for i, qs in enumerate(wanted.values()) for k, n in enumerate(qs)}
+        known = _known(keys)
+        out = {
+            n: F.when(known, F.get(f"_q{i}", F.lit(k))) for i, qs in enumerate(wanted.values()) for k, n in enumerate(qs)
+        }
         return df.withColumns(out).drop(*arrays)
     for x, qs in wanted.items():
-        df = _null_safe_join(df, group_quantiles(df, x, keys, qs, tiebreak, group_rows, limit, slice_rows), keys)
+        df = df.join(group_quantiles(df, x, keys, qs, tiebreak, group_rows, limit, slice_rows), keys, "left")
     return df

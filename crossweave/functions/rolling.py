@@ -81,15 +81,15 @@ class Series:
 def pair_corr(x, y, m: int = 2, w: WindowSpec | None = None) -> Column:
     """Pairwise-complete Pearson correlation as an aggregate, or over ``w``.
 
-    Null below ``m`` pairs or if one side is constant. Built from covariance and
-    deviations: the built-in raises on a constant side under ANSI mode.
+    Null below ``m`` pairs or if one side is constant (its running deviation is then
+    exactly zero). Built from covariance and deviations: the built-in raises on a
+    constant side under ANSI mode.
     """
     over = (lambda c: c.over(w)) if w is not None else (lambda c: c)
     both = col(x).isNotNull() & col(y).isNotNull()
     px, py = F.when(both, col(x)), F.when(both, col(y))
-    varied = (over(F.max(px)) > over(F.min(px))) & (over(F.max(py)) > over(F.min(py)))
     spread = over(F.stddev_pop(px)) * over(F.stddev_pop(py))
-    return F.when((over(F.count(px)) >= m) & varied, safe_div(over(F.covar_pop(px, py)), spread))
+    return F.when(over(F.count(px)) >= m, safe_div(over(F.covar_pop(px, py)), spread))
 
 
 def unbiased_skew(x: Column, w: WindowSpec | None = None) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, row_mean, safe_div, to_numeric
-from ..functions.groups import _null_safe_join, average_rank, group_stats, with_column_quantiles
+from ..functions.groups import average_rank, group_stats, with_column_quantiles
 from ..functions.rolling import Series
 
 DATE = "trade_date"
@@ -44,14 +44,12 @@ def zscore(
     stats = {}
     for c in cols:
         stats[f"_m_{c}"] = F.avg(c)
-        # the deviation of equal values is zero, whatever the float residue of their sum
-        stats[f"_s_{c}"] = dev(c)
-        stats[f"_l_{c}"], stats[f"_h_{c}"] = F.min(c), F.max(c)
+        stats[f"_s_{c}"] = dev(c)  # exactly zero when all values agree
     df = group_stats(df, keys, stats, group_rows, limit)
     out = {}
     for c in cols:
         centred = F.col(c) - F.col(f"_m_{c}")
-        flat = F.col(f"_s_{c}").isNull() | (F.col(f"_l_{c}") == F.col(f"_h_{c}")) | (F.col(f"_s_{c}") == 0)
+        flat = F.col(f"_s_{c}").isNull() | (F.col(f"_s_{c}") == 0)
         out[c] = F.when(flat, centred).otherwise(safe_div(centred, f"_s_{c}"))
     return df.withColumns(out).drop(*stats)
 
@@ -249,7 +247,7 @@ def least_squares_residual(
     fit = coefficients
     if fit is None:
         fit = group_least_squares(df, y, xs, keys, weight, min_rows, group_rows, limit)
-    joined = _null_safe_join(df, fit.withColumnRenamed("n_rows", "_fit_rows"), keys)
+    joined = df.join(fit.withColumnRenamed("n_rows", "_fit_rows"), keys, "left")
     pred = F.col("intercept")
     for x in xs:
         # an inactive column has neither a coefficient nor a value
@@ -258,7 +256,8 @@ def least_squares_residual(
     res = F.col(y) - pred
     if fallback == "keep":
         res = F.coalesce(res, F.col(y))
-    return joined.withColumn(out, res).drop("_fit_rows", "intercept", *[f"b_{x}" for x in xs])
+    kept = [c for c in df.columns if c != out]
+    return joined.select(*[F.col(f"`{c}`") for c in kept], res.alias(out))
 
 
 def neutralize_styles(

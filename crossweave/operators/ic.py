@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import safe_div
 from ..functions.groups import average_rank, group_stats, measured_group_rows, order_position
 from ..functions.rolling import pair_corr
+from ..sources.datasets import materialize
 from .aggregates import additive_risk, monthly_mean
 
 DATE = "trade_date"
@@ -25,15 +26,22 @@ def daily_ic(
     group_rows: int | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Pearson and rank correlation per date; null for short or constant cross-sections."""
-    keys = list(keys)
     v = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    v = average_rank(v, score, keys, "_rs", group_rows=group_rows, limit=limit)
-    v = average_rank(v, label, keys, "_rl", group_rows=group_rows, limit=limit)
-    return v.groupBy(*keys).agg(
+    v = _with_ranks(v, score, label, keys, group_rows, limit)
+    return v.groupBy(*keys).agg(*_ic_aggs(score, label, min_rows))
+
+
+def _with_ranks(v: DataFrame, score: str, label: str, keys: Sequence[str], group_rows, limit) -> DataFrame:
+    v = average_rank(v, score, list(keys), "_rs", group_rows=group_rows, limit=limit)
+    return average_rank(v, label, list(keys), "_rl", group_rows=group_rows, limit=limit)
+
+
+def _ic_aggs(score: str, label: str, min_rows: int) -> list[Column]:
+    return [
         pair_corr(score, label, min_rows).alias("ic"),
         pair_corr("_rs", "_rl", min_rows).alias("rank_ic"),
         F.count("*").alias("count"),
-    )
+    ]
 
 
 def ic_summary(ic: DataFrame, x: str = "ic", keys: Sequence[str] = ()) -> DataFrame:
@@ -67,17 +75,26 @@ def group_returns(
     keys = list(keys)
     sign = 1 if reverse else -1
     everyone = df.groupBy(*keys).agg(F.avg(label).alias("_all"))
-    v = df.where(F.col(score).isNotNull())
-    v = order_position(v, keys, [sign * F.col(score), "ts_code"], "_p", group_rows, limit)
-    v = group_stats(v, keys, {"_n": F.count(F.lit(1))}, group_rows, limit)
-    size = F.floor(F.col("_n") / groups)
-    v = v.withColumn("_g", F.when(size > 0, F.floor((F.col("_p") - 1) / size)))
-    g = v.groupBy(*keys).agg(*[F.avg(F.when(F.col("_g") == i, F.col(label))).alias(f"group{i + 1}") for i in range(groups)])
-    g = g.join(everyone, keys)
-    g = g.withColumns(
+    v = _with_positions(df.where(F.col(score).isNotNull()), {"_p": sign * F.col(score)}, keys, group_rows, limit)
+    g = v.groupBy(*keys).agg(*_slice_aggs(label, groups)).join(everyone, keys)
+    g = g.dropna(how="all", subset=[f"group{i + 1}" for i in range(groups)])
+    return g.withColumns(
         {"long_short": F.col("group1") - F.col(f"group{groups}"), "long_average": F.col("group1") - F.col("_all")}
     ).drop("_all")
-    return g.dropna(how="all", subset=[f"group{i + 1}" for i in range(groups)])
+
+
+def _with_positions(v: DataFrame, orders: dict[str, Column], keys: Sequence[str], group_rows, limit) -> DataFrame:
+    """Position columns by several orders (ties by code) and the group size ``_n``."""
+    for name, o in orders.items():
+        v = order_position(v, list(keys), [o, "ts_code"], name, group_rows, limit)
+    return group_stats(v, list(keys), {"_n": F.count(F.lit(1))}, group_rows, limit)
+
+
+def _slice_aggs(label: str, groups: int) -> list[Column]:
+    """Mean label of each slice of ``_n // groups`` rows; the remainder belongs to none."""
+    size = F.floor(F.col("_n") / groups)
+    g = F.when(size > 0, F.floor((F.col("_p") - 1) / F.nullif(size, F.lit(0))))
+    return [F.avg(F.when(g == i, F.col(label))).alias(f"group{i + 1}") for i in range(groups)]
 
 
 def group_return_summary(groups_df: DataFrame, groups: int = 5, keys: Sequence[str] = ()) -> DataFrame:
@@ -110,20 +127,8 @@ def long_short(
     keys = list(keys)
     v = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     largest = measured_group_rows(v, keys)
-    v = order_position(v, keys, [-F.col(score), "ts_code"], "_p", group_rows or largest, limit)
-    v = group_stats(v, keys, {"_n": F.count(F.lit(1))}, group_rows or largest, limit)
-    q = topk / largest if largest else 0.0
-    share = 0 < q < 0.5
-    if share:
-        k = F.floor(F.col("_n") * F.lit(q))
-    else:
-        k = F.when(F.col("_n") > 1, F.least(F.lit(topk), F.floor(F.col("_n") / 2))).otherwise(1)
-    v = v.withColumn("_k", k)
-    g = v.groupBy(*keys).agg(
-        F.avg(F.when(F.col("_p") <= F.col("_k"), F.col(label))).alias("_long"),
-        F.avg(F.when(F.col("_p") > F.col("_n") - F.col("_k"), F.col(label))).alias("_short"),
-        F.avg(label).alias("market_average"),
-    )
+    v = _with_positions(v, {"_p": -F.col(score)}, keys, group_rows or largest, limit)
+    g = v.groupBy(*keys).agg(*_spread_aggs(label, topk, largest))
     return g.select(
         *keys,
         (F.col("_long") - F.col("market_average")).alias("long"),
@@ -133,35 +138,60 @@ def long_short(
     )
 
 
+def _spread_aggs(label: str, topk: int, largest: int) -> list[Column]:
+    q = topk / largest if largest else 0.0
+    if 0 < q < 0.5:
+        k = F.floor(F.col("_n") * F.lit(q))
+    else:
+        k = F.when(F.col("_n") > 1, F.least(F.lit(topk), F.floor(F.col("_n") / 2))).otherwise(1)
+    return [
+        F.avg(F.when(F.col("_p") <= k, F.col(label))).alias("_long"),
+        F.avg(F.when(F.col("_p") > F.col("_n") - k, F.col(label))).alias("_short"),
+        F.avg(label).alias("market_average"),
+    ]
+
+
 def bucket_turnover(
     df: DataFrame, score: str = "score", groups: int = 5, lag: int = 1, keys: Sequence[str] = (DATE,),
     group_rows: int | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Share of the top and bottom bucket that was not there by the lagged score."""
     keys = list(keys)
+    v = _with_last(df, score, lag, keys)
+    v = _with_positions(v, _bucket_orders(score), keys, group_rows, limit)
+    g = v.groupBy(*keys).agg(*_turnover_aggs(score, groups))
+    return _turnover_shares(g).where(F.col("top").isNotNull()).select(*keys, "top", "bottom")
+
+
+def _with_last(df: DataFrame, score: str, lag: int, keys: Sequence[str]) -> DataFrame:
     series = [k for k in keys if k != DATE] + ["ts_code"]
-    w = Window.partitionBy(*series).orderBy(DATE)
-    v = df.withColumn("_last", F.lag(score, lag).over(w))
+    return df.withColumn("_last", F.lag(score, lag).over(Window.partitionBy(*series).orderBy(DATE)))
+
+
+def _bucket_orders(score: str) -> dict[str, Column]:
+    """Best and worst first, by the score and by the lagged score; a missing one comes last."""
     far = F.lit(float("inf"))
-    orders = {
-        "_ct": F.coalesce(-F.col(score), far),
+    return {
+        "_p": F.coalesce(-F.col(score), far),
         "_pt": F.coalesce(-F.col("_last"), far),
         "_cb": F.coalesce(F.col(score), far),
         "_pb": F.coalesce(F.col("_last"), far),
     }
-    for name, o in orders.items():
-        v = order_position(v, keys, [o, "ts_code"], name, group_rows, limit)
-    v = group_stats(v, keys, {"_n": F.count(F.lit(1))}, group_rows, limit)
+
+
+def _turnover_aggs(score: str, groups: int) -> list[Column]:
     size = F.floor(F.col("_n") / groups)
-    kept = lambda c, p: F.sum(
-        ((F.col(c) <= size) & (F.col(p) <= size) & F.col("_last").isNotNull() & F.col(score).isNotNull()).cast("int")
-    )
-    g = v.groupBy(*keys).agg(
-        F.max(size).alias("_size"), F.count("_last").alias("_known"), kept("_ct", "_pt").alias("_t"), kept("_cb", "_pb").alias("_b")
-    )
+    both = F.col("_last").isNotNull() & F.col(score).isNotNull()
+    kept = lambda c, p: F.sum(((F.col(c) <= size) & (F.col(p) <= size) & both).cast("int"))
+    return [
+        F.max(size).alias("_size"), F.count("_last").alias("_known"), kept("_p", "_pt").alias("_t"), kept("_cb", "_pb").alias("_b")
+    ]
+
+
+def _turnover_shares(g: DataFrame) -> DataFrame:
     usable = (F.col("_size") > 0) & (F.col("_known") > 0)
     part = lambda c: F.when(usable, 1.0 - safe_div(F.col(c).cast("double"), F.col("_size").cast("double")))
-    return g.where(usable).select(*keys, part("_t").alias("top"), part("_b").alias("bottom"))
+    return g.withColumns({"top": part("_t"), "bottom": part("_b")})
 
 
 def features_to_rows(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
@@ -173,25 +203,51 @@ def validate_features(
     df: DataFrame, features: Sequence[str], label: str = "label", groups: int = 5, topk: int = 50, min_rows: int = 2,
     group_rows: int | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """One summary row per feature: coefficients, slices, spread, turnover, distribution."""
-    rows = features_to_rows(df.where(F.col(label).isNotNull()), features, label)
+    """One summary row per feature: coefficients, slices, spread, turnover, distribution.
+
+    The long table is written once; ranks and positions of every analysis are windows of
+    one exchange by (feature, date), and one aggregation yields all daily figures.
+    """
+    rows = materialize(features_to_rows(df.where(F.col(label).isNotNull()), features, label), "feature-rows")
     keys = ["feature", DATE]
-    ic = daily_ic(rows, "score", label, keys, min_rows, group_rows, limit)
-    a = ic_summary(ic, "ic", ["feature"])
-    b = ic_summary(ic, "rank_ic", ["feature"]).select(
-        "feature", *[F.col(c).alias(f"rank_{c}") for c in ("ic_mean", "ic_std", "icir", "positive_rate")]
+    largest = measured_group_rows(rows, keys)
+    v = _with_last(rows, "score", 1, keys)
+    v = _with_ranks(v, "score", label, keys, group_rows or largest, limit)
+    v = _with_positions(v, _bucket_orders("score"), keys, group_rows or largest, limit)
+    daily = v.groupBy(*keys).agg(
+        *_ic_aggs("score", label, min_rows), *_slice_aggs(label, groups), *_spread_aggs(label, topk, largest),
+        *_turnover_aggs("score", groups),
     )
-    g = group_return_summary(group_returns(rows, "score", label, groups, keys=keys, group_rows=group_rows, limit=limit), groups, ["feature"])
-    g = g.select("feature", "mean_group1", F.col(f"mean_group{groups}").alias("mean_group_last"), "mean_long_short", "monotonic")
-    ls = long_short(rows, topk, "score", label, keys, group_rows, limit)
-    ls = ls.groupBy("feature").agg(F.avg("long_short").alias("mean_topk_spread"))
-    t = bucket_turnover(rows, "score", groups, keys=keys, group_rows=group_rows, limit=limit)
-    t = t.groupBy("feature").agg(F.avg("top").alias("mean_top_turnover"), F.avg("bottom").alias("mean_bottom_turnover"))
+    daily = _turnover_shares(daily).withColumns(
+        {"_ls": F.col("group1") - F.col(f"group{groups}"), "_topk": F.col("_long") - F.col("_short")}
+    )
+    slices = [f"group{i + 1}" for i in range(groups)]
+    dev = lambda c: F.when(F.count(c) > 1, F.stddev_samp(c))
+    g = daily.groupBy("feature").agg(
+        F.avg("ic").alias("ic_mean"),
+        dev("ic").alias("ic_std"),
+        F.avg((F.col("ic") > 0).cast("double")).alias("positive_rate"),
+        F.count("ic").alias("count"),
+        F.avg("rank_ic").alias("rank_ic_mean"),
+        dev("rank_ic").alias("rank_ic_std"),
+        F.avg((F.col("rank_ic") > 0).cast("double")).alias("rank_positive_rate"),
+        *[F.avg(c).alias(f"mean_{c}") for c in slices],
+        F.avg("_ls").alias("mean_long_short"),
+        F.avg("_topk").alias("mean_topk_spread"),
+        F.avg("top").alias("mean_top_turnover"),
+        F.avg("bottom").alias("mean_bottom_turnover"),
+    )
+    falling = F.lit(True)
+    for a, b in zip(slices, slices[1:]):
+        falling = falling & (F.col(f"mean_{a}") >= F.col(f"mean_{b}"))
     d = rows.groupBy("feature").agg(F.avg("score").alias("mean_score"), F.stddev_samp("score").alias("std_score"))
-    out = a
-    for other in (b, g, ls, t, d):
-        out = out.join(other, "feature", "left")
-    return out
+    return g.join(d, "feature").select(
+        "feature", "ic_mean", "ic_std", safe_div("ic_mean", "ic_std").alias("icir"), "positive_rate", "count",
+        "rank_ic_mean", "rank_ic_std", safe_div("rank_ic_mean", "rank_ic_std").alias("rank_icir"), "rank_positive_rate",
+        "mean_group1", F.col(f"mean_group{groups}").alias("mean_group_last"), "mean_long_short",
+        F.coalesce(falling, F.lit(False)).cast("int").alias("monotonic"),
+        "mean_topk_spread", "mean_top_turnover", "mean_bottom_turnover", "mean_score", "std_score",
+    )
 
 
 def screen_factors(

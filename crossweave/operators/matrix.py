@@ -20,18 +20,19 @@ KEY = ("trade_date", "ts_code")
 
 def wide_table(
     bars: DataFrame, status: DataFrame, suspensions: DataFrame, factors: DataFrame, reports: DataFrame, flows: DataFrame,
-    members: DataFrame, report_columns: Sequence[str], flow_columns: Sequence[str],
+    members: DataFrame, report_columns: Sequence[str], flow_columns: Sequence[str], validate: bool = False,
 ) -> DataFrame:
     """Bars with listing status, suspension, adjustment factor, latest report, flows and industry.
 
     ``status`` holds closed validity intervals (ts_code, start_date, end_date, st_status).
-    Flags are filled with their normal value where a source has no row.
+    Flags are filled with their normal value where a source has no row. ``validate`` checks the
+    keyed sources for repeated keys first (one job each; not needed for aggregated sources).
     """
     df = interval_join(bars, status, ["st_status"], start="start_date", end="end_date", closed="both")
-    df = left_join_key(df, suspensions)
-    df = left_join_key(df, factors)
+    df = left_join_key(df, suspensions, validate=validate)
+    df = left_join_key(df, factors, validate=validate)
     df = asof_join(df, reports, ["ann_date", *report_columns])
-    df = left_join_key(df, flows.select(*KEY, *flow_columns))
+    df = left_join_key(df, flows.select(*KEY, *flow_columns), validate=validate)
     df = interval_join(df, members, ["l1_name"])
     known = F.coalesce("st_status", F.lit(0))
     df = df.withColumns(

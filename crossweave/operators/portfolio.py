@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_div
+from ..functions.groups import order_position
 from .aggregates import PERFORMANCE, performance
 
 DATE = "trade_date"
+GROUP_LIMIT = 1000  # largest k for which Spark drops rows before the exchange
 
 
 def _best(x: str) -> list[Column]:
@@ -22,7 +24,13 @@ def _best(x: str) -> list[Column]:
 
 
 def top_k(df: DataFrame, x: str, k: int, keys: Sequence[str] = (DATE,)) -> DataFrame:
-    """Best ``k`` rows per group; ties go to the smaller code."""
+    """Best ``k`` rows per group; ties go to the smaller code.
+
+    Beyond ``GROUP_LIMIT`` Spark would sort whole groups, so positions are counted by slices.
+    """
+    if k > GROUP_LIMIT:
+        v = order_position(df.where(F.col(x).isNotNull()), list(keys), [-F.col(x), "ts_code"], "position")
+        return v.where(F.col("position") <= k)
     w = Window.partitionBy(*keys).orderBy(*_best(x))
     v = df.where(F.col(x).isNotNull()).withColumn("position", F.row_number().over(w))
     return v.where(F.col("position") <= k)

@@ -39,10 +39,8 @@ def beta(bars: DataFrame, lookback: int = 252, min_obs: int = 120) -> DataFrame:
     w = BY_STOCK.frame(-(lookback - 1))
     both = F.col("pct_chg").isNotNull() & F.col("_mkt").isNotNull()
     x, y = F.when(both, F.col("_mkt")), F.when(both, F.col("pct_chg"))
-    varied = F.max(x).over(w) > F.min(x).over(w)
-    value = F.when(
-        (F.count(x).over(w) >= max(2, min_obs)) & varied, safe_div(F.covar_samp(x, y).over(w), F.var_samp(x).over(w))
-    )
+    slope = safe_div(F.covar_samp(x, y).over(w), F.var_samp(x).over(w))
+    value = F.when(F.count(x).over(w) >= max(2, min_obs), slope)
     return df.withColumn("BETA", value).drop("_mkt")
 
 

@@ -219,9 +219,39 @@ def _(m):
     return X.neutralize_styles(scored_styles(m), "score", ["vol"], "residual", m.names).select(*KEYS, "residual")
 
 
-@query("style_residual_two_factors", "X13 X12")
+_SXA = f"""SELECT s.trade_date, s.ts_code, s.score AS y, f.vol, f.amount, 1.0::DOUBLE AS w, 1.0::DOUBLE AS one FROM
+  ({winsor_sql('SELECT * FROM scores', ['score'])}) s JOIN bars f ON f.trade_date = s.trade_date AND f.ts_code = s.ts_code"""
+
+
+def _project(table: str, z: str, rest: list[str]) -> str:
+    """Take ``z`` out of the remaining columns per date."""
+    reps = ", ".join(
+        f"{v} - {z} * coalesce(sum({z} * {v}) OVER d / nullif(CASE WHEN sum({z} * {z}) OVER d > 1e-9 THEN sum({z} * {z}) OVER d END, 0), 0) AS {v}"
+        for v in rest
+    )
+    return f"SELECT * REPLACE ({reps}) FROM ({table}) WINDOW d AS (PARTITION BY trade_date)"
+
+
+_RES2 = _project(_project(_project(_SXA, "one", ["y", "vol", "amount"]), "vol", ["y", "amount"]), "amount", ["y"])
+
+
+@query(
+    "style_residual_two_factors", "X13 X12", needs="scores bars", doubles="residual", digits=5,
+    sql=f"""SELECT r.trade_date, r.ts_code, CASE WHEN count(*) OVER (PARTITION BY r.trade_date) >= 4 THEN r.y ELSE o.y END AS residual
+            FROM ({_RES2}) r JOIN ({_SXA}) o ON o.trade_date = r.trade_date AND o.ts_code = r.ts_code""",
+)
+def _(m):
+    df = X.winsorize(scored_styles(m), ["score"], group_rows=m.names)
+    return X.neutralize_styles(df, "score", ["vol", "amount"], "residual", m.names).select(*KEYS, "residual")
+
+
+@query(
+    "rank_standardized_alpha", "X12", needs="scores", doubles="alpha",
+    sql=f"""SELECT trade_date, ts_code, (r - avg(r) OVER d) / nullif(stddev_pop(r) OVER d, 0) AS alpha FROM
+            (SELECT *, {rank_pct('score', 'trade_date')} AS r FROM ({winsor_sql('SELECT * FROM scores', ['score'])})) WINDOW d AS (PARTITION BY trade_date)""",
+)
 def _(m):
-    df = X.standardize_alpha(scored_styles(m), "score", "alpha", styles=["vol", "amount"], method="rank", group_rows=m.names)
+    df = X.standardize_alpha(m.scores(), "score", "alpha", method="rank", group_rows=m.names)
     return df.select(*KEYS, "alpha")
 
 

@@ -8,7 +8,7 @@ from ..operators import cross_section as X
 from ..operators import ic as I
 from ..operators import price_volume as PV
 from .q_cross_section import _F, _TWO, two_factors, winsor_sql, z_sql
-from .q_joins import HORIZONS_SQL, PRED_LABEL, horizon_scores, pred_label
+from .q_joins import HORIZONS_SQL, PRED_LABEL, all_scores, pred_label
 from .registry import query
 from .sqltext import BY, avg_rank, rank_pct
 
@@ -160,7 +160,7 @@ _PRE = f"WITH hs AS MATERIALIZED ({HORIZONS_SQL}), lab AS MATERIALIZED ({_LAB}),
 
 def featured(m):
     lab = m.bars().select("trade_date", "ts_code", F.round(PV.BY_STOCK.lead("close") / F.col("close") - 1 + 3.71728349e-9, 6).alias("label"))
-    return horizon_scores(m).join(lab, ["trade_date", "ts_code"])
+    return all_scores(m).join(lab, ["trade_date", "ts_code"])
 
 
 _FT = "feature, trade_date"

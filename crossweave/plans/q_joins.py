@@ -112,6 +112,17 @@ def horizon_scores(m):
     return df
 
 
+def all_scores(m):
+    """The same three scores from one aggregation."""
+    return m._panel(
+        {
+            "score_1d": _r6(100 * (F.avg("l_discount") - F.avg("l_tax"))),
+            "score_5d": _r6(F.avg("l_quantity")),
+            "score_20d": _r6(F.max("l_discount") * 100 + F.avg("l_tax")),
+        }
+    )
+
+
 HORIZONS_SQL = """SELECT trade_date, ts_code, round(100 * (avg(l_discount) - avg(l_tax)) + 3.71728349e-9, 6) AS score_1d,
   round(avg(l_quantity) + 3.71728349e-9, 6) AS score_5d, round(max(l_discount) * 100 + avg(l_tax) + 3.71728349e-9, 6) AS score_20d
   FROM lines GROUP BY trade_date, ts_code"""

@@ -8,8 +8,9 @@ from ..operators import aggregates as A
 from ..operators import clean as C
 from ..operators import matrix as M
 from ..operators import price_volume as PV
+from ..sources.datasets import materialize
 from .q_ic import ic_sql
-from .q_joins import HORIZONS_SQL, PIT, horizon_scores
+from .q_joins import HORIZONS_SQL, PIT, all_scores
 from .registry import query
 from .sqltext import BY, pct, roll
 
@@ -73,7 +74,7 @@ def sources(m):
     return {
         "price": PV.volatility(PV.returns(b, (5,)), (5,)),
         "flow": m.moneyflow(),
-        "scores": horizon_scores(m),
+        "scores": all_scores(m),
         "reports": to_daily(b.select(*KEYS), m.reports(), ["roe"]),
     }
 
@@ -176,7 +177,9 @@ _MF = ["ret_5", "volatility_5", "net_mf_amount", "score_5d"]
 
 
 def filled(m):
-    return M.training_matrix_filled(m.bars().select(*KEYS), {**sources(m), "reports": None}, labels(m), _MF, "label_1d")
+    """The matrix is read many times by each fit, so it is written once."""
+    df = M.training_matrix_filled(m.bars().select(*KEYS), {**sources(m), "reports": None}, labels(m), _MF, "label_1d")
+    return materialize(df, "matrix")
 
 
 @query("walk_forward_predictions", "M7 M8")

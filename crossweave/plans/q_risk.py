@@ -186,16 +186,64 @@ def model_panel(m):
 _FACTORS = list(R.STYLES)
 
 
-@query("style_factor_returns", "K11")
-def _(m):
-    return R.factor_returns(model_panel(m), _FACTORS, weight="weight", min_stocks=12, group_rows=m.names)
+def projection_sql(base: str, y: str, xs: list[str], name: str = "s", keep: str = "") -> str:
+    """Residual of ``y``: the constant and each regressor are projected out in turn (weight column ``w``).
+
+    ``keep`` is a column from which the regressors are taken out as well.
+    """
+    part = "trade_date"
+    ctes = [f"{name}0 AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS one FROM ({base}))"]
+    order = ["one", *xs]
+    for i, z in enumerate(order):
+        rest = [y, *order[i + 1:], *([keep] if keep else [])]
+        reps = ", ".join(
+            f"{v} - {z} * coalesce(sum(w * {z} * {v}) OVER d / nullif(CASE WHEN sum(w * {z} * {z}) OVER d > 1e-9 THEN sum(w * {z} * {z}) OVER d END, 0), 0) AS {v}"
+            for v in rest
+        )
+        ctes.append(f"{name}{i + 1} AS MATERIALIZED (SELECT * REPLACE ({reps}) FROM {name}{i} WINDOW d AS (PARTITION BY {part}))")
+    return ", ".join(ctes)
+
+
+_ST = [f'"{s}"' for s in R.STYLES]
+_MODEL = f"""SELECT e.trade_date, e.ts_code, {', '.join(f'e.{c}' for c in _ST)}, {', '.join(f"max((e.{c} IS NOT NULL)::INT) OVER (PARTITION BY e.trade_date) AS a{i}" for i, c in enumerate(_ST))},
+  b.pct_chg / 100.0 AS ret, b.weight AS w FROM ({EXPO}) e JOIN ({_WT}) b ON b.trade_date = e.trade_date AND b.ts_code = e.ts_code"""
+_COMPLETE = f"""SELECT trade_date, ts_code, ret, w, {', '.join(f'coalesce({c}, 0.0) AS {c}' for c in _ST)} FROM (SELECT *, count(*) OVER (PARTITION BY trade_date) AS n FROM ({_MODEL})
+  WHERE ret IS NOT NULL AND w > 0 AND {' AND '.join(f'({c} IS NOT NULL OR a{i} = 0)' for i, c in enumerate(_ST))})
+  WHERE n >= 12 AND n > 1 + {' + '.join(f'a{i}' for i in range(len(_ST)))}"""
 
 
-@query("style_residual_returns", "K11")
+@query(
+    "style_residual_returns", "K11", needs="bars reports members", doubles="residual", digits=4,
+    sql=f"WITH {projection_sql(_COMPLETE, 'ret', _ST)} SELECT trade_date, ts_code, ret AS residual FROM s9",
+)
 def _(m):
-    df = model_panel(m)
+    from ..sources.datasets import materialize
+
+    # read twice: once for the fit, once for the residuals
+    df = materialize(model_panel(m), "exposures")
     fit = R.factor_returns(df, _FACTORS, weight="weight", min_stocks=12, group_rows=m.names)
-    return R.residual_returns(df, _FACTORS, fit, weight="weight").select(*KEYS, "residual")
+    res = R.residual_returns(df, _FACTORS, fit, weight="weight")
+    return res.where((F.col("weight") > 0) & F.col("residual").isNotNull()).select(*KEYS, "residual")
+
+
+_CHAINS = ", ".join(
+    projection_sql("SELECT * FROM base", "ret", [c for c in _ST if c != f], f"p{i}_", keep=f) for i, f in enumerate(_ST)
+)
+_RETS = " UNION ALL ".join(
+    f"""SELECT trade_date, '{f.strip('"')}' AS factor, count(*) AS n_rows, sum(w * {f} * ret) / nullif(CASE WHEN sum(w * {f} * {f}) > 1e-9 THEN sum(w * {f} * {f}) END, 0) AS ret
+        FROM p{i}_{len(_ST)} GROUP BY trade_date"""
+    for i, f in enumerate(_ST)
+)
+
+
+@query(
+    "style_factor_returns", "K11", needs="bars reports members", doubles="ret", digits=4,
+    sql=f"WITH base AS MATERIALIZED ({_COMPLETE}), {_CHAINS} SELECT * FROM ({_RETS}) WHERE ret IS NOT NULL",
+)
+def _(m):
+    fr = R.factor_returns(model_panel(m), _FACTORS, weight="weight", min_stocks=12, group_rows=m.names)
+    long = fr.unpivot(["trade_date", "n_rows"], [f"b_{f}" for f in _FACTORS], "factor", "ret").where("ret IS NOT NULL")
+    return long.withColumn("factor", F.substring("factor", 3, 100))
 
 
 # three date-level series stand in for factor returns

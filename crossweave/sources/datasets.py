@@ -30,6 +30,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"crossweave-{name}-") + "/data"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an expensive table once and read it back: its lineage is cut, and a lost executor
+    re-reads files instead of recomputing the plan."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # ---------------------------------------------------------------- reading
 
 
