@@ -19,6 +19,7 @@ from ..sources.datasets import materialize
 from .aggregates import additive_risk, monthly_mean
 
 DATE = "trade_date"
+RESIDUE = 1e-12  # a coefficient below this is a zero with float dust
 
 
 def daily_ic(
@@ -51,7 +52,7 @@ def ic_summary(ic: DataFrame, x: str = "ic", keys: Sequence[str] = ()) -> DataFr
         F.avg(x).alias("ic_mean"),
         sd.alias("ic_std"),
         safe_div(F.avg(x), sd).alias("icir"),
-        F.avg((F.col(x) > 0).cast("double")).alias("positive_rate"),
+        F.avg((F.col(x) > RESIDUE).cast("double")).alias("positive_rate"),
         F.count(x).alias("count"),
     )
 
@@ -226,11 +227,11 @@ def validate_features(
     g = daily.groupBy("feature").agg(
         F.avg("ic").alias("ic_mean"),
         dev("ic").alias("ic_std"),
-        F.avg((F.col("ic") > 0).cast("double")).alias("positive_rate"),
+        F.avg((F.col("ic") > RESIDUE).cast("double")).alias("positive_rate"),
         F.count("ic").alias("count"),
         F.avg("rank_ic").alias("rank_ic_mean"),
         dev("rank_ic").alias("rank_ic_std"),
-        F.avg((F.col("rank_ic") > 0).cast("double")).alias("rank_positive_rate"),
+        F.avg((F.col("rank_ic") > RESIDUE).cast("double")).alias("rank_positive_rate"),
         *[F.avg(c).alias(f"mean_{c}") for c in slices],
         F.avg("_ls").alias("mean_long_short"),
         F.avg("_topk").alias("mean_topk_spread"),

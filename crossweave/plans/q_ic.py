@@ -38,7 +38,7 @@ def _(m):
 def summary_sql(table: str, x: str, keys: str = "") -> str:
     k, g = (f"{keys}, ", f" GROUP BY {keys}") if keys else ("", "")
     return f"""SELECT {k}avg({x}) AS ic_mean, stddev_samp({x}) AS ic_std, avg({x}) / nullif(stddev_samp({x}), 0) AS icir,
-      avg(CASE WHEN {x} > 0 THEN 1.0 WHEN {x} IS NOT NULL THEN 0.0 END) AS positive_rate, count({x}) AS count FROM ({table}){g}"""
+      avg(CASE WHEN {x} > 1e-12 THEN 1.0 WHEN {x} IS NOT NULL THEN 0.0 END) AS positive_rate, count({x}) AS count FROM ({table}){g}"""
 
 
 @query("ic_summary", "I2", needs="bars scores", doubles="ic_mean ic_std icir positive_rate",
@@ -59,7 +59,7 @@ _FLAG = f"""WITH lab AS (SELECT trade_date, ts_code, round(lead(close, 5) OVER (
         WHERE volatility_20 IS NOT NULL AND label IS NOT NULL),
   i AS ({ic_sql('SELECT * FROM x', 'feature, trade_date')})
   SELECT feature, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, avg(rank_ic) AS rank_ic_mean,
-         avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END) AS positive_rate, count(ic) AS count FROM i GROUP BY feature"""
+         avg(CASE WHEN ic > 1e-12 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END) AS positive_rate, count(ic) AS count FROM i GROUP BY feature"""
 
 
 @query("factor_ic_summary", "X3 W34 I1 I2", needs="bars", doubles="ic_mean ic_std icir rank_ic_mean positive_rate", sql=_FLAG, digits=5)
