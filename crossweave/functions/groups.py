@@ -7,24 +7,25 @@ prove (for a panel keyed by date and instrument: the number of instruments), or
 and a plain window is the cheapest plan. Beyond it no task ever sees a whole group:
 
 * means and deviations are partial aggregates joined back;
-* order positions come from splitting each group at sampled boundaries, numbering
-  the rows inside each slice and adding the sizes of the slices before it. The
-  boundaries are a pure function of the data, so a recomputed task agrees with the
-  lost one, and the result does not depend on where the boundaries fall.
+* order positions come from a range partitioning by group and order, which splits a
+  hot group and a hot value alike. Its slices are written once, so that every later
+  step and every retried task sees the same slices; rows are numbered inside their
+  slice, and the sizes of the slices before it are added.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.datasets import materialize
 from .columns import col
 
 GROUP_ROW_LIMIT = 500_000
-SLICE_ROWS = 200_000
-SAMPLES_PER_SLICE = 32
+SLICE_ROWS = 1_000_000
 
 
 def _keys(keys: Sequence[str] | str) -> list[str]:
@@ -86,42 +87,19 @@ def order_position(
         return df.withColumn(out, F.row_number().over(w).cast("long"))
 
     slice_rows = SLICE_ROWS if slice_rows is None else slice_rows
-    every = max(1, slice_rows // SAMPLES_PER_SLICE)
-    step = max(1, slice_rows // every)
-    keyed = df.withColumn("_o", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
-    sampled = keyed.where(F.pmod(F.xxhash64(*keys, "_o"), F.lit(every)) == 0)
-    # slice boundaries per group: about one per slice_rows rows
-    bounds = sampled.groupBy(*keys).agg(F.sort_array(F.collect_list("_o")).alias("_s"))
-    bounds = bounds.select(*keys, F.filter("_s", lambda x, i: (i + 1) % step == 0).alias("_bounds"))
-    tagged = keyed.join(bounds, keys, "left")
-    lo_hi = F.aggregate(
-        F.sequence(F.lit(1), F.lit(24)),
-        F.struct(F.lit(0).alias("lo"), F.coalesce(F.size("_bounds"), F.lit(0)).alias("hi")),
-        lambda acc, _: _halve(acc),
-    )
-    tagged = tagged.withColumn(
-        "_slice", F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(lo_hi["lo"])
-    ).drop("_bounds")
-    sizes = tagged.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = df.withColumns(dict(zip(names, order)))
+    slices = max(2, math.ceil(df.count() / slice_rows))
+    split = keyed.repartitionByRange(slices, *keys, *names).withColumn("_slice", F.spark_partition_id())
+    split = materialize(split, "slices")
+    sizes = split.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy(*keys, "_slice").orderBy("_o")
-    ranked = tagged.withColumn("_r", F.row_number().over(inner))
-    ranked = ranked.join(offsets, [*keys, "_slice"])
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*names)
+    ranked = split.withColumn("_r", F.row_number().over(inside)).join(offsets, [*keys, "_slice"])
     return ranked.select(*df.columns, (F.col("_r").cast("long") + F.col("_before")).alias(out))
 
 
-def _halve(acc):
-    """One step of the search for the number of boundaries at or below the row."""
-    mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-    below = F.get(F.col("_bounds"), mid) <= F.col("_o")
-    active = acc["lo"] < acc["hi"]
-    return F.struct(
-        F.when(active & below, mid + 1).otherwise(acc["lo"]).alias("lo"),
-        F.when(active & ~below, mid).otherwise(acc["hi"]).alias("hi"),
-    )
-
-
 def average_rank(
     df: DataFrame,
     x: str,

@@ -44,8 +44,11 @@ def test_order_position(sdf, panel, how):
 def test_slices_really_split_the_hot_group(sdf):
     """A task sees a slice of a group, not the group."""
     df = G.order_position(sdf.where("x is not null"), ["trade_date"], ["x", "ts_code"], "p", **LARGE)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "_slice" in plan
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "row_number()" in line]
+    assert windows and all("_slice" in line for line in windows)
+    biggest = sdf.where("x is not null").groupBy("trade_date").count().agg(F.max("count")).first()[0]
+    assert biggest > 200
 
 
 @pytest.mark.parametrize("how", [{}, LARGE])
