@@ -167,8 +167,10 @@ def group_quantiles(
             F.max(F.when(is_lo, F.col(x))).alias(f"_lo{i}"),
             F.max(F.when(is_hi, F.col(x))).alias(f"_hi{i}"),
             F.max(h - F.floor(h)).alias(f"_f{i}"),
+            F.max(F.ceil(h) - h).alias(f"_c{i}"),
         ]
-        outs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(name))
+        between = F.col(f"_c{i}") * F.col(f"_lo{i}") + F.col(f"_f{i}") * F.col(f"_hi{i}")
+        outs.append(F.when(F.col(f"_f{i}") == 0, F.col(f"_lo{i}")).otherwise(between).alias(name))
     return placed.where(wanted).groupBy(*keys).agg(*picks).select(*keys, *outs)
 
 

@@ -46,14 +46,18 @@ def asof_join(
     """
     columns = list(columns)
     one = latest_per_date(right, by, right_on, columns, list(tie))
-    rows = left.select(
-        F.col(by).alias("_k"), F.col(left_on).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l")
-    )
+    rest = [c for c in left.columns if c not in (by, left_on)]
+    carried = F.struct(*rest) if rest else F.struct(F.lit(1).alias("_none"))
+    rows = left.select(F.col(by).alias("_k"), F.col(left_on).alias("_t"), F.lit(1).alias("_side"), carried.alias("_l"))
     recs = one.select(F.col(by).alias("_k"), F.col(right_on).alias("_t"), F.lit(0).alias("_side"), "_r")
     both = rows.unionByName(recs, allowMissingColumns=True)
     w = Window.partitionBy("_k").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-    return carried.select(*[F.col("_l")[c].alias(c) for c in left.columns], *[F.col("_r")[c].alias(c) for c in columns])
+    seen = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    # the key columns keep their identity, so later work by instrument needs no new exchange
+    own = {by: F.col("_k"), left_on: F.col("_t")}
+    return seen.select(
+        *[own.get(c, F.col("_l")[c]).alias(c) for c in left.columns], *[F.col("_r")[c].alias(c) for c in columns]
+    )
 
 
 def expiring_asof_join(
@@ -93,6 +97,15 @@ def interval_join(
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*left.columns, *columns)
 
 
+def join_calendar(df: DataFrame, series: DataFrame, date: str = "trade_date", how: str = "left") -> DataFrame:
+    """Join a date-level series to a panel without moving the panel.
+
+    The series holds one row per YYYYMMDD date, at most 366 for each of 9999 years, so
+    broadcasting it is bounded whatever the size of the panel.
+    """
+    return df.join(F.broadcast(series), date, how)
+
+
 def align_weights(a: DataFrame, b: DataFrame, keys: Sequence[str], left: str = "w0", right: str = "w1") -> DataFrame:
     """Two weight vectors on the union of their names, zero where one lacks a name."""
     df = a.join(b, list(keys), "full_outer")

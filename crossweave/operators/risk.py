@@ -17,6 +17,7 @@ from ..functions.columns import safe_div
 from ..functions.groups import average_rank, group_stats, with_quantiles
 from ..functions.rolling import Series, pair_corr
 from .cross_section import composite, composites, group_least_squares, least_squares_residual, winsorize, zscore
+from .joins import join_calendar
 
 DATE = "trade_date"
 BY_STOCK = Series()
@@ -32,10 +33,14 @@ def size(bars: DataFrame) -> DataFrame:
     return bars.withColumn("SIZE", F.log(F.nullif(med, F.lit(0.0))))
 
 
-def beta(bars: DataFrame, lookback: int = 252, min_obs: int = 120) -> DataFrame:
-    """Rolling covariance with the equal-weight market over its variance, on complete pairs."""
-    mkt = bars.groupBy(DATE).agg(F.avg("pct_chg").alias("_mkt"))
-    df = bars.join(mkt, DATE, "left")
+def beta(bars: DataFrame, lookback: int = 252, min_obs: int = 120, market: DataFrame | None = None) -> DataFrame:
+    """Rolling covariance with the equal-weight market over its variance, on complete pairs.
+
+    ``market`` may supply bars with a shorter lineage for the market mean.
+    """
+    source = bars if market is None else market
+    mkt = source.groupBy(DATE).agg(F.avg("pct_chg").alias("_mkt"))
+    df = join_calendar(bars, mkt)
     w = BY_STOCK.frame(-(lookback - 1))
     both = F.col("pct_chg").isNotNull() & F.col("_mkt").isNotNull()
     x, y = F.when(both, F.col("_mkt")), F.when(both, F.col("pct_chg"))
@@ -77,6 +82,7 @@ def leverage(df: DataFrame) -> DataFrame:
 def exposures(
     bars: DataFrame, beta_lookback: int = 252, beta_min_obs: int = 120, group_rows: int | None = None,
     industry: str | None = None, industries: Sequence[str] = (), benchmark: str | None = None,
+    market: DataFrame | None = None,
 ) -> DataFrame:
     """Eight normalised style exposures and 0/1 industry columns without the benchmark industry.
 
@@ -84,7 +90,7 @@ def exposures(
     debt_to_assets and, for industries, the label column.
     """
     # all per-instrument windows first, then all per-date statistics: two exchanges in all
-    df = liquidity(momentum(size(beta(bars, beta_lookback, beta_min_obs))))
+    df = liquidity(momentum(size(beta(bars, beta_lookback, beta_min_obs, market))))
     df = leverage(df).withColumns(
         {
             "_v20": BY_STOCK.std("pct_chg", 20, 10),

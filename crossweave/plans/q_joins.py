@@ -141,7 +141,7 @@ def _(m):
 )
 def _(m):
     b = m.bars()
-    df = b.join(A.market_return(b), "trade_date", "left")
+    df = J.join_calendar(b, A.market_return(b))
     return df.select("trade_date", "ts_code", (F.col("pct_chg") / 100.0 - F.col("mkt_ret")).alias("excess"))
 
 

@@ -97,7 +97,7 @@ _DUM = ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 def exposures(m):
     return R.exposures(
-        with_industry(m, panel(m)), 60, 20, m.names, "l1_name", ["AFRICA", *_DUM], "AFRICA"
+        with_industry(m, panel(m)), 60, 20, m.names, "l1_name", ["AFRICA", *_DUM], "AFRICA", market=m.bars()
     )
 
 

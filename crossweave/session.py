@@ -7,7 +7,6 @@ one of these settings for right results.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -28,18 +27,3 @@ def local_session(app: str = "crossweave", cpus: int | str | None = None) -> Spa
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .getOrCreate()
     )
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the session; a fresh temporary one only if none is set."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="crossweave-checkpoint-")
-    sc.setCheckpointDir(configured)
-    return configured
