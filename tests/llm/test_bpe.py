@@ -7,6 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from crossweave.llm.bpe import LowerSplitter, SpacedSplitter, Vocabulary
+from crossweave.llm.bpe_table import encode_decode
 from crossweave.llm.token_counts import count_tokens
 
 TEXTS = [
@@ -55,3 +56,21 @@ def test_count_tokens_rows(spark):
 
 def sha(b):
     return hashlib.sha256(b).hexdigest()
+
+
+def test_encode_decode_equals_the_library(spark):
+    texts = TEXTS + noise(60, 3)
+    rows = [(i, t, 1, "x") for i, t in enumerate(texts)] + [(None, "null id zz", 2, None), (3, TEXTS[3], 1, "x"), (3, "same id, other text", 1, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids int, word string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+
+    def want(t):
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        return b"".join(i.to_bytes(4, "little") for i in ids), lib.decode(ids, skip_special_tokens=False)
+
+    for frequent in (0, 40, 1 << 18):
+        out = encode_decode(docs, path, carry=("ids",), frequent=frequent).toDF("doc_id", "raw", "decoded", "ids")
+        got = sorted(((r.doc_id is None, r.doc_id or 0, bytes(r.raw), r.decoded, r.ids) for r in out.collect()))
+        assert got == sorted((i is None, i or 0, *want(t), n) for i, t, n, _ in rows)
+    assert encode_decode(docs.limit(0), path).count() == 0
