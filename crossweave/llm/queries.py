@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_table import encode_decode
-from .common import table
+from .common import shared_table, table
+from .media import sniff_media, store_texts
 from .registry import query
 from .token_counts import count_tokens
 
@@ -24,3 +25,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op9_media_columns")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = shared_table(store_texts(table(spark, sf_dir, "documents")).withColumn("key", F.struct("doc_id", "n_bytes")), "media")
+    found = sniff_media(stored, id_col="key").select("key.*", "*").drop("key")
+    inside = F.array_join(F.transform("carved", lambda c: F.concat_ws(":", c["media_type"], c["start"], c["length"])), ",")
+    return found.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
+        F.concat_ws(";", "media_type", F.col("corrected").cast("string"), inside).alias("feature"),
+    )
