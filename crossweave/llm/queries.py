@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from .bpe_table import encode_decode
 from .common import shared_table, table
+from .labels import held_out
 from .media import sniff_media, store_texts
+from .quality import score_quality
 from .registry import query
 from .token_counts import count_tokens
 
@@ -36,3 +38,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
         F.concat_ws(";", "media_type", F.col("corrected").cast("string"), inside).alias("feature"),
     )
+
+
+def decided(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    predicted = (F.col("score") >= 0.3).cast("int")
+    return scored.select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query("op3_quality_discriminant")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 5, 0)
