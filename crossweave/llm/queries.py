@@ -12,6 +12,7 @@ from .labels import held_out
 from .media import sniff_media, store_texts
 from .quality import score_quality
 from .registry import query
+from .toxicity import score_toxicity
 from .token_counts import count_tokens
 
 
@@ -48,3 +49,8 @@ def decided(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:
 @query("op3_quality_discriminant")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 5, 0)
+
+
+@query("op5_toxicity_weak_supervision")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decided(score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 4, 2)
