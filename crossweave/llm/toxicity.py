@@ -20,7 +20,11 @@ MINED_ROWS, VOTERS = 20_000, 256
 #: candidates for voters that reach the driver, the strongest first
 CANDIDATES = 4096
 PREFIXES = range(4, 10)
-LEAST_SUPPORT, LEAST_PRECISION = 4, 0.5
+#: a candidate needs so much evidence (twice the log-likelihood ratio) and precision (lower bound)
+LEAST_EVIDENCE, LEAST_PRECISION = 30.0, 0.25
+#: pattern voters over all lexicon hits of a text: so many of them, or such a share of its words
+HITS, SHARES = (2, 3, 5), (0.005, 0.01, 0.015)
+PATTERNS = len(HITS) + len(SHARES)
 ROUNDS = 8
 WORD = re.compile(r"[^\W\d_]+")
 #: what the classifier sees besides the voters
@@ -33,55 +37,49 @@ def marks(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) > k}
 
 
-def mine(texts: DataFrame) -> list[tuple[str, int, int]]:
-    """(mark, toxic rows, other rows) of the marks with the best lower bound on their precision.
+def mine(texts: DataFrame, toxic: int, other: int) -> list[tuple[str, float]]:
+    """(mark, evidence) of the marks that speak most for toxic rows, strongest first.
 
-    ``texts`` holds (text, y) of the bounded labelled sample. Tasks count marks of their rows before the exchange."""
+    ``texts`` holds (text, y) of the bounded labelled sample, with ``toxic`` and ``other`` rows. Tasks count marks of
+    their rows before the exchange. Evidence is twice the log-likelihood ratio against the base rate."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1), strict=True):
                 seen[y.as_py()].update(marks(text.as_py() or ""))
-        keys = list(seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([0] * len(keys), pa.int64())], ["mark", "p", "n"])
-        keys = list(seen[0])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([0] * len(keys), pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], ["mark", "p", "n"])
+        keys = list(seen[0] | seen[1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], ["mark", "p", "n"]
+        )
 
     counted = texts.select("text", "y").mapInArrow(count, "mark string, p long, n long").groupBy("mark").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    total, z = F.col("p") + F.col("n"), 1.28
+    base, z = toxic / max(toxic + other, 1), 1.28
+    total = F.col("p") + F.col("n")
     share = F.col("p") / total
     wilson = (share + z * z / (2 * total) - z * F.sqrt(share * (1 - share) / total + z * z / (4 * total * total))) / (1 + z * z / total)
-    best = counted.where((F.col("p") >= LEAST_SUPPORT) & (wilson >= LEAST_PRECISION))
-    rows = best.orderBy(F.desc(wilson * F.log1p("p")), "mark").limit(CANDIDATES).collect()
-    return [(r["mark"], r["p"], r["n"]) for r in rows]
+    part = lambda k, rate: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / total / rate)).otherwise(0.0)
+    evidence = 2 * (part("p", base) + part("n", 1 - base))
+    best = counted.where("p > 0").withColumn("evidence", evidence).where((F.col("evidence") >= LEAST_EVIDENCE) & (wilson >= LEAST_PRECISION) & (share > base))
+    return [(r["mark"], r["evidence"]) for r in best.orderBy(F.desc("evidence"), "mark").limit(CANDIDATES).collect()]
 
 
-def choose(candidates: list[tuple[str, int, int]], most: int = VOTERS) -> list[str]:
-    """Voters in order of strength; a mark that only narrows a chosen beginning, or widens nothing, is left out."""
+def choose(candidates: list[tuple[str, float]], most: int = VOTERS) -> list[str]:
+    """Marks in order of evidence, the wider one among equals; one that begins another, or is begun by it, is left out."""
     chosen: list[str] = []
-    counts = {m: p for m, p, _ in candidates}
-    stems: set[str] = set()
-    # a beginning covers its longer forms: prefer the wider mark, then the shorter text
-    for m, _, _ in sorted(candidates, key=lambda c: (-c[1], len(c[0]), c[0])):
+    for m, _ in sorted(candidates, key=lambda c: (-c[1], len(c[0].rstrip("*")), c[0])):
         body = m.rstrip("*")
-        if any(body[:k] in stems for k in range(1, len(body) + 1)):
-            continue
-        if m.endswith("*") and counts.get(body, 0) >= counts[m]:
-            continue
-        chosen.append(m)
-        if m.endswith("*"):
-            stems.add(body)
-        if len(chosen) == most:
-            break
+        if len(chosen) < most and not any(body.startswith(c.rstrip("*")) or c.startswith(body) for c in chosen):
+            chosen.append(m)
     return chosen
 
 
-def cast_votes(docs: DataFrame, voters: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, votes, words, capitals, exclamations): the sorted numbers of the voters that fire, and general statistics."""
-    exact = {m: i for i, m in enumerate(voters) if not m.endswith("*")}
+def cast_votes(docs: DataFrame, lexicon: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(id, votes, words, capitals, exclamations): the sorted numbers of the voters that fire (lexicon marks, then the
+    patterns over all their hits) and general statistics."""
+    exact = {m: i for i, m in enumerate(lexicon) if not m.endswith("*")}
     begins: dict[int, dict[str, int]] = {}
-    for i, m in enumerate(voters):
+    for i, m in enumerate(lexicon):
         if m.endswith("*"):
             begins.setdefault(len(m) - 1, {})[m[:-1]] = i
 
@@ -92,9 +90,17 @@ def cast_votes(docs: DataFrame, voters: list[str], id_col: str, text_col: str) -
                 text = value.as_py() or ""
                 found = WORD.findall(text.lower())
                 words = set(found)
-                fired = {exact[w] for w in words & exact.keys()}
+                hit = words & exact.keys()
+                fired = {exact[w] for w in hit}
                 for k, names in begins.items():
-                    fired |= {names[w] for w in {w[:k] for w in words if len(w) > k} & names.keys()}
+                    for w in words:
+                        if w[:k] in names and len(w) > k:
+                            hit.add(w)
+                            fired.add(names[w[:k]])
+                if hit:
+                    hits = sum(map(hit.__contains__, found))
+                    passed = [hits >= h for h in HITS] + [hits >= s * len(found) and hits > 1 for s in SHARES]
+                    fired |= {len(lexicon) + i for i, x in enumerate(passed) if x}
                 votes.append(sorted(fired))
                 n = max(len(text), 1)
                 general.append((float(np.log1p(len(found))), (sum(map(str.isupper, text)) / n) ** 0.5, (text.count("!") / n) ** 0.5))
@@ -126,43 +132,48 @@ class LabelModel:
         return float(e[-1] + e[list(votes)].sum())
 
 
-def fit_label_model(patterns: DataFrame, rows: int, start: list[tuple[int, int]], prior: float, rounds: int = ROUNDS) -> LabelModel:
-    """Expectation-maximisation over all rows, labelled or not, after the voters' rates in the mined sample as a start.
+def fit_label_model(patterns: DataFrame, rows: int, labelled: np.ndarray, sizes: tuple[int, int], rounds: int = ROUNDS) -> LabelModel:
+    """Expectation-maximisation over all rows; labelled rows take part a second time with their known class, which
+    anchors the classes.
 
     ``patterns`` has one row per set of firing voters with its count ``n``; a round is one aggregation to two numbers
-    per voter. Correlations come from weighted counts of voters that fire together: a voter shares its weight with
-    those it repeats beyond chance within the toxic class, so a clique of forms of one word counts about once.
+    per voter. ``labelled`` counts firings by class (2, voters), ``sizes`` the labelled rows. Correlations come from weighted counts of
+    voters that fire together: a voter shares its weight with those it repeats beyond chance within the toxic
+    class, so forms of one word count about once.
     """
-    m = len(start)
-    p = np.array([s[0] for s in start], float)
-    n = np.array([s[1] for s in start], float)
-    rates = np.clip(np.stack([n, p]), 1e-5, 0.999)
-    model = LabelModel(float(np.clip(prior, 1e-4, 0.5)), rates, np.ones(m))
-    together = patterns.select("n", "votes")
+    m, known = labelled.shape[1], np.array(sizes, float)
+    rates = (labelled + 0.5) / (known[:, None] + 1)
+    prior = float(np.clip(known[1] / known.sum(), 1e-4, 0.5))
+    model = LabelModel(prior, rates, np.ones(m))
     for k in range(rounds):
         e = model.evidence
         literal = F.array(*[F.lit(float(x)) for x in e[:-1]])
         odds = F.aggregate("votes", F.lit(float(e[-1])), lambda a, v: a + F.element_at(literal, v + 1))
-        weighed = together.withColumn("t", F.col("n") / (1 + F.exp(-odds)))
-        toxic = weighed.agg(F.sum("t")).first()[0] or 0.0
-        by_voter = weighed.select("n", "t", F.explode("votes").alias("v")).groupBy("v").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect()
-        fired = np.zeros((2, m))
+        weighed = patterns.select("n", "votes", (F.col("n") / (1 + F.exp(-odds))).alias("t"))
+        # voter -1 stands for all rows
+        by_voter = weighed.select("n", "t", F.explode(F.concat(F.array(F.lit(-1)), "votes")).alias("v")).groupBy("v").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect()
+        fired, toxic = np.zeros((2, m)), 0.0
         for r in by_voter:
-            fired[:, r["v"]] = r["n"] - r["t"], r["t"]
-        # a few rows' worth of the start keep rare voters from drifting
-        rates = (fired + 8 * np.stack([n, p])) / (np.array([[max(rows - toxic, 0.0)], [toxic]]) + 8)
-        prior = float(np.clip(toxic / max(rows, 1), 1e-4, 0.5))
-        model = LabelModel(prior, np.clip(rates, 1e-6, 0.999), model.weights)
-        if k == 1 and toxic > 1:
+            if r["v"] < 0:
+                toxic = r["t"]
+            else:
+                fired[:, r["v"]] = r["n"] - r["t"], r["t"]
+        size = np.array([max(rows - toxic, 0.0), toxic])
+        rates = (fired + labelled + 0.5) / (size + known + 1)[:, None]
+        before, prior = prior, float(np.clip((toxic + known[1]) / (rows + known.sum()), 1e-4, 0.5))
+        model = LabelModel(prior, np.clip(rates, 1e-9, 0.999), model.weights)
+        if k == 0 and toxic > 1:
             pairs = weighed.select("t", F.explode("votes").alias("a"), "votes").select("t", "a", F.explode("votes").alias("b")).where("a < b")
             joint = np.zeros((m, m))
             for r in pairs.groupBy("a", "b").agg(F.sum("t").alias("t")).collect():  # at most voters squared
                 joint[r["a"], r["b"]] = joint[r["b"], r["a"]] = r["t"] / toxic
-            q = model.rates[1]
+            q = fired[1] / toxic
             spread = np.sqrt(np.outer(q * (1 - q), q * (1 - q)))
-            correlation = np.clip((joint - np.outer(q, q)) / np.maximum(spread, 1e-9), 0, 1)
+            correlation = np.where(spread > 1e-9, (joint - np.outer(q, q)) / np.maximum(spread, 1e-9), 0)
             np.fill_diagonal(correlation, 0)
-            model.weights = 1 / (1 + (correlation * (correlation > 0.1)).sum(axis=1))
+            model.weights = 1 / (1 + np.clip(np.where(correlation > 0.1, correlation, 0), 0, 1).sum(axis=1))
+        elif abs(prior - before) < 1e-5:
+            break
     return model
 
 
@@ -232,21 +243,23 @@ def score_toxicity(
     voters and every score is 0. Other columns are never read.
     """
     known = learned_labels(labels, label_col, modulus, remainder, id_col)
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(MINED_ROWS)
-    sample = shared_table(sample, "mined")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # at most MINED_ROWS
-    candidates = mine(texts)
+    sample = shared_table(known.orderBy(F.xxhash64("id"), "id").limit(MINED_ROWS), "mined")
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    if not candidates:
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # at most MINED_ROWS
+    lexicon = choose(mine(texts, sizes.get(1, 0), sizes.get(0, 0))) if len(sizes) == 2 else []
+    if not lexicon:
         return docs.select(F.col(id_col), F.lit(0.0).alias("score"))
-    voters = choose(candidates)
-    found = {m: (p, n) for m, p, n in candidates}
-    start = [((found[m][0] + 0.5) / (sizes.get(1, 0) + 1), (found[m][1] + 0.5) / (sizes.get(0, 0) + 1)) for m in voters]
-    cast = shared_table(cast_votes(docs, voters, id_col, text_col), "votes")
+    cast = shared_table(cast_votes(docs, lexicon, id_col, text_col), "votes")
     patterns = shared_table(cast.groupBy("votes").agg(F.count("*").alias("n")), "patterns")
     rows = patterns.agg(F.sum("n")).first()[0] or 0
-    prior = sizes.get(1, 0) / max(sum(sizes.values()), 1)
-    model = fit_label_model(patterns, rows, start, prior)
+    everyone = F.explode(F.concat(F.array(F.lit(-1)), "votes")).alias("v")
+    labelled, of_class = np.zeros((2, len(lexicon) + PATTERNS)), [0, 0]
+    for r in cast.join(known, "id").select("y", everyone).groupBy("y", "v").count().collect():
+        if r["v"] < 0:
+            of_class[r["y"]] = r["count"]
+        else:
+            labelled[r["y"], r["v"]] = r["count"]
+    model = fit_label_model(patterns, rows, labelled, tuple(of_class))
     w = fit_classifier(cast, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
