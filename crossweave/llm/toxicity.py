@@ -21,7 +21,7 @@ MINED_ROWS, VOTERS = 20_000, 256
 CANDIDATES = 4096
 PREFIXES = range(4, 10)
 #: a candidate needs so much evidence (twice the log-likelihood ratio) and precision (lower bound)
-LEAST_EVIDENCE, LEAST_PRECISION = 30.0, 0.25
+LEAST_EVIDENCE, LEAST_PRECISION = 30.0, 0.15
 #: pattern voters over all lexicon hits of a text: so many of them, or such a share of its words
 HITS, SHARES = (2, 3, 5), (0.005, 0.01, 0.015)
 PATTERNS = len(HITS) + len(SHARES)
@@ -32,9 +32,16 @@ GENERAL = ("one", "fired", "fired_share", "strength", "strongest", "words", "cap
 
 
 def marks(text: str) -> set[str]:
-    """What voters look for: the words of a text, and the beginnings (``abcd*``) of its longer words."""
-    words = set(WORD.findall(text.lower()))
-    return words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) > k}
+    """What voters look for: the words of a text, the beginnings of its longer words (``abcd*``), and beginnings that
+    at least two of its words share or that a word repeats (``abcd**``)."""
+    found = Counter(WORD.findall(text.lower()))
+    begun: Counter = Counter()
+    for w, n in found.items():
+        for k in PREFIXES:
+            if len(w) <= k:
+                break
+            begun[w[:k]] += n
+    return found.keys() | {b + "*" for b in begun} | {b + "**" for b, n in begun.items() if n > 1}
 
 
 def mine(texts: DataFrame, toxic: int, other: int) -> list[tuple[str, float]]:
@@ -65,23 +72,26 @@ def mine(texts: DataFrame, toxic: int, other: int) -> list[tuple[str, float]]:
 
 
 def choose(candidates: list[tuple[str, float]], most: int = VOTERS) -> list[str]:
-    """Marks in order of evidence, the wider one among equals; one that begins another, or is begun by it, is left out."""
-    chosen: list[str] = []
+    """Marks in order of evidence, the wider one among equals; one whose letters begin another's, or are begun by
+    them, is left out, except the two doses of one beginning."""
+    chosen: dict[str, str] = {}
     for m, _ in sorted(candidates, key=lambda c: (-c[1], len(c[0].rstrip("*")), c[0])):
         body = m.rstrip("*")
-        if len(chosen) < most and not any(body.startswith(c.rstrip("*")) or c.startswith(body) for c in chosen):
-            chosen.append(m)
-    return chosen
+        near = {b for b in chosen.values() if body.startswith(b) or b.startswith(body)}
+        if len(chosen) < most and near <= {body}:
+            chosen[m] = body
+    return list(chosen)
 
 
 def cast_votes(docs: DataFrame, lexicon: list[str], id_col: str, text_col: str) -> DataFrame:
     """(id, votes, words, capitals, exclamations): the sorted numbers of the voters that fire (lexicon marks, then the
     patterns over all their hits) and general statistics."""
     exact = {m: i for i, m in enumerate(lexicon) if not m.endswith("*")}
-    begins: dict[int, dict[str, int]] = {}
+    begins: dict[int, dict[str, list[tuple[int, int]]]] = {}
     for i, m in enumerate(lexicon):
         if m.endswith("*"):
-            begins.setdefault(len(m) - 1, {})[m[:-1]] = i
+            body = m.rstrip("*")
+            begins.setdefault(len(body), {}).setdefault(body, []).append((len(m) - len(body), i))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,10 +103,11 @@ def cast_votes(docs: DataFrame, lexicon: list[str], id_col: str, text_col: str)
                 hit = words & exact.keys()
                 fired = {exact[w] for w in hit}
                 for k, names in begins.items():
-                    for w in words:
-                        if w[:k] in names and len(w) > k:
-                            hit.add(w)
-                            fired.add(names[w[:k]])
+                    begun = [w for w in words if w[:k] in names and len(w) > k]
+                    if begun:
+                        hit.update(begun)
+                        dose = Counter(w[:k] for w in found if w in hit and w[:k] in names and len(w) > k)
+                        fired |= {i for b, n in dose.items() for least, i in names[b] if n >= least}
                 if hit:
                     hits = sum(map(hit.__contains__, found))
                     passed = [hits >= h for h in HITS] + [hits >= s * len(found) and hits > 1 for s in SHARES]
