@@ -8,14 +8,14 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SpacedSplitter, Vocabulary
 from .common import field_type, shared_table
 
 #: bounds of the broadcast part of the word table: number of words, and bytes of a word in it
-FREQUENT_WORDS = 1 << 18
+FREQUENT_WORDS = 1 << 19
 FREQUENT_BYTES = 64
 #: words a task counts before it hands its counts on
 COUNTED_WORDS = 400_000
@@ -29,20 +29,22 @@ def _words(vocabulary: Vocabulary, split: SpacedSplitter, text: str) -> list[str
     return [w for special, part in pieces for w in ((part,) if special else split(part))]
 
 
-def piece_table(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Id to bytes, as wide as the vocabulary."""
+def pieces(vocabulary: Vocabulary) -> list[bytes]:
+    """Bytes of each id; as long as the vocabulary."""
     back = {c: b for b, c in enumerate(vocabulary.byte)}
-    rows = [(i, bytes(bytearray(back[c] for c in s))) for s, i in vocabulary.ids.items()]
-    rows += [(i, s.encode()) for s, i in vocabulary.special.items() if i not in set(vocabulary.ids.values())]
-    arrow = pa.table({"id": pa.array([r[0] for r in rows], pa.int32()), "piece": pa.array([r[1] for r in rows], pa.binary())})
-    return docs.sparkSession.createDataFrame(arrow)
+    out = [b""] * (1 + max([*vocabulary.ids.values(), *vocabulary.special.values()]))
+    for s, i in vocabulary.ids.items():
+        out[i] = bytes(bytearray(back[c] for c in s))
+    for s, i in vocabulary.special.items():
+        out[i] = s.encode()
+    return out
 
 
 def word_table(texts: DataFrame, source: str) -> DataFrame:
-    """Distinct words with their count, ids (little-endian unsigned 32 bits) and decoded bytes.
+    """Distinct words with their count and ids (little-endian unsigned 32 bits); each is encoded once.
 
-    Tasks count words before the exchange, so a frequent word is one row per task. Each distinct word is encoded
-    once; its ids are decoded by a join with the id-to-piece table and put together by position.
+    Tasks count words before the exchange, so a frequent word is one row per task; sorted words share their
+    beginnings, which the shuffle files compress.
     """
     shared = texts.sparkSession.sparkContext.broadcast(source)
 
@@ -50,7 +52,8 @@ def word_table(texts: DataFrame, source: str) -> DataFrame:
         vocabulary, split, seen = Vocabulary(shared.value), SpacedSplitter(), Counter()
 
         def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            words = sorted(seen)
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
             seen.clear()
             return out
 
@@ -69,26 +72,30 @@ def word_table(texts: DataFrame, source: str) -> DataFrame:
         for batch in batches:
             words = batch.column(0).to_pylist()
             ids = [[special[w]] if w in special else vocabulary.encode(w) for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], ["word", "n", "ids"]
+            )
 
     counted = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    encoded = counted.mapInArrow(encode, "word string, n long, ids array<int>").withColumn("w", F.monotonically_increasing_id())
-    first = F.col("pos") == 0
-    placed = encoded.select("w", "word", "n", "ids", F.posexplode("ids").alias("pos", "id")).select(
-        "w", "pos", "id", F.when(first, F.col("word")).alias("word"), F.when(first, F.col("n")).alias("n")
-    )
-    pieces = F.broadcast(piece_table(texts, Vocabulary(source)))  # one row per vocabulary entry
-    joined = placed.join(pieces, "id").groupBy("w").agg(
-        F.max("word").alias("word"), F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "id", "piece"))).alias("p")
-    )
-    little = lambda x: F.reverse(F.unhex(F.lpad(F.hex(x["id"]), 8, "0")))
-    glue = lambda part: F.aggregate(F.col("p"), F.lit(b""), lambda a, x: F.concat(a, part(x)))
-    return shared_table(joined.select("word", "n", F.col("p.id").alias("ids"), glue(lambda x: x["piece"]).alias("decoded")), "words")
+    return shared_table(counted.mapInArrow(encode, "word string, n long, ids binary"), "words")
+
+
+def count_level() -> Column:
+    """Steps of the word counts, sixteen per power of two."""
+    return F.floor(F.log2(F.col("n").cast("double")) * 16)
+
+
+def _escape(word: str) -> str:
+    return word.replace("\x01", "\x01b").replace("\0", "\x01a")
+
+
+def _unescape(word: str) -> str:
+    return word.replace("\x01a", "\0").replace("\x01b", "\x01")
 
 
 def frequent_words(words: DataFrame, most: int = FREQUENT_WORDS) -> tuple[DataFrame, float]:
     """The words above a count that at most ``most`` words reach, and that count; words over the byte bound stay out."""
-    level = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    level = count_level()
     short = words.where(F.octet_length("word") <= FREQUENT_BYTES)
     steps = sorted(short.groupBy(level.alias("level")).count().collect(), reverse=True)  # at most 16 rows per power of two
     total, bound = 0, float("inf")
@@ -109,7 +116,8 @@ def encode_decode(
     The word table is joined back in two ways. Its most frequent words (a stated number of bounded words) are
     broadcast, which also takes the hot keys out of the exchange; each remaining word of a document travels as
     (word, document, place) to an ordinary join. A document itself travels once, as compressed places in the
-    word table, and is put together by position.
+    word table with its remaining words, and is put together by position. Decoding joins every id of a document with
+    the id-to-piece table, which is as long as the vocabulary.
 
     Null and empty texts have no ids and decode to the empty text. Repeated rows, null ids and extra columns are kept
     as they are; an empty table gives an empty table.
@@ -119,86 +127,79 @@ def encode_decode(
         source = f.read()
     words = word_table(docs.select(F.col(text_col).alias("text")), source)
     often, bound = frequent_words(words, frequent)
-    table = often.select("word", "ids", "decoded").toArrow()
-    dictionary = spark.sparkContext.broadcast(table.column("word").to_pylist())
-    meaning = spark.sparkContext.broadcast(
-        ([np.array(x, "<u4").tobytes() for x in table.column("ids").to_pylist()], table.column("decoded").to_pylist())
-    )
+    table = often.select("word", "ids", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    dictionary = spark.sparkContext.broadcast(table.column("word").to_pylist())  # common words get small places
+    meaning = spark.sparkContext.broadcast(table.column("ids").to_pylist())
     shared, known = spark.sparkContext.broadcast(source), table.num_rows
+    others = words.where((F.octet_length("word") > FREQUENT_BYTES) | (count_level() < bound)).select("word", "ids")
 
     kind = field_type(docs, id_col)
     kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
     kinds = "".join(f", c{i} {field_type(docs, c)}" for i, c in enumerate(carry))
     rows = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("a"), F.xxhash64(F.col(text_col)).alias("h"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"), *kept,
     )
 
-    def placed(text, vocabulary, split, place):
-        """Places of the words in the table; words beyond it get places after it, in order of first appearance."""
-        rest: dict[str, int] = {}
-        found = _words(vocabulary, split, text)
-        out = [place.get(w, -1) for w in found]
-        if -1 in out:
-            out = [known + rest.setdefault(w, len(rest)) if p < 0 else p for p, w in zip(out, found, strict=True)]
-        return out, rest
-
-    def tools():
-        return Vocabulary(shared.value), SpacedSplitter(), {w: i for i, w in enumerate(dictionary.value)}
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, split, place = tools()
-        for batch in batches:
-            at, word, k = [], [], []
-            for row, value in enumerate(batch.column(2)):
-                rest = dict.fromkeys(w for w in _words(vocabulary, split, value.as_py()) if w not in place)
-                at += [row] * len(rest)
-                word += rest
-                k += range(len(rest))
-            at = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(k, pa.int32()), pa.array(word, pa.string())], ["id", "h", "k", "word"]
-            )
-
     def skeleton(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, split, place = tools()
+        vocabulary, split, place = Vocabulary(shared.value), SpacedSplitter(), {w: i for i, w in enumerate(dictionary.value)}
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             packed = []
             for value in batch.column(2):
-                places = np.array(placed(value.as_py(), vocabulary, split, place)[0], "<u4")
-                packed.append(press.compress(places.view("u1").reshape(-1, 4).T.tobytes()))
+                found, rest = _words(vocabulary, split, value.as_py()), {}
+                places = [place.get(w, -1) for w in found]
+                if -1 in places:  # words beyond the table get places after it, in order of first appearance
+                    places = [known + rest.setdefault(w, len(rest)) if p < 0 else p for p, w in zip(places, found, strict=True)]
+                planes = press.compress(np.array(places, "<u4").view("u1").reshape(-1, 4).T.tobytes())
+                packed.append(len(planes).to_bytes(8, "little") + planes + "\0".join(map(_escape, rest)).encode())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(packed, pa.binary()), *batch.columns[3:]], ["a", "h", "packed", *batch.schema.names[3:]]
+            )
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, word, k = [], [], []
+            for row, value in enumerate(batch.column(2)):
+                blob = value.as_py()
+                rest = blob[8 + int.from_bytes(blob[:8], "little") :].decode()
+                if rest:
+                    rest = list(map(_unescape, rest.split("\0")))
+                    at += [row] * len(rest)
+                    word += rest
+                    k += range(len(rest))
+            at = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(packed, pa.binary()), *batch.columns[3:]], ["id", "h", "packed", *batch.schema.names[3:]]
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(k, pa.int32()), pa.array(word, pa.string())], ["a", "h", "k", "word"]
             )
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        tables = [np.array([*t, b""], object)[:-1] for t in meaning.value]
+        common = np.array([*meaning.value, b""], object)
+        piece = pa.array(pieces(Vocabulary(shared.value)), pa.binary())
         for batch in batches:
-            columns = ([], [])
+            ids, texts = [], []
             for packed, rest in zip(batch.column(1), batch.column(2), strict=True):
-                raw = unpack.decompress(packed.as_py())
+                blob = packed.as_py()
+                raw = unpack.decompress(blob[8 : 8 + int.from_bytes(blob[:8], "little")])
                 places = np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(4, -1).T).view("<u4").ravel()
+                parts = common.take(places, mode="clip")
                 beyond = np.flatnonzero(places >= known)
-                extra = {r["k"]: (np.array(r["ids"], "<u4").tobytes(), r["decoded"]) for r in rest.as_py() or ()}
-                for which, (t, out) in enumerate(zip(tables, columns, strict=True)):
-                    parts = np.empty(len(places), object)
-                    if known:
-                        parts[:] = t.take(places, mode="clip")
+                if len(beyond):
+                    extra = {r["k"]: r["ids"] for r in rest.as_py()}
                     for i in beyond:
-                        parts[i] = extra[int(places[i]) - known][which]
-                    out.append(b"".join(parts.tolist()))
+                        parts[i] = extra[int(places[i]) - known]
+                ids.append(b"".join(parts.tolist()))
+                of_ids = piece.take(pa.array(np.frombuffer(ids[-1], "<u4")))
+                texts.append(b"".join(of_ids.to_pylist()).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(columns[0], pa.binary()), pa.array([x.decode() for x in columns[1]], pa.string()), *batch.columns[3:]],
-                ["id", "ids", "decoded", *batch.schema.names[3:]],
+                [batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string()), *batch.columns[3:]], ["id", "ids", "decoded", *batch.schema.names[3:]]
             )
 
-    asked = rows.select("id", "h", "text").mapInArrow(rare, f"id {kind}, h long, k int, word string")
-    answers = asked.join(words.select("word", "ids", "decoded"), "word").groupBy("id", "h").agg(
-        F.collect_list(F.struct("k", "ids", "decoded")).alias("rest")
-    )
-    whole = rows.mapInArrow(skeleton, f"id {kind}, h long, packed binary{kinds}").alias("a")
-    both = whole.join(answers.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.h") == F.col("b.h")), "left")
-    both = both.select("a.id", "packed", "rest", *[f"c{i}" for i in range(len(carry))])
+    # both uses below read this one exchange; the packed column is opaque, so no branch prunes it into another
+    whole = rows.mapInArrow(skeleton, f"a string, h long, packed binary, id {kind}{kinds}").repartition("a", "h")
+    asked = whole.mapInArrow(ask, "a string, h long, k int, word string")
+    answers = asked.join(others, "word").groupBy("a", "h").agg(F.collect_list(F.struct("k", "ids")).alias("rest"))
+    both = whole.join(answers, ["a", "h"], "left").select("id", "packed", "rest", *[f"c{i}" for i in range(len(carry))])
     out = both.mapInArrow(assemble, f"id {kind}, ids binary, decoded string{kinds}")
     return out.select(F.col("id").alias(id_col), "ids", "decoded", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])

@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .bpe_table import encode_decode
 from .common import shared_table, table
+from .decontaminate import decontaminate
 from .labels import held_out
 from .media import sniff_media, store_texts
 from .quality import score_quality
@@ -54,3 +56,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_toxicity_weak_supervision")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 4, 2)
+
+
+@query("op6_benchmark_decontamination", sql=oracles.DECONTAMINATION)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
