@@ -15,6 +15,7 @@ from .media import sniff_media, store_texts
 from .quality import score_quality
 from .registry import query
 from .toxicity import score_toxicity
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 
 
@@ -65,3 +66,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op2_simhash_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
