@@ -11,6 +11,7 @@ from .bpe_table import encode_decode
 from .common import shared_table, table
 from .decontaminate import decontaminate
 from .labels import held_out
+from .line_dedup import line_dedup
 from .media import sniff_media, store_texts
 from .quality import score_quality
 from .registry import query
@@ -71,3 +72,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_simhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_line_chunk_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    cut = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + (x["stop"] - x["start"]))
+    return out.select(
+        "doc_id", F.size("removed").cast("long").alias("removed_chunks"), cut.alias("removed_bytes"),
+        F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"),
+    )
