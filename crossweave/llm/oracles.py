@@ -22,3 +22,16 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_QUARTERS = " || ".join(
+    f"substr('{_BASE32}', 1 + CAST((CAST('0x' || substr(hex, {1 + 5 * g}, 5) AS BIGINT) >> {5 * k}) % 32 AS INTEGER), 1)" for g in range(8) for k in (3, 2, 1, 0)
+)
+
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
+SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, {_QUARTERS} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (html)
+"""

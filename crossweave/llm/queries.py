@@ -18,6 +18,7 @@ from .registry import query
 from .toxicity import score_toxicity
 from .simhash import near_duplicates
 from .token_counts import count_tokens
+from .warc import archive_captures
 
 
 @query("op8_token_counts")
@@ -82,3 +83,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("removed").cast("long").alias("removed_chunks"), cut.alias("removed_bytes"),
         F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"),
     )
+
+
+@query("op4_warc_index_merge", sql=oracles.WARC)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the table has no capture time: one page a second
+    captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))
+    return archive_captures(table(spark, sf_dir, "pages"), captured).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
