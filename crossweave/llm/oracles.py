@@ -35,3 +35,37 @@ SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, {_QUARTERS} AS
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM p JOIN f USING (html)
 """
+
+PREFERENCES = """
+WITH last AS (
+  SELECT conv_id, max(turn) AS final, max_by(coalesce(text, ''), (turn, coalesce(text, ''))) AS answer
+  FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL AND conv_id IS NOT NULL GROUP BY conv_id),
+given AS (SELECT a.conv_id, a.final, b.answer AS given FROM last a JOIN last b ON b.conv_id = a.conv_id + 1),
+sides AS (
+  SELECT conv_id, 0 AS side, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT conv_id, 1, turn, role, text FROM conversations JOIN given USING (conv_id) WHERE turn < final
+  UNION ALL SELECT conv_id, 1, final, 'assistant', given FROM given),
+clean AS (
+  SELECT DISTINCT conv_id, side, turn, replace(coalesce(role, 'unknown'), '<|im_', '<| im_') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM sides),
+turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn NULLS FIRST, role, text) AS i FROM clean),
+size AS (SELECT conv_id, count(*) FILTER (side = 0) AS nc, count(*) FILTER (side = 1) AS nr FROM turns GROUP BY conv_id),
+change AS (
+  SELECT conv_id, min(i) AS i FROM (
+    SELECT conv_id, coalesce(c.i, r.i) AS i FROM (SELECT * FROM turns WHERE side = 0) c
+    FULL JOIN (SELECT * FROM turns WHERE side = 1) r USING (conv_id, i)
+    WHERE c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text) GROUP BY conv_id),
+k AS (SELECT conv_id, nc, nr, coalesce(change.i - 1, nc) AS k FROM size LEFT JOIN change USING (conv_id)),
+shown AS (SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS s FROM turns JOIN k USING (conv_id)),
+placed AS (
+  SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY conv_id, side, i > k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS put FROM shown)
+SELECT conv_id AS pair_id,
+  CASE WHEN any_value(nr) = 0 THEN 'chosen_only' WHEN any_value(nc) = 0 THEN 'rejected_only' WHEN any_value(nc) = any_value(k) AND any_value(nr) = any_value(k) THEN 'identical'
+    WHEN any_value(nc) = any_value(k) OR any_value(nr) = any_value(k) THEN 'prefix' ELSE 'pair' END AS status,
+  CAST(any_value(k) AS INTEGER) AS prefix_turns,
+  coalesce(string_agg(s, '' ORDER BY i) FILTER (side = 0 AND i <= k), '') AS prompt,
+  coalesce(string_agg(s, '' ORDER BY i) FILTER (side = 0 AND i > k), '') AS chosen,
+  coalesce(string_agg(s, '' ORDER BY i) FILTER (side = 1 AND i > k), '') AS rejected,
+  coalesce(string_agg(CAST(put + 13 + length(role) AS INTEGER) || '-' || CAST(put + length(s) - 1 AS INTEGER), ',' ORDER BY i) FILTER (side = 0 AND i > k AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(CAST(put + 13 + length(role) AS INTEGER) || '-' || CAST(put + length(s) - 1 AS INTEGER), ',' ORDER BY i) FILTER (side = 1 AND i > k AND role = 'assistant'), '') AS rejected_mask
+FROM placed GROUP BY conv_id
+"""

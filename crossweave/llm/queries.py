@@ -13,6 +13,7 @@ from .decontaminate import decontaminate
 from .labels import held_out
 from .line_dedup import line_dedup
 from .media import sniff_media, store_texts
+from .preferences import format_preferences, swapped_answers
 from .quality import score_quality
 from .registry import query
 from .toxicity import score_toxicity
@@ -90,3 +91,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the table has no capture time: one page a second
     captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))
     return archive_captures(table(spark, sf_dir, "pages"), captured).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_preference_formatting", sql=oracles.PREFERENCES)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    out = format_preferences(turns, swapped_answers(turns), pair_col="conv_id")
+    spans = lambda name: F.array_join(F.transform(name, lambda s: F.concat_ws("-", s["start"], s["stop"])), ",").alias(name)
+    return out.withColumnRenamed("conv_id", "pair_id").select(
+        "pair_id", "status", "prefix_turns", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask")
+    )
