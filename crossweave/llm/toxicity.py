@@ -83,40 +83,48 @@ def choose(candidates: list[tuple[str, float]], most: int = VOTERS) -> list[str]
     return list(chosen)
 
 
+class Voters:
+    """Lexicon marks, then the patterns over all their hits."""
+
+    def __init__(self, lexicon: list[str]):
+        self.size = len(lexicon)
+        self.exact = {m: i for i, m in enumerate(lexicon) if not m.endswith("*")}
+        self.begins: dict[int, dict[str, list[tuple[int, int]]]] = {}
+        for i, m in enumerate(lexicon):
+            if m.endswith("*"):
+                body = m.rstrip("*")
+                self.begins.setdefault(len(body), {}).setdefault(body, []).append((len(m) - len(body), i))
+
+    def cast(self, text: str) -> tuple[list[int], tuple[float, float, float]]:
+        """Sorted numbers of the voters that fire, and general statistics (words, capitals, exclamations)."""
+        found = WORD.findall(text.lower())
+        words = set(found)
+        hit = words & self.exact.keys()
+        fired = {self.exact[w] for w in hit}
+        for k, names in self.begins.items():
+            begun = [w for w in words if w[:k] in names and len(w) > k]
+            if begun:
+                hit.update(begun)
+                dose = Counter(w[:k] for w in found if w in hit and w[:k] in names and len(w) > k)
+                fired |= {i for b, n in dose.items() for least, i in names[b] if n >= least}
+        if hit:
+            hits = sum(map(hit.__contains__, found))
+            passed = [hits >= h for h in HITS] + [hits >= s * len(found) and hits > 1 for s in SHARES]
+            fired |= {self.size + i for i, x in enumerate(passed) if x}
+        n = max(len(text), 1)
+        return sorted(fired), (float(np.log1p(len(found))), (sum(map(str.isupper, text)) / n) ** 0.5, (text.count("!") / n) ** 0.5)
+
+
 def cast_votes(docs: DataFrame, lexicon: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, votes, words, capitals, exclamations): the sorted numbers of the voters that fire (lexicon marks, then the
-    patterns over all their hits) and general statistics."""
-    exact = {m: i for i, m in enumerate(lexicon) if not m.endswith("*")}
-    begins: dict[int, dict[str, list[tuple[int, int]]]] = {}
-    for i, m in enumerate(lexicon):
-        if m.endswith("*"):
-            body = m.rstrip("*")
-            begins.setdefault(len(body), {}).setdefault(body, []).append((len(m) - len(body), i))
+    """(id, votes, words, capitals, exclamations) of every document."""
+    voters = Voters(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes, general = [], []
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                found = WORD.findall(text.lower())
-                words = set(found)
-                hit = words & exact.keys()
-                fired = {exact[w] for w in hit}
-                for k, names in begins.items():
-                    begun = [w for w in words if w[:k] in names and len(w) > k]
-                    if begun:
-                        hit.update(begun)
-                        dose = Counter(w[:k] for w in found if w in hit and w[:k] in names and len(w) > k)
-                        fired |= {i for b, n in dose.items() for least, i in names[b] if n >= least}
-                if hit:
-                    hits = sum(map(hit.__contains__, found))
-                    passed = [hits >= h for h in HITS] + [hits >= s * len(found) and hits > 1 for s in SHARES]
-                    fired |= {len(lexicon) + i for i, x in enumerate(passed) if x}
-                votes.append(sorted(fired))
-                n = max(len(text), 1)
-                general.append((float(np.log1p(len(found))), (sum(map(str.isupper, text)) / n) ** 0.5, (text.count("!") / n) ** 0.5))
-            columns = [pa.array([g[k] for g in general], pa.float64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.list_(pa.int32())), *columns], ["id", "votes", "words", "capitals", "exclamations"])
+            cast = [voters.cast(v.as_py() or "") for v in batch.column(1)]
+            columns = [pa.array([g[k] for _, g in cast], pa.float64()) for k in range(3)]
+            votes = pa.array([v for v, _ in cast], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), votes, *columns], ["id", "votes", "words", "capitals", "exclamations"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"id {field_type(docs, id_col)}, votes array<int>, words double, capitals double, exclamations double"
@@ -239,19 +247,27 @@ def fit_classifier(cast: DataFrame, model: LabelModel, rounds: int = 6, ridge: f
     return w
 
 
-def score_toxicity(
+@dataclass
+class ToxicityModel:
+    lexicon: list[str]
+    labels: LabelModel
+    weights: np.ndarray
+    slope: float = 1.0
+    offset: float = 0.0
+
+    def log_odds(self, votes, general) -> float:
+        return float(features(votes, general, self.labels) @ self.weights)
+
+
+def fit_toxicity(
     docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-) -> DataFrame:
-    """One row per document: id and ``score`` in 0 to 1, higher where label 1 is likelier.
+) -> tuple[ToxicityModel | None, DataFrame | None]:
+    """The model, and every document's (id, t) log-odds before calibration. (None, None) without voters.
 
     Voters are words and word beginnings found in a bounded sample of the labelled rows open to learning
     (``MINED_ROWS``, the smallest id hashes; broadcast). All documents are read once more to cast votes, which are
     written; the label model and the classifier use the votes of all documents. The last step fits a curve of the
     labels open to learning over the classifier's log-odds.
-
-    Null and empty texts cast no vote and get the score of a text without words. Repeated rows and null ids keep one
-    score each; null labels and labels of unknown documents are left out. Without labelled toxic rows there are no
-    voters and every score is 0. Other columns are never read.
     """
     known = learned_labels(labels, label_col, modulus, remainder, id_col)
     sample = shared_table(known.orderBy(F.xxhash64("id"), "id").limit(MINED_ROWS), "mined")
@@ -259,7 +275,7 @@ def score_toxicity(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # at most MINED_ROWS
     lexicon = choose(mine(texts, sizes.get(1, 0), sizes.get(0, 0))) if len(sizes) == 2 else []
     if not lexicon:
-        return docs.select(F.col(id_col), F.lit(0.0).alias("score"))
+        return None, None
     cast = shared_table(cast_votes(docs, lexicon, id_col, text_col), "votes")
     patterns = shared_table(cast.groupBy("votes").agg(F.count("*").alias("n")), "patterns")
     rows = patterns.agg(F.sum("n")).first()[0] or 0
@@ -270,15 +286,46 @@ def score_toxicity(
             of_class[r["y"]] = r["count"]
         else:
             labelled[r["y"], r["v"]] = r["count"]
-    model = fit_label_model(patterns, rows, labelled, tuple(of_class))
-    w = fit_classifier(cast, model)
+    votes = fit_label_model(patterns, rows, labelled, tuple(of_class))
+    model = ToxicityModel(lexicon, votes, fit_classifier(cast, votes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             general = list(zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True))
-            odds = [float(features(v, g, model) @ w) for v, g in zip(batch.column(1).to_pylist(), general, strict=True)]
+            odds = [model.log_odds(v, g) for v, g in zip(batch.column(1).to_pylist(), general, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odds, pa.float64())], ["id", "t"])
 
     scored = cast.mapInArrow(run, f"id {field_type(cast, 'id')}, t double")
     slope, offset = calibrated(scored, known, F.col("t"))
-    return scored.select(F.col("id").alias(id_col), (1 / (1 + F.exp(-(F.col("t") * slope + offset)))).alias("score"))
+    return ToxicityModel(lexicon, votes, model.weights, slope, offset), scored
+
+
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+) -> DataFrame:
+    """One row per document: id and ``score`` in 0 to 1, higher where label 1 is likelier; see ``fit_toxicity``.
+
+    Null and empty texts cast no vote and get the score of a text without words. Repeated rows and null ids keep one
+    score each; null labels and labels of unknown documents are left out. Without labelled toxic rows there are no
+    voters and every score is 0. Other columns are never read.
+    """
+    model, scored = fit_toxicity(docs, labels, modulus, remainder, id_col, text_col, label_col)
+    if model is None:
+        return docs.select(F.col(id_col), F.lit(0.0).alias("score"))
+    score = 1 / (1 + F.exp(-(F.col("t") * model.slope + model.offset)))
+    return scored.select(F.col("id").alias(id_col), score.alias("score"))
+
+
+def keep_below(docs: DataFrame, model: ToxicityModel | None, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores below ``threshold``. One pass, no shuffle."""
+    if model is None:
+        return docs
+    voters, at = Voters(model.lexicon), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odds = np.array([model.log_odds(*voters.cast(v.as_py() or "")) for v in batch.column(at)])
+            score = 1 / (1 + np.exp(-(odds * model.slope + model.offset)))
+            yield batch.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
