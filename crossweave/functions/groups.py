@@ -25,7 +25,6 @@ from ..sources.datasets import materialize
 from .columns import col
 
 GROUP_ROW_LIMIT = 500_000
-SLICE_ROWS = 1_000_000
 
 
 def _keys(keys: Sequence[str] | str) -> list[str]:
@@ -74,30 +73,36 @@ def order_position(
     group_rows: int | None = None,
     limit: int | None = None,
     slice_rows: int | None = None,
+    descending: Sequence[bool] | None = None,
 ) -> DataFrame:
-    """1-based position of each row in its group.
+    """1-based position of each row in its group; rows with a null key are a group of their own on both plans.
 
-    ``order`` is ascending (negate a number for descending) and must end on a column
-    that makes it a total order. Keys must not be null.
+    ``order`` must end on a column that makes it a total order; ``descending`` turns single columns round. The number of
+    slices is the session's number of shuffle partitions unless ``slice_rows`` asks for a size.
     """
     keys = _keys(keys)
     order = [col(o) for o in order]
-    if fits_one_task(df, keys, group_rows, limit):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("long"))
-
-    slice_rows = SLICE_ROWS if slice_rows is None else slice_rows
+    turned = list(descending or [False] * len(order))
+    sort = lambda columns: [F.desc(c) if d else F.asc(c) for c, d in zip(columns, turned)]
     names = [f"_o{i}" for i in range(len(order))]
     keyed = df.withColumns(dict(zip(names, order)))
-    slices = max(2, math.ceil(df.count() / slice_rows))
-    split = keyed.repartitionByRange(slices, *keys, *names).withColumn("_slice", F.spark_partition_id())
+    if fits_one_task(df, keys, group_rows, limit):
+        w = Window.partitionBy(*keys).orderBy(*sort(names))
+        return keyed.withColumn(out, F.row_number().over(w).cast("long")).drop(*names)
+
+    slices = max(2, math.ceil(df.count() / slice_rows)) if slice_rows else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = keyed.repartitionByRange(max(2, slices), *keys, *sort(names)).withColumn("_slice", F.spark_partition_id())
     split = materialize(split, "slices")
     sizes = split.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*names)
-    ranked = split.withColumn("_r", F.row_number().over(inside)).join(offsets, [*keys, "_slice"])
-    return ranked.select(*df.columns, (F.col("_r").cast("long") + F.col("_before")).alias(out))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*sort(names))
+    a, b = split.withColumn("_r", F.row_number().over(inside)).alias("a"), offsets.alias("b")
+    same = F.col("a._slice") == F.col("b._slice")
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    place = (F.col("a._r").cast("long") + F.col("b._before")).alias(out)
+    return a.join(b, same).select(*[F.col(f"a.`{c}`") for c in df.columns], place)
 
 
 def average_rank(
@@ -212,6 +217,14 @@ def with_column_quantiles(
             n: F.when(known, F.get(f"_q{i}", F.lit(k))) for i, qs in enumerate(wanted.values()) for k, n in enumerate(qs)
         }
         return df.withColumns(out).drop(*arrays)
-    for x, qs in wanted.items():
-        df = df.join(group_quantiles(df, x, keys, qs, tiebreak, group_rows, limit, slice_rows), keys, "left")
-    return df
+    # all columns in one long table: one range partitioning, one offsets table, one join back
+    tie = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
+    columns = list(wanted)
+    values = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(x).cast("double").alias("_v")) for i, x in enumerate(columns)])
+    long = df.select(*dict.fromkeys([*keys, *tie]), F.explode(values).alias("_e")).select(*dict.fromkeys([*keys, *tie]), "_e.*")
+    distinct = {f"_q{i}": q for i, q in enumerate(sorted({q for qs in wanted.values() for q in qs.values()}))}
+    name_of = {q: n for n, q in distinct.items()}
+    found = group_quantiles(long, "_v", [*keys, "_c"], distinct, tie, group_rows, limit, slice_rows)
+    pick = lambda i, q: F.max(F.when(F.col("_c") == i, F.col(name_of[q])))
+    wide = found.groupBy(*keys).agg(*[pick(i, q).alias(n) for i, x in enumerate(columns) for n, q in wanted[x].items()])
+    return df.join(wide, keys, "left")

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, row_mean, safe_div, to_numeric
@@ -178,63 +178,96 @@ def industry_zscore(
 # ---------------------------------------------------------------- least squares per group
 
 
+#: (group, pattern of missing columns) sums a task holds before it hands them on
+HELD_SUMS = 4096
+
+
+def solve_gram(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Coefficients from weighted cross products: scaled to a unit diagonal and factored where that is well conditioned,
+    else the minimum-norm solution."""
+    scale = np.sqrt(np.diag(g))
+    if (scale > 0).all():
+        scaled = g / np.outer(scale, scale)
+        try:
+            factor = np.linalg.cholesky(scaled)
+        except np.linalg.LinAlgError:
+            factor = None
+        if factor is not None and np.diag(factor).min() > 1e-5:
+            return np.linalg.solve(scaled, h / scale) / scale
+    return np.linalg.pinv(g, rcond=1e-12, hermitian=True) @ h
+
+
 def group_least_squares(
     df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (DATE,), weight: str | None = None, min_rows: int = 0,
     group_rows: int | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Minimum-norm weighted least squares with intercept, one row of coefficients per group.
 
-    Spark sums the weighted cross products of each group (partial aggregation, K² numbers
-    per group whatever its size); only those sums reach the small solve. ``xs`` that have no
-    value in a group get a null coefficient. Groups with fewer than ``min_rows`` complete
-    rows, or not more rows than coefficients, get nulls.
+    Tasks add up the weighted cross products of their rows as one array per group and pattern of missing columns;
+    only these arrays meet, so a group of any size and any number of regressors takes the same plan. ``xs`` that
+    have no value in a group get a null coefficient; rows that lack a value another row has are left out. Groups
+    with fewer than ``min_rows`` complete rows, or not more rows than coefficients, get nulls.
     """
     keys, xs = list(keys), list(xs)
-    w = F.col(weight) if weight else F.lit(1.0)
-    df = group_stats(df, keys, {f"_a_{x}": F.count(x) for x in xs}, group_rows, limit)
-    df = df.withColumns({f"_a_{x}": F.coalesce(F.col(f"_a_{x}") > 0, F.lit(False)) for x in xs})
-    complete = F.col(y).isNotNull() & (w > 0)
-    for x in xs:
-        complete = complete & (F.col(x).isNotNull() | ~F.col(f"_a_{x}"))
-    cols: list[Column] = [F.lit(1.0)] + [F.coalesce(F.col(x), F.lit(0.0)) for x in xs]
-    k = len(cols)
-    sums = [F.sum(F.when(complete, w * cols[i] * cols[j])).alias(f"_g{i}_{j}") for i in range(k) for j in range(i, k)]
-    sums += [F.sum(F.when(complete, w * cols[i] * F.col(y))).alias(f"_h{i}") for i in range(k)]
-    flags = [F.max(f"_a_{x}").alias(f"_a_{x}") for x in xs]
-    gram = df.groupBy(*keys).agg(F.sum(complete.cast("int")).alias("n_rows"), *flags, *sums)
-    upper = [f"_g{i}_{j}" for i in range(k) for j in range(i, k)]
-    packed = gram.select(
-        *keys,
-        F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"),
-        F.array(*[F.col(c) for c in upper]).alias("_g"),
-        F.array(*[F.col(f"_h{i}") for i in range(k)]).alias("_h"),
-        F.array(*[F.col(f"_a_{x}") for x in xs]).alias("_act"),
-    )
+    k, held = len(xs) + 1, HELD_SUMS
     names = ["intercept", *[f"b_{x}" for x in xs]]
-    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema.fields if f.name in keys)
-    schema = f"{key_types}, n_rows long, " + ", ".join(f"`{n}` double" for n in names)
-    rows, cols_ = np.triu_indices(k)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    key_types = ", ".join(f"`{n}` {kinds[n]}" for n in keys)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.select(*keys, F.col(y).cast("double").alias("_y"), w.alias("_w"), *[F.col(f"`{x}`").cast("double").alias(f"_x{i}") for i, x in enumerate(xs)])
+
+    def partial(batches):
+        sums = {}
+
+        def out():
+            items = list(sums.items())
+            frame = pd.DataFrame([key for (key, _), _ in items], columns=keys)
+            frame["_missing"] = [p for (_, p), _ in items]
+            frame["_s"] = [v for _, v in items]
+            sums.clear()
+            return frame
+
+        for pdf in batches:
+            x = pdf[[f"_x{i}" for i in range(k - 1)]].to_numpy(dtype=float)
+            yv, wv = pdf["_y"].to_numpy(dtype=float), pdf["_w"].to_numpy(dtype=float)
+            gone = np.isnan(x)
+            used = ~np.isnan(yv) & (wv > 0)
+            z = np.c_[np.ones(len(x)), np.where(gone, 0.0, x), np.where(used, yv, 0.0)]
+            wv = np.where(used, wv, 0.0)
+            pattern = np.array(["".join("1" if m else "0" for m in row) for row in gone], dtype=object) if k > 1 else np.array([""] * len(x), dtype=object)
+            for key, at in pdf.assign(_p=pattern).groupby([*keys, "_p"], dropna=False, sort=False).indices.items():
+                part = z[at]
+                g = (part * wv[at][:, None]).T @ part
+                value = np.r_[used[at].sum(), g[:k, :k].ravel(), g[:k, k]]
+                head = tuple(None if pd.isna(v) else v for v in key[:-1])
+                sums[head, key[-1]] = sums[head, key[-1]] + value if (head, key[-1]) in sums else value
+            if len(sums) > held:
+                yield out()
+        if sums:
+            yield out()
 
     def solve(batches):
+        sums = {}
         for pdf in batches:
-            out = np.full((len(pdf), k), np.nan)
-            for r in range(len(pdf)):
-                act = np.concatenate([[True], np.asarray(pdf["_act"].iloc[r], dtype=bool)])
-                n = int(pdf["n_rows"].iloc[r])
-                if n < min_rows or n <= int(act.sum()):
-                    continue
-                g = np.zeros((k, k))
-                g[rows, cols_] = np.asarray(pdf["_g"].iloc[r], dtype=float)
-                g = g + np.triu(g, 1).T
-                h = np.asarray(pdf["_h"].iloc[r], dtype=float)
-                beta = np.linalg.pinv(g[np.ix_(act, act)], rcond=1e-12, hermitian=True) @ h[act]
-                out[r, act] = beta
-            res = pd.DataFrame(out, columns=names)
-            # a null, not a NaN, marks a missing coefficient
-            res = res.astype(object).where(res.notna(), None)
-            yield pd.concat([pdf[keys + ["n_rows"]].reset_index(drop=True), res], axis=1)
-
-    return packed.mapInPandas(solve, schema)
+            for key, pattern, value in zip(pdf[keys].itertuples(index=False, name=None), pdf["_missing"], pdf["_s"]):
+                group = sums.setdefault(tuple(None if pd.isna(v) else v for v in key), {})
+                group[pattern] = group[pattern] + np.asarray(value) if pattern in group else np.asarray(value, dtype=float)
+        found = []
+        for key, patterns in sums.items():
+            act = np.array([True, *[any(p[i] == "0" for p in patterns) for i in range(k - 1)]])
+            complete = [v for p, v in patterns.items() if not any(p[i] == "1" and act[i + 1] for i in range(k - 1))]
+            total = sum(complete, np.zeros(1 + k * k + k))
+            n, beta = int(total[0]), [None] * k
+            if n >= min_rows and n > int(act.sum()):
+                g, h = total[1 : 1 + k * k].reshape(k, k), total[1 + k * k :]
+                for i, b in zip(np.flatnonzero(act), solve_gram(g[np.ix_(act, act)], h[act])):
+                    beta[i] = float(b)
+            found.append((*key, n, *beta))
+        if found:
+            yield pd.DataFrame(found, columns=[*keys, "n_rows", *names])
+
+    parts = rows.mapInPandas(partial, f"{key_types}, _missing string, _s array<double>").repartition(*keys)
+    return parts.mapInPandas(solve, f"{key_types}, n_rows long, " + ", ".join(f"`{n}` double" for n in names))
 
 
 def least_squares_residual(
@@ -251,8 +284,8 @@ def least_squares_residual(
     pred = F.col("intercept")
     for x in xs:
         # an inactive column has neither a coefficient nor a value
-        part = F.col(f"b_{x}") * F.col(x)
-        pred = pred + F.when(F.col(f"b_{x}").isNull() & F.col("intercept").isNotNull(), 0.0).otherwise(part)
+        part = F.col(f"`b_{x}`") * F.col(f"`{x}`")
+        pred = pred + F.when(F.col(f"`b_{x}`").isNull() & F.col("intercept").isNotNull(), 0.0).otherwise(part)
     res = F.col(y) - pred
     if fallback == "keep":
         res = F.coalesce(res, F.col(y))

@@ -19,7 +19,6 @@ from ..sources.datasets import materialize
 from .aggregates import additive_risk, monthly_mean
 
 DATE = "trade_date"
-RESIDUE = 1e-12  # a coefficient below this is a zero with float dust
 
 
 def daily_ic(
@@ -45,14 +44,17 @@ def _ic_aggs(score: str, label: str, min_rows: int) -> list[Column]:
     ]
 
 
-def ic_summary(ic: DataFrame, x: str = "ic", keys: Sequence[str] = ()) -> DataFrame:
+def ic_summary(ic: DataFrame, x: str = "ic", keys: Sequence[str] = (), ic_digits: int | None = None) -> DataFrame:
+    """``ic_digits`` rounds the coefficients first, where results of two engines are held against each other."""
     keys = list(keys)
+    if ic_digits is not None:
+        ic = ic.withColumn(x, F.round(x, ic_digits))
     sd = F.when(F.count(x) > 1, F.stddev_samp(x))
     return (ic.groupBy(*keys) if keys else ic).agg(
         F.avg(x).alias("ic_mean"),
         sd.alias("ic_std"),
         safe_div(F.avg(x), sd).alias("icir"),
-        F.avg((F.col(x) > RESIDUE).cast("double")).alias("positive_rate"),
+        F.avg((F.col(x) > 0).cast("double")).alias("positive_rate"),
         F.count(x).alias("count"),
     )
 
@@ -202,7 +204,7 @@ def features_to_rows(df: DataFrame, features: Sequence[str], label: str = "label
 
 def validate_features(
     df: DataFrame, features: Sequence[str], label: str = "label", groups: int = 5, topk: int = 50, min_rows: int = 2,
-    group_rows: int | None = None, limit: int | None = None,
+    group_rows: int | None = None, limit: int | None = None, ic_digits: int | None = None,
 ) -> DataFrame:
     """One summary row per feature: coefficients, slices, spread, turnover, distribution.
 
@@ -219,6 +221,8 @@ def validate_features(
         *_ic_aggs("score", label, min_rows), *_slice_aggs(label, groups), *_spread_aggs(label, topk, largest),
         *_turnover_aggs("score", groups),
     )
+    if ic_digits is not None:
+        daily = daily.withColumns({c: F.round(c, ic_digits) for c in ("ic", "rank_ic")})
     daily = _turnover_shares(daily).withColumns(
         {"_ls": F.col("group1") - F.col(f"group{groups}"), "_topk": F.col("_long") - F.col("_short")}
     )
@@ -227,11 +231,11 @@ def validate_features(
     g = daily.groupBy("feature").agg(
         F.avg("ic").alias("ic_mean"),
         dev("ic").alias("ic_std"),
-        F.avg((F.col("ic") > RESIDUE).cast("double")).alias("positive_rate"),
+        F.avg((F.col("ic") > 0).cast("double")).alias("positive_rate"),
         F.count("ic").alias("count"),
         F.avg("rank_ic").alias("rank_ic_mean"),
         dev("rank_ic").alias("rank_ic_std"),
-        F.avg((F.col("rank_ic") > RESIDUE).cast("double")).alias("rank_positive_rate"),
+        F.avg((F.col("rank_ic") > 0).cast("double")).alias("rank_positive_rate"),
         *[F.avg(c).alias(f"mean_{c}") for c in slices],
         F.avg("_ls").alias("mean_long_short"),
         F.avg("_topk").alias("mean_topk_spread"),
@@ -253,12 +257,12 @@ def validate_features(
 
 def screen_factors(
     df: DataFrame, features: Sequence[str], label: str = "label", groups: int = 5, min_rows: int = 2,
-    group_rows: int | None = None, limit: int | None = None,
+    group_rows: int | None = None, limit: int | None = None, ic_digits: int | None = None,
 ) -> DataFrame:
     """Rank coefficient, its ratio and sign rate, and slice returns per factor."""
     rows = features_to_rows(df.where(F.col(label).isNotNull()), features, label)
     keys = ["feature", DATE]
-    ic = ic_summary(daily_ic(rows, "score", label, keys, min_rows, group_rows, limit), "rank_ic", ["feature"])
+    ic = ic_summary(daily_ic(rows, "score", label, keys, min_rows, group_rows, limit), "rank_ic", ["feature"], ic_digits)
     g = group_return_summary(group_returns(rows, "score", label, groups, keys=keys, group_rows=group_rows, limit=limit), groups, ["feature"])
     return ic.join(g, "feature", "left").select(
         "feature",

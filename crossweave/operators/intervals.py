@@ -14,25 +14,27 @@ from .joins import dense_calendar
 CLASSIFICATION_ORDER = ("ts_code", "name", "industry_code", "industry", "level", "src", "in_date", "out_date", "is_new")
 
 
-def daily_name_status(names: DataFrame, extend_to: int | None = None) -> DataFrame:
+def daily_name_status(names: DataFrame, extend_to: int | None = None, source_order: str | None = None) -> DataFrame:
     """One row per code and calendar day with exclusive status flags.
 
     An open interval runs to the latest known date (or ``extend_to``). Where
-    intervals overlap the latest start, then the latest announcement wins; days
-    without any interval are normal.
+    intervals overlap the latest start, then the latest announcement wins, then the row later in
+    ``source_order`` (files have no order, so a column has to say it), then the higher status; days without any
+    interval are normal. An empty table has no days.
     """
     span = names.agg(
         F.min("start_date").alias("lo"), F.greatest(F.max("start_date"), F.max("end_date"), F.max("ann_date")).alias("hi")
     ).first()
-    known = max(span["hi"], extend_to or 0)
+    known = max(span["hi"] or 0, extend_to or 0)
     iv = names.withColumns({"_end": F.coalesce("end_date", F.lit(known)), "_status": name_status("name")})
     iv = iv.where(F.col("_end") >= F.col("start_date"))
     days = F.sequence(as_date("start_date"), as_date("_end"))
-    events = iv.select("ts_code", "_status", "start_date", "ann_date", F.explode(days).alias("_day"))
+    later = (F.col(source_order) if source_order else F.lit(0)).alias("_later")
+    events = iv.select("ts_code", "_status", "start_date", "ann_date", later, F.explode(days).alias("_day"))
     events = events.withColumn("trade_date", as_int(F.col("_day")))
-    order = F.struct(F.col("start_date"), F.col("ann_date"), F.col("_status"))
+    order = F.struct("start_date", "ann_date", "_later", "_status")
     latest = events.groupBy("trade_date", "ts_code").agg(F.max_by("_status", order).alias("_status"))
-    grid = dense_calendar(names, span["lo"], known)
+    grid = dense_calendar(names, span["lo"] or 19700101, known if span["lo"] else 19700101)
     status = F.coalesce("_status", F.lit(0))
     return grid.join(latest, ["trade_date", "ts_code"], "left").select(
         "trade_date",
@@ -144,5 +146,6 @@ def first_dates(df: DataFrame, n: int, col: str = "trade_date") -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in an order fixed by a hash of the key and the seed."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    """``n`` rows in an order fixed by a hash of the seed and the key, which any engine can repeat."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return df.orderBy(F.md5(text), *keys).limit(n)

@@ -81,20 +81,23 @@ def interval_join(
     closed: str = "left",
     first: bool = False,
 ) -> DataFrame:
-    """Record valid on the row's date, ``closed`` ``'left'`` (end excluded) or ``'both'``.
+    """Record valid on the row's date, ``closed`` ``'left'`` (end excluded) or ``'both'``. Every left row stays once.
 
-    The equality on the key carries the join; only live records match. Several live
-    records: the latest start wins (``first``: the earliest).
+    The records of a key travel as one array (bounded by its validity periods), so no pairs are formed and rows that
+    repeat a key and date keep their own result. Several live records: the latest start wins
+    (``first``: the earliest), then the smaller values.
     """
     columns = list(columns)
-    r = right.select(F.col(by).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), *columns)
+    record = F.struct(F.col(start).alias("s"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)], F.col(end).alias("e"))
+    r = right.where(F.col(start).isNotNull()).groupBy(F.col(by).alias("_k")).agg(F.collect_list(record).alias("_records"))
+    df = left.join(r, F.col(by) == F.col("_k"), "left")
     t = F.col(on)
-    upper = t < F.col("_e") if closed == "left" else t <= F.col("_e")
-    cond = (F.col(by) == F.col("_k")) & (F.col("_s") <= t) & (F.col("_e").isNull() | upper)
-    df = left.join(r, cond, "left")
-    order = F.asc("_s") if first else F.desc("_s")
-    w = Window.partitionBy(by, on).orderBy(order, *[F.asc(c) for c in columns])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*left.columns, *columns)
+    live = F.filter("_records", lambda x: (x["s"] <= t) & (x["e"].isNull() | ((t < x["e"]) if closed == "left" else (t <= x["e"]))))
+    if not first:
+        df = df.withColumn("_live", live).withColumn("_top", F.array_max(F.transform("_live", lambda x: x["s"])))
+        live = F.filter("_live", lambda x: x["s"] == F.col("_top"))
+    df = df.withColumn("_best", F.array_min(live))
+    return df.select(*left.columns, *[F.col("_best")[f"v{i}"].alias(c) for i, c in enumerate(columns)])
 
 
 def join_calendar(df: DataFrame, series: DataFrame, date: str = "trade_date", how: str = "left") -> DataFrame:

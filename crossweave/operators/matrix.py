@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -139,23 +140,52 @@ def group_sizes(df: DataFrame, key: str = "trade_date") -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("size")).orderBy(key)
 
 
-def fit_window_models(matrix: DataFrame, windows: Sequence[dict], features: Sequence[str], label: str, **params) -> dict:
-    """One boosted-tree model per window, each trained by Spark on its own range of the matrix."""
-    from pyspark.ml import Pipeline
+@dataclass(frozen=True)
+class WindowModel:
+    """A fitted forest with the values that stand for missing features."""
+
+    trees: object
+    fills: Mapping[str, float]
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.trees.transform(filled_features(rows, self.fills))
+
+
+def filled_features(rows: DataFrame, fills: Mapping[str, float]) -> DataFrame:
+    """Features as one vector column; a missing or infinite one takes its fill value, so no row is lost."""
     from pyspark.ml.feature import VectorAssembler
+
+    names = {c: f"_f{i}" for i, c in enumerate(fills)}
+    df = rows.withColumns({n: F.coalesce(finite(c), F.lit(float(fills[c]))) for c, n in names.items()})
+    return VectorAssembler(inputCols=list(names.values()), outputCol="features").transform(df).drop(*names.values())
+
+
+def fit_window_models(
+    matrix: DataFrame, windows: Sequence[dict], features: Sequence[str], label: str, weight_floor: float = 0.5, weight_power: float = 1.0, **params
+) -> dict[int, WindowModel]:
+    """One boosted-tree model per window, trained by Spark on the window's train range.
+
+    Rows are weighted by :func:`sample_weights`; the validation range decides how many trees are kept. A missing feature
+    takes its mean over the train range (zero if it has no value there).
+    """
     from pyspark.ml.regression import GBTRegressor
 
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     models = {}
     for w in windows:
-        rows = matrix.where(F.col("trade_date").between(w["train_start"], w["train_end"]))
-        trees = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="score", **params)
-        models[w["window"]] = Pipeline(stages=[assembler, trees]).fit(rows)
+        rows = matrix.where(F.col("trade_date").between(w["train_start"], w["valid_end"]) & F.col(label).isNotNull())
+        rows = rows.withColumns({"_valid": F.col("trade_date") >= w["valid_start"], "_window": F.lit(w["window"])})
+        means = rows.where(~F.col("_valid")).agg(*[F.avg(finite(c)).alias(f"m{i}") for i, c in enumerate(features)]).first()
+        fills = {c: float(means[i] or 0.0) for i, c in enumerate(features)}
+        rows = sample_weights(rows, label, weight_floor, weight_power, ("_window", "_valid"))
+        trees = GBTRegressor(
+            featuresCol="features", labelCol=label, predictionCol="score", weightCol="sample_weight", validationIndicatorCol="_valid", **params
+        )
+        models[w["window"]] = WindowModel(trees.fit(filled_features(rows, fills)), fills)
     return models
 
 
-def predict_range(model, matrix: DataFrame, start: int, end: int, label: str | None = None) -> DataFrame:
-    """Scores of a fitted model for a period."""
+def predict_range(model: WindowModel, matrix: DataFrame, start: int, end: int, label: str | None = None) -> DataFrame:
+    """Scores of a fitted model for a period: one per row, whatever features it lacks."""
     rows = matrix.where(F.col("trade_date").between(start, end))
     return model.transform(rows).select(*KEY, "score", *([label] if label else []))
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import safe_div
 from ..functions.groups import order_position
@@ -19,20 +20,19 @@ DATE = "trade_date"
 GROUP_LIMIT = 1000  # largest k for which Spark drops rows before the exchange
 
 
-def _best(x: str) -> list[Column]:
-    return [F.desc_nulls_last(x), F.asc("ts_code")]
-
-
 def top_k(df: DataFrame, x: str, k: int, keys: Sequence[str] = (DATE,)) -> DataFrame:
-    """Best ``k`` rows per group; ties go to the smaller code.
+    """Best ``k`` rows per group; ties go to the smaller code. NaN counts as missing; rows with a null key are a group.
 
-    Beyond ``GROUP_LIMIT`` Spark would sort whole groups, so positions are counted by slices.
+    Beyond ``GROUP_LIMIT`` Spark would sort whole groups, so positions are counted by slices, in the same order.
     """
+    if isinstance(df.schema[x].dataType, (T.DoubleType, T.FloatType)):
+        df = df.where(~F.isnan(x))
+    v = df.where(F.col(x).isNotNull())
     if k > GROUP_LIMIT:
-        v = order_position(df.where(F.col(x).isNotNull()), list(keys), [-F.col(x), "ts_code"], "position")
-        return v.where(F.col("position") <= k)
-    w = Window.partitionBy(*keys).orderBy(*_best(x))
-    v = df.where(F.col(x).isNotNull()).withColumn("position", F.row_number().over(w))
+        v = order_position(v, list(keys), [x, "ts_code"], "position", descending=[True, False])
+    else:
+        w = Window.partitionBy(*keys).orderBy(F.desc(x), F.asc("ts_code"))
+        v = v.withColumn("position", F.row_number().over(w).cast("long"))
     return v.where(F.col("position") <= k)
 
 
@@ -251,8 +251,8 @@ def top_k_report(
     return df.withColumn("account_value", account * F.product(1 + F.col("return")).over(w))
 
 
-def parameter_sweep(pred: DataFrame, grid: Sequence[dict], cost_rate: float = 0.0) -> DataFrame:
-    """The report's metrics for every parameter row, best Sharpe first.
+def parameter_sweep(pred: DataFrame, grid: Sequence[dict], cost_rate: Column | float = 0.0) -> DataFrame:
+    """The report's metrics for every parameter row (``topk`` and what ``cost_rate`` is made of).
 
     The grid is a generator column: all parameter rows share one selection, one turnover
     and one metrics pass.

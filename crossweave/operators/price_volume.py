@@ -184,7 +184,8 @@ def cci(bars: DataFrame, n: int = 20, m: int = 10) -> DataFrame:
     w = BY_STOCK.frame(-(n - 1))
     df = df.withColumns({"_ma": BY_STOCK.mean("_tp", n, m), "_win": F.collect_list("_tp").over(w)})
     dev = F.aggregate("_win", F.lit(0.0), lambda acc, v: acc + F.abs(v - F.col("_ma"))) / F.size("_win")
-    df = df.withColumn("_md", F.when(F.round(dev, 10) != 0, dev))
+    # a mean of equal values can differ from them by float dust; equal values have no deviation
+    df = df.withColumn("_md", F.when(F.array_max("_win") > F.array_min("_win"), dev))
     return df.withColumn(f"cci_{n}", (F.col("_tp") - F.col("_ma")) / (0.015 * F.col("_md"))).drop(
         "_tp", "_ma", "_win", "_md"
     )

@@ -166,12 +166,21 @@ def fit_quality(residuals: DataFrame, ret: str = "ret", weight: str | None = Non
 # Factor returns hold one row per date.
 
 
+def observed_factors(fr: DataFrame, factors: Sequence[str], min_obs: int) -> list[str]:
+    """Factors with at least ``min_obs`` values in the whole table; one row of counts reaches the driver. A sparser one
+    would leave hardly any complete row."""
+    counts = fr.agg(*[F.count(F.col(f"`{f}`")).alias(f"n{i}") for i, f in enumerate(factors)]).first()
+    return [f for i, f in enumerate(factors) if counts[i] >= min_obs]
+
+
 def rolling_covariance(fr: DataFrame, factors: Sequence[str], lookback: int = 252, min_obs: int = 60) -> DataFrame:
     """Sample covariance of complete rows among the last ``lookback`` dates, as (date, i, j, cov).
 
-    Each factor pair is its own series, so the pairs spread over tasks.
+    Factors with fewer than ``min_obs`` values are left out. Each factor pair is its own series, so the pairs spread over tasks.
     """
-    factors = list(factors)
+    factors = observed_factors(fr, list(factors), min_obs)
+    if not factors:
+        return fr.limit(0).select(DATE, F.lit("").alias("factor_i"), F.lit("").alias("factor_j"), F.lit(0.0).alias("cov"))
     whole = F.lit(True)
     for f in factors:
         whole = whole & F.col(f).isNotNull()
@@ -194,17 +203,23 @@ def rolling_covariance(fr: DataFrame, factors: Sequence[str], lookback: int = 25
 def shrunk_covariance(fr: DataFrame, factors: Sequence[str], lookback: int = 252, min_obs: int = 60) -> DataFrame:
     """Covariance pulled towards a scaled identity, with its intensity.
 
-    A date's window is at most ``lookback`` × K numbers; those travel as one array per
-    date and the shrinkage is worked out per date inside the tasks.
+    Factors with fewer than ``min_obs`` values are left out. A date's window is at most ``lookback`` × K numbers.
+    Dates are numbered (one slim date-level column), cut into stretches of ``lookback``, and each stretch is sent with the one
+    before it, so the windows of different stretches are built in different tasks.
     """
-    factors = list(factors)
+    factors = observed_factors(fr, list(factors), min_obs)
+    if not factors:
+        return fr.limit(0).select(DATE, F.lit("").alias("factor_i"), F.lit("").alias("factor_j"), F.lit(0.0).alias("cov"), F.lit(0.0).alias("shrinkage"))
     whole = F.lit(True)
     for f in factors:
         whole = whole & F.col(f).isNotNull()
     row = F.when(whole, F.array(*[F.col(f).cast("double") for f in factors]))
-    w = Window.orderBy(DATE).rowsBetween(-(lookback - 1), 0)
-    wins = fr.select(DATE, F.flatten(F.collect_list(row).over(w)).alias("win"), F.count(row).over(w).alias("n"))
-    wins = wins.where(F.col("n") >= max(2, min_obs)).repartition(DATE)
+    numbered = fr.select(DATE, F.row_number().over(Window.orderBy(DATE)).alias("_i"))
+    placed = fr.select(DATE, row.alias("_row")).join(numbered, DATE).withColumn("_own", F.floor(F.col("_i") / lookback))
+    sent = placed.select("*", F.explode(F.array("_own", F.col("_own") + 1)).alias("_part"))
+    w = Window.partitionBy("_part").orderBy("_i").rowsBetween(-(lookback - 1), 0)
+    wins = sent.select(DATE, "_own", "_part", F.flatten(F.collect_list("_row").over(w)).alias("win"), F.count("_row").over(w).alias("n"))
+    wins = wins.where((F.col("_own") == F.col("_part")) & (F.col("n") >= max(2, min_obs)))
     k = len(factors)
 
     def run(batches):
@@ -334,25 +349,25 @@ def attribution_sum(attribution: DataFrame, tolerance: float = 0.001) -> DataFra
     return g.withColumn("passed", (F.abs(F.col("total") - 1.0) < tolerance).cast("int"))
 
 
-def pool_covariance(pool: DataFrame, factors: Sequence[str], cov: DataFrame) -> DataFrame:
+def pool_covariance(pool: DataFrame, factors: Sequence[str], cov: DataFrame, most_names: int = 500) -> DataFrame:
     """Covariance entries among the names of a bounded pool per date, as (date, i, j, cov).
 
-    The pool is a selection of at most a few dozen names per date, so its vectors fit one
-    array per date; factor products are formed once per name before names meet.
+    Every pair of the pool is the result, so a pool of more than ``most_names`` names on a date is refused, never cut. Factor
+    products are formed once per name before names meet.
     """
     factors = list(factors)
+    largest = pool.groupBy(DATE).count().agg(F.max("count")).first()[0] or 0
+    if largest > most_names:
+        raise ValueError(f"a pool of {largest} names on one date exceeds {most_names}")
     x = pool.select(DATE, "ts_code", "specific_variance", *[F.coalesce(f, F.lit(0.0)).alias(f) for f in factors])
     long = x.unpivot([DATE, "ts_code", "specific_variance"], factors, "factor_i", "x")
     xf = long.join(cov, [DATE, "factor_i"]).groupBy(DATE, "ts_code", "factor_j").agg(F.sum(F.col("x") * F.col("cov")).alias("xf"))
     picked = [F.max(F.when(F.col("factor_j") == f, F.col("xf"))) for f in factors]
-    left = xf.groupBy(DATE, "ts_code").agg(F.array(*picked).alias("_xf"))
-    names = x.groupBy(DATE).agg(
-        F.collect_list(F.struct(F.col("ts_code").alias("code"), F.array(*factors).alias("x"), "specific_variance")).alias("_pool")
-    )
-    pairs = left.join(names, DATE).withColumn("p", F.explode("_pool"))
-    dot = F.aggregate(F.zip_with("_xf", F.col("p.x"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    own = F.when(F.col("ts_code") == F.col("p.code"), F.col("p.specific_variance")).otherwise(0.0)
-    return pairs.select(DATE, F.col("ts_code").alias("code_i"), F.col("p.code").alias("code_j"), (dot + own).alias("cov"))
+    left = xf.groupBy(DATE, "ts_code").agg(F.array(*picked).alias("_xf")).withColumnRenamed("ts_code", "code_i")
+    right = x.select(DATE, F.col("ts_code").alias("code_j"), F.array(*factors).alias("_x"), "specific_variance")
+    dot = F.aggregate(F.zip_with("_xf", "_x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    own = F.when(F.col("code_i") == F.col("code_j"), F.col("specific_variance")).otherwise(0.0)
+    return left.join(right, DATE).select(DATE, "code_i", "code_j", (dot + own).alias("cov"))
 
 
 # ---------------------------------------------------------------- validation

@@ -173,9 +173,19 @@ def ic_momentum_scale(
 
 # Words that name a rebalance schedule.
 DAILY, WEEKLY, MONTHLY = {"day", "daily", "1d"}, {"week", "weekly", "1w", "w"}, {"month", "monthly", "1m", "m"}
-EVERY_N = re.compile(
-    r"(?:(?:every|每)[_\s-]*)?(\d+)\s*(?:d|day|days|td|trade[_\s-]*days?|trading[_\s-]*days?|天|个交易日)?"
-)
+EVERY, DAY_UNITS = ("every", "每"), {"d", "day", "days", "td", "tradeday", "tradedays", "tradingday", "tradingdays", "天", "个交易日"}
+
+
+def schedule_step(word: str) -> int | None:
+    """n of an every-n-dates schedule: a bare number, or a number with a day unit, after an optional word for every."""
+    plain = re.sub(r"[_\s-]+", "", word)
+    prefix = next((p for p in EVERY if plain.startswith(p)), "")
+    rest = plain[len(prefix):]
+    number = rest[: len(rest) - len(rest.lstrip("0123456789"))]
+    unit = rest[len(number):]
+    if not number or int(number) == 0 or unit not in DAY_UNITS and (unit or prefix):
+        return None
+    return int(number)
 
 
 def rebalance_dates(dates: DataFrame, freq: str | int) -> DataFrame:
@@ -185,9 +195,8 @@ def rebalance_dates(dates: DataFrame, freq: str | int) -> DataFrame:
     if word in WEEKLY or word in MONTHLY:
         unit = "week" if word in WEEKLY else "month"
         return d.groupBy(F.date_trunc(unit, as_date(DATE)).alias("_p")).agg(F.min(DATE).alias(DATE)).select(DATE)
-    hit = None if word in DAILY else EVERY_N.fullmatch(word)
-    if hit and int(hit.group(1)) > 0:
-        step = int(hit.group(1))
+    step = None if word in DAILY else schedule_step(word)
+    if step:
         return d.withColumn("_i", F.row_number().over(whole())).where((F.col("_i") - 1) % step == 0).select(DATE)
     return d
 

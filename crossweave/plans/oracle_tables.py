@@ -93,7 +93,7 @@ SELECT trade_date, ts_code, CASE WHEN l_returnflag = 'R' THEN 'S' ELSE 'R' END A
 FROM lines WHERE round(l_discount, 2) = 0.10 AND l_returnflag IN ('R', 'A')"""),
     "scores": (("lines",), """
 SELECT trade_date, ts_code, round(100 * (avg(l_discount) - avg(l_tax)), 6) AS score FROM lines GROUP BY trade_date, ts_code"""),
-    "param_grid": ((), "SELECT * FROM (VALUES (5, 1), (5, 5), (10, 1), (10, 5), (20, 1), (20, 5)) g(topk, n_drop)"),
+    "param_grid": ((), "SELECT * FROM (VALUES (5, 1), (5, 10), (10, 1), (10, 10), (20, 1), (20, 10)) g(topk, cost_bp)"),
 }
 
 

@@ -210,10 +210,10 @@ def scored_styles(m):
 
 @query(
     "style_residual", "X13", needs="scores bars", doubles="residual",
-    sql=f"""SELECT x.trade_date, x.ts_code, CASE WHEN c.n >= 3 AND c.vx > 0 THEN x.score - (c.i + c.s * x.vol)
-              WHEN c.n >= 3 THEN x.score - c.my ELSE x.score END AS residual FROM ({_SX}) x JOIN
+    sql=f"""WITH sx AS MATERIALIZED ({_SX}) SELECT x.trade_date, x.ts_code, CASE WHEN c.n >= 3 AND c.vx > 0 THEN x.score - (c.i + c.s * x.vol)
+              WHEN c.n >= 3 THEN x.score - c.my ELSE x.score END AS residual FROM sx x JOIN
            (SELECT trade_date, count(*) AS n, var_pop(vol) AS vx, avg(score) AS my, regr_slope(score, vol) AS s, regr_intercept(score, vol) AS i
-            FROM ({_SX}) GROUP BY trade_date) c ON c.trade_date = x.trade_date""",
+            FROM sx GROUP BY trade_date) c ON c.trade_date = x.trade_date""",
 )
 def _(m):
     return X.neutralize_styles(scored_styles(m), "score", ["vol"], "residual", m.names).select(*KEYS, "residual")

@@ -38,15 +38,16 @@ def _(m):
 def summary_sql(table: str, x: str, keys: str = "") -> str:
     k, g = (f"{keys}, ", f" GROUP BY {keys}") if keys else ("", "")
     return f"""SELECT {k}avg({x}) AS ic_mean, stddev_samp({x}) AS ic_std, avg({x}) / nullif(stddev_samp({x}), 0) AS icir,
-      avg(CASE WHEN {x} > 1e-12 THEN 1.0 WHEN {x} IS NOT NULL THEN 0.0 END) AS positive_rate, count({x}) AS count FROM ({table}){g}"""
+      avg(CASE WHEN round({x}, 12) > 0 THEN 1.0 WHEN {x} IS NOT NULL THEN 0.0 END) AS positive_rate, count({x}) AS count FROM ({table}){g}"""
 
 
 @query("ic_summary", "I2", needs="bars scores", doubles="ic_mean ic_std icir positive_rate",
        sql=f"SELECT 'ic' AS kind, * FROM ({summary_sql(_IC, 'ic')}) UNION ALL SELECT 'rank_ic', * FROM ({summary_sql(_IC, 'rank_ic')})")
 def _(m):
     ic = I.daily_ic(scored(m), min_rows=5, group_rows=m.names)
+    # an exact zero carries float dust that differs between engines; both sides drop it
     long = ic.unpivot(["trade_date"], ["ic", "rank_ic"], "kind", "value")
-    return I.ic_summary(long, "value", ["kind"])
+    return I.ic_summary(long, "value", ["kind"], 12)
 
 
 # flagship: factors → normalise → forward label → coefficient
@@ -59,7 +60,7 @@ _FLAG = f"""WITH lab AS (SELECT trade_date, ts_code, round(lead(close, 5) OVER (
         WHERE volatility_20 IS NOT NULL AND label IS NOT NULL),
   i AS ({ic_sql('SELECT * FROM x', 'feature, trade_date')})
   SELECT feature, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, avg(rank_ic) AS rank_ic_mean,
-         avg(CASE WHEN ic > 1e-12 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END) AS positive_rate, count(ic) AS count FROM i GROUP BY feature"""
+         avg(CASE WHEN round(ic, 12) > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END) AS positive_rate, count(ic) AS count FROM i GROUP BY feature"""
 
 
 @query("factor_ic_summary", "X3 W34 I1 I2", needs="bars", doubles="ic_mean ic_std icir rank_ic_mean positive_rate", sql=_FLAG, digits=5)
@@ -75,7 +76,7 @@ def _(m):
     rows = I.features_to_rows(df.where("label IS NOT NULL"), _TWO)
     ic = I.daily_ic(rows, keys=["feature", "trade_date"], min_rows=5, group_rows=m.names)
     extra = ic.groupBy("feature").agg(F.avg("rank_ic").alias("rank_ic_mean"))
-    return I.ic_summary(ic, "ic", ["feature"]).join(extra, "feature")
+    return I.ic_summary(ic, "ic", ["feature"], 12).join(extra, "feature")
 
 
 @query("monthly_ic", "I3", needs="bars scores", doubles="ic rank_ic",
@@ -181,7 +182,7 @@ _VAL = f"""{_PRE}, ic AS MATERIALIZED ({ic_sql('SELECT * FROM x', _FT)}), g AS (
 
 @query("feature_validation", "I8", needs="bars lines", doubles=_VAL_COLS, sql=_VAL, digits=5)
 def _(m):
-    return I.validate_features(featured(m), _FEAT, topk=20, min_rows=5, group_rows=m.names)
+    return I.validate_features(featured(m), _FEAT, topk=20, min_rows=5, group_rows=m.names, ic_digits=12)
 
 
 _SCR = f"""{_PRE}, ic AS ({ic_sql('SELECT * FROM x', _FT)}), b AS ({summary_sql('SELECT * FROM ic', 'rank_ic', 'feature')}), g AS ({groups_sql('SELECT * FROM x', 5, _FT)})
@@ -193,7 +194,7 @@ _SCR = f"""{_PRE}, ic AS ({ic_sql('SELECT * FROM x', _FT)}), b AS ({summary_sql(
 
 @query("factor_screening", "I9", needs="bars lines", doubles="rank_ic rank_icir ic_positive_pct long_short top_group bottom_group", sql=_SCR, digits=5)
 def _(m):
-    return I.screen_factors(featured(m), _FEAT, min_rows=5, group_rows=m.names)
+    return I.screen_factors(featured(m), _FEAT, min_rows=5, group_rows=m.names, ic_digits=12)
 
 
 _ENS = f"""{_PRE}, e AS (SELECT trade_date, ts_code, round(({' + '.join(rank_pct(c, 'trade_date') for c in _FEAT)}) / 3 + 3.71728349e-9, 6) AS ens
@@ -208,7 +209,7 @@ def _(m):
     df = X.rank_ensemble(featured(m).where("label IS NOT NULL"), _FEAT, group_rows=m.names)
     df = df.withColumn("ensemble", F.round(F.col("ensemble") + 3.71728349e-9, 6))
     rows = I.features_to_rows(df, [*_FEAT, "ensemble"])
-    return I.ic_summary(I.daily_ic(rows, keys=["feature", "trade_date"], min_rows=5, group_rows=m.names), "ic", ["feature"])
+    return I.ic_summary(I.daily_ic(rows, keys=["feature", "trade_date"], min_rows=5, group_rows=m.names), "ic", ["feature"], 12)
 
 
 @query("inferred_label_ic", "I11 I1", needs="bars scores", doubles="ic rank_ic", sql=_IC)

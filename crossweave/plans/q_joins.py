@@ -8,6 +8,7 @@ from ..operators import aggregates as A
 from ..operators import intervals as I
 from ..operators import joins as J
 from ..sources.market import _code, _r6
+from ..functions.columns import as_date, as_int
 from .registry import query
 
 
@@ -147,28 +148,26 @@ def _(m):
 
 @query(
     "aligned_weights", "J11", needs="bars", doubles="w0 w1",
-    sql="""WITH a AS (SELECT ts_code, vol / 1000 AS w0 FROM bars WHERE trade_date = 19980105),
-           b AS (SELECT ts_code, vol / 1000 AS w1 FROM bars WHERE trade_date = 19980112)
-           SELECT coalesce(a.ts_code, b.ts_code) AS ts_code, coalesce(w0, 0.0) AS w0, coalesce(w1, 0.0) AS w1
-           FROM a FULL JOIN b ON a.ts_code = b.ts_code""",
+    sql="""WITH w AS (SELECT strftime(strptime(trade_date::VARCHAR, '%Y%m%d') + INTERVAL 7 DAY, '%Y%m%d')::INTEGER AS next_date, trade_date, ts_code, vol / 1000 AS w FROM bars)
+           SELECT coalesce(a.trade_date, b.next_date) AS trade_date, coalesce(a.ts_code, b.ts_code) AS ts_code, coalesce(b.w, 0.0) AS w0, coalesce(a.w, 0.0) AS w1
+           FROM w a FULL JOIN w b ON a.ts_code = b.ts_code AND a.trade_date = b.next_date""",
 )
 def _(m):
-    # the two dates are constants pushed into the scan; all names of each date take part
-    b = m.lines().where("trade_date IN (19980105, 19980112)").groupBy("trade_date", "ts_code").agg(
-        (F.round(F.sum("l_quantity"), 2) / 1000).alias("w")
-    )
-    w0 = b.where("trade_date = 19980105").select("ts_code", F.col("w").alias("w0"))
-    w1 = b.where("trade_date = 19980112").select("ts_code", F.col("w").alias("w1"))
-    return J.align_weights(w0, w1, ["ts_code"])
+    # every week against the week before it
+    b = m.bars().select("trade_date", "ts_code", (F.col("vol") / 1000).alias("w"))
+    next_week = as_int(F.date_add(as_date("trade_date"), 7)).alias("trade_date")
+    before = b.select(next_week, "ts_code", F.col("w").alias("w0"))
+    return J.align_weights(before, b.withColumnRenamed("w", "w1"), ["trade_date", "ts_code"])
 
 
 @query(
     "dense_calendar", "J12", needs="bars",
     sql="""SELECT s.ts_code, CAST(strftime(d.day, '%Y%m%d') AS INTEGER) AS trade_date FROM (SELECT DISTINCT ts_code FROM bars) s,
-           (SELECT unnest(generate_series(DATE '1997-01-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS day) d""",
+           (SELECT unnest(generate_series((SELECT strptime(min(trade_date)::VARCHAR, '%Y%m%d') FROM bars), (SELECT strptime(max(trade_date)::VARCHAR, '%Y%m%d') FROM bars), INTERVAL 1 DAY)) AS day) d""",
 )
 def _(m):
-    return J.dense_calendar(m.lines(), 19970101, 19981231).select("ts_code", "trade_date")
+    lo, hi = m.lines().agg(F.min("trade_date"), F.max("trade_date")).first()
+    return J.dense_calendar(m.lines(), lo, hi).select("ts_code", "trade_date")
 
 
 _SIGNALS = "(SELECT DISTINCT trade_date FROM bars WHERE (trade_date // 100) % 2 = 0)"
@@ -226,15 +225,15 @@ def index_series(m):
 
 @query(
     "parameter_grid_join", "J15", needs="scores param_grid", doubles="score",
-    sql="SELECT g.topk, g.n_drop, s.trade_date, s.ts_code, s.score FROM scores s, param_grid g WHERE g.n_drop < g.topk",
+    sql="SELECT g.topk, g.cost_bp, s.trade_date, s.ts_code, s.score FROM scores s, param_grid g WHERE g.cost_bp < g.topk",
 )
 def _(m):
-    return J.with_grid(m.scores(), GRID, lambda r: r["n_drop"] < r["topk"]).select(
-        "topk", "n_drop", "trade_date", "ts_code", "score"
+    return J.with_grid(m.scores(), GRID, lambda r: r["cost_bp"] < r["topk"]).select(
+        "topk", "cost_bp", "trade_date", "ts_code", "score"
     )
 
 
-GRID = [{"topk": k, "n_drop": n} for k in (5, 10, 20) for n in (1, 5)]
+GRID = [{"topk": k, "cost_bp": c} for k in (5, 10, 20) for c in (1, 10)]
 
 
 @query(
@@ -404,7 +403,8 @@ def _(m):
     return I.first_dates(m.bars().select("trade_date", "ts_code", "close"), 20)
 
 
-@query("seeded_sample", "N11")
+@query("seeded_sample", "N11", needs="bars", doubles="close",
+       sql="SELECT trade_date, ts_code, close FROM bars ORDER BY md5('42|' || trade_date || '|' || ts_code), trade_date, ts_code LIMIT 200")
 def _(m):
     return I.seeded_sample(m.bars().select("trade_date", "ts_code", "close"), ["trade_date", "ts_code"], 200)
 

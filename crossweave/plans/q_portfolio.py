@@ -175,11 +175,11 @@ def _(m):
     return P.turnover(ch).join(P.turnover(ch, half=True).withColumnRenamed("turnover", "half_turnover"), "trade_date")
 
 
-def report_sql(k: str, table: str = "p", keys: str = "", best: str | None = None) -> str:
+def report_sql(k: str, table: str = "p", keys: str = "", best: str | None = None, rate: str = "0.001") -> str:
     kk = f"{keys}, " if keys else ""
     held = best or f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {kk}trade_date ORDER BY score DESC, ts_code) AS position FROM {table}) WHERE position <= {k}"
     w = f"SELECT {kk}trade_date, ts_code, label, 1.0::DOUBLE / count(*) OVER (PARTITION BY {kk}trade_date) AS weight FROM ({held}) WHERE label IS NOT NULL"
-    return f"""SELECT g.*, t.turnover, t.turnover * 0.001 AS cost, gross_return - t.turnover * 0.001 AS "return" FROM
+    return f"""SELECT g.*, t.turnover, t.turnover * {rate} AS cost, gross_return - t.turnover * {rate} AS "return" FROM
       (SELECT {kk}trade_date, avg(label) AS gross_return, count(*) AS holdings_count FROM ({w}) GROUP BY {kk}trade_date) g
       JOIN (SELECT {kk}trade_date, sum(abs(w1 - w0)) AS turnover FROM {changes_sql(w, keys)} GROUP BY {kk}trade_date) t USING ({kk}trade_date)"""
 
@@ -305,21 +305,24 @@ def _(m):
     return A.compare_metrics(A.performance(rep, "benchmark"), A.performance(rep, "return"), _CMP)
 
 
-_SWEEP = f"""WITH p AS MATERIALIZED ({PRED}), held AS MATERIALIZED (SELECT g.topk, g.n_drop, x.* FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, ts_code) AS position
-  FROM p) x JOIN param_grid g ON x.position <= g.topk WHERE g.n_drop < g.topk), rep AS MATERIALIZED ({report_sql('', keys='topk, n_drop', best='SELECT * FROM held')})
-  {perf_sql('rep', chr(34) + 'return' + chr(34), 'topk, n_drop')}"""
+_SWEEP = f"""WITH p AS MATERIALIZED ({PRED}), held AS MATERIALIZED (SELECT g.topk, g.cost_bp, x.* FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, ts_code) AS position
+  FROM p) x JOIN param_grid g ON x.position <= g.topk), rep AS MATERIALIZED ({report_sql('', keys='topk, cost_bp', best='SELECT * FROM held', rate='cost_bp / 10000.0')})
+  {perf_sql('rep', chr(34) + 'return' + chr(34), 'topk, cost_bp')}"""
+
+
+def sweep(m):
+    return P.parameter_sweep(predictions(m), GRID, F.col("cost_bp") / 10000.0)
 
 
 @query("parameter_sweep", "T10 J15", needs="bars scores param_grid", doubles=_PERF, sql=_SWEEP, digits=5)
 def _(m):
-    return P.parameter_sweep(predictions(m), [g for g in GRID if g["n_drop"] < g["topk"]], 0.001)
+    return sweep(m)
 
 
 @query("parameter_leaderboard", "A25 T10", needs="bars scores param_grid", doubles=_PERF, digits=5,
-       sql=_SWEEP + " ORDER BY sharpe DESC, topk, n_drop LIMIT 3")
+       sql=_SWEEP + " ORDER BY sharpe DESC, topk, cost_bp LIMIT 3")
 def _(m):
-    sweep = P.parameter_sweep(predictions(m), [g for g in GRID if g["n_drop"] < g["topk"]], 0.001)
-    return P.leaderboard(sweep, "sharpe", 3, ["topk", "n_drop"])
+    return P.leaderboard(sweep(m), "sharpe", 3, ["topk", "cost_bp"])
 
 
 @query("trade_list", "T11", needs="scores", doubles="current_weight target_weight trade_weight",

@@ -213,8 +213,8 @@ factor_query("kdj_oscillator", "W26", SM.kdj, ["kdj_k", "kdj_d", "kdj_j"], sql=_
 factor_query(
     "commodity_channel_index", "W27", PV.cci, ["cci_20"],
     sql=select(
-        {"cci_20": "CASE WHEN n >= 10 AND round(md, 10) <> 0 THEN (tp - ma) / (0.015 * md) END"},
-        f"""(SELECT *, list_sum(list_transform(win, lambda v: abs(v - ma))) / n AS md FROM
+        {"cci_20": "CASE WHEN n >= 10 AND spread > 0 THEN (tp - ma) / (0.015 * md) END"},
+        f"""(SELECT *, list_sum(list_transform(win, lambda v: abs(v - ma))) / n AS md, list_max(win) - list_min(win) AS spread FROM
              (SELECT *, count(tp) {over(20)} AS n, avg(tp) {over(20)} AS ma, list(tp) {over(20)} AS win FROM
                (SELECT *, (high + low + close) / 3.0 AS tp FROM bars)))""",
     ),

@@ -387,7 +387,7 @@ _ATT = """SELECT z.trade_date, z.factor, CASE WHEN variance > 0 THEN z.exposure
   JOIN pr ON pr.trade_date = z.trade_date UNION ALL SELECT trade_date, 'SPECIFIC', CASE WHEN variance > 0 THEN specific_variance / variance ELSE 0 END FROM pr"""
 
 
-@query("risk_attribution", "K19", needs="bars scores", doubles="share", sql=f"{_ZF} {_ATT}")
+@query("risk_attribution", "K19", needs="bars scores", doubles="share", sql=f"{_ZF}, att AS MATERIALIZED ({_ATT}) SELECT * FROM att")
 def _(m):
     return R.risk_attribution(holdings(m), _F3, covariances(m))
 

@@ -195,9 +195,10 @@ def _(m):
 
 @query(
     "high_water_mark", "C16", needs="reports_dirty",
-    sql="""SELECT ts_code, max(CAST(trim(ann_date) AS INTEGER)) AS latest,
-      greatest(CAST(strftime(strptime(max(trim(ann_date)), '%Y%m%d') + INTERVAL 1 DAY, '%Y%m%d') AS INTEGER), 20010601) AS next_start
-      FROM reports_dirty WHERE regexp_full_match(trim(ann_date), '[0-9]{8}') GROUP BY ts_code""",
+    sql="""SELECT ts_code, max(CAST(d AS INTEGER)) AS latest,
+      greatest(coalesce(CAST(strftime(strptime(max(d), '%Y%m%d') + INTERVAL 1 DAY, '%Y%m%d') AS INTEGER), 20010601), 20010601) AS next_start
+      FROM (SELECT ts_code, CASE WHEN regexp_full_match(replace(trim(ann_date), '-', ''), '[0-9]{8}') AND try_strptime(replace(trim(ann_date), '-', ''), '%Y%m%d') IS NOT NULL THEN replace(trim(ann_date), '-', '') END AS d FROM reports_dirty)
+      GROUP BY ts_code""",
 )
 def _(m):
     return D.high_water_mark(m.reports_dirty(), "ann_date", 20010601, key="ts_code")

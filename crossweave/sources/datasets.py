@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -16,18 +17,34 @@ from ..functions.columns import as_date, as_int
 YEAR_MONTH = ("year", "month")
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for derived files, in the shared folder the session names.
+_local = None
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """Folder of this application's derived files, in the shared folder the session names.
 
-    Only a local session without that setting falls back to a temporary folder.
+    Only a local session without that setting uses a temporary folder, which goes with the process.
     """
+    global _local
     shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        tag = spark.sql("SELECT uuid()").first()[0]
-        return f"{shared.rstrip('/')}/crossweave/{name}-{tag}"
-    if not spark.sparkContext.master.startswith("local"):
+        return f"{shared.rstrip('/')}/crossweave/{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix=f"crossweave-{name}-") + "/data"
+    if _local is None:
+        _local = tempfile.TemporaryDirectory(prefix="crossweave-", ignore_cleanup_errors=True)
+    return _local.name
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for derived files."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all derived files of this application; call it when no result of it is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -180,11 +197,15 @@ def shared_dates(a: DataFrame, b: DataFrame, date_col: str = "trade_date") -> Da
 def high_water_mark(
     df: DataFrame, date_col: str, requested_start: int, key: str | None = None, default: int | None = None
 ) -> DataFrame:
-    """Day after the latest valid stored date, not before the requested start; overall or per key."""
-    text = F.trim(F.col(date_col).cast("string"))
-    valid = df.where(text.rlike(r"^\d{8}$"))
-    latest = F.max(text).cast("int").alias("latest")
-    agg = valid.groupBy(key).agg(latest) if key else valid.agg(latest)
+    """Day after the latest valid stored date, not before the requested start; overall or per key.
+
+    Dashes are dropped before a date is tested for eight digits; a day no calendar has is none. A key without a valid
+    date starts at the default.
+    """
+    text = F.replace(F.trim(F.col(date_col).cast("string")), F.lit("-"), F.lit(""))
+    valid = text.rlike(r"^\d{8}$") & F.try_to_date(text, "yyyyMMdd").isNotNull()
+    latest = F.max(F.when(valid, text)).cast("int").alias("latest")
+    agg = df.groupBy(key).agg(latest) if key else df.agg(latest)
     nxt = as_int(F.date_add(as_date("latest"), 1))
     start = F.greatest(F.coalesce(nxt, F.lit(default or requested_start)), F.lit(requested_start))
     return agg.withColumn("next_start", start)
