@@ -84,8 +84,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A chunk is removed if it holds several lines (or one long line) and its bytes occur before: in a document with a smaller id, or
     earlier in the same one. The first occurrence stays. Hashes of all chunks are counted (a frequent chunk is one row per task);
     texts of chunks with a repeated hash are compared per hash by their least and greatest value, which is aggregated
-    before the exchange too; only equal ones are cut. Documents travel once, by id and text hash, and both uses read
-    that exchange.
+    before the exchange too; only equal ones are cut. Documents travel twice, by id and text hash: once to read the
+    repeated chunks' bytes, once to be cut.
 
     Null texts stay null, empty ones empty. Rows that repeat id and text are one document and are cut alike; null ids
     come after all others. Blank lines alone are never a chunk to remove. An empty table gives an empty table.
