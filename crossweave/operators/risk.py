@@ -183,10 +183,10 @@ def rolling_covariance(fr: DataFrame, factors: Sequence[str], lookback: int = 25
         return fr.limit(0).select(DATE, F.lit("").alias("factor_i"), F.lit("").alias("factor_j"), F.lit(0.0).alias("cov"))
     whole = F.lit(True)
     for f in factors:
-        whole = whole & F.col(f).isNotNull()
+        whole = whole & F.col(f"`{f}`").isNotNull()
     pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i:]]
     structs = [
-        F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.when(whole, F.col(a)).alias("x"), F.when(whole, F.col(b)).alias("y"))
+        F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.when(whole, F.col(f"`{a}`")).alias("x"), F.when(whole, F.col(f"`{b}`")).alias("y"))
         for a, b in pairs
     ]
     long = fr.select(DATE, F.explode(F.array(*structs)).alias("p")).select(DATE, "p.*")
@@ -212,7 +212,7 @@ def shrunk_covariance(fr: DataFrame, factors: Sequence[str], lookback: int = 252
         return fr.limit(0).select(DATE, F.lit("").alias("factor_i"), F.lit("").alias("factor_j"), F.lit(0.0).alias("cov"), F.lit(0.0).alias("shrinkage"))
     whole = F.lit(True)
     for f in factors:
-        whole = whole & F.col(f).isNotNull()
+        whole = whole & F.col(f"`{f}`").isNotNull()
     row = F.when(whole, F.array(*[F.col(f).cast("double") for f in factors]))
     numbered = fr.select(DATE, F.row_number().over(Window.orderBy(DATE)).alias("_i"))
     placed = fr.select(DATE, row.alias("_row")).join(numbered, DATE).withColumn("_own", F.floor(F.col("_i") / lookback))
@@ -305,8 +305,8 @@ def condition_risk_data(
 
 def portfolio_exposure(holdings: DataFrame, factors: Sequence[str]) -> DataFrame:
     """Long (date, factor, exposure) of weights × exposures; one partial sum per date."""
-    sums = holdings.groupBy(DATE).agg(*[F.sum(F.col("weight") * F.coalesce(f, F.lit(0.0))).alias(f) for f in factors])
-    return sums.unpivot([DATE], list(factors), "factor", "exposure")
+    sums = holdings.groupBy(DATE).agg(*[F.sum(F.col("weight") * F.coalesce(F.col(f"`{f}`"), F.lit(0.0))).alias(f) for f in factors])
+    return sums.unpivot([DATE], [f"`{f}`" for f in factors], "factor", "exposure")
 
 
 def _factor_risk(z: DataFrame, cov: DataFrame) -> DataFrame:

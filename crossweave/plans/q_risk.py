@@ -183,17 +183,17 @@ def model_panel(m):
     return exposures(m).join(b, KEYS)
 
 
-_FACTORS = list(R.STYLES)
+_FACTORS = [*R.STYLES, *[f"L1_{d}" for d in _DUM]]
 
 
-def projection_sql(base: str, y: str, xs: list[str], name: str = "s", keep: str = "") -> str:
+def projection_sql(base: str, y: str, xs: list[str], name: str = "s", keep: str = "", constant: bool = True) -> str:
     """Residual of ``y``: the constant and each regressor are projected out in turn (weight column ``w``).
 
     ``keep`` is a column from which the regressors are taken out as well.
     """
     part = "trade_date"
     ctes = [f"{name}0 AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS one FROM ({base}))"]
-    order = ["one", *xs]
+    order = ["one", *xs] if constant else list(xs)
     for i, z in enumerate(order):
         rest = [y, *order[i + 1:], *([keep] if keep else [])]
         reps = ", ".join(
@@ -204,48 +204,100 @@ def projection_sql(base: str, y: str, xs: list[str], name: str = "s", keep: str
     return ", ".join(ctes)
 
 
-_ST = [f'"{s}"' for s in R.STYLES]
+_ST = [f'"{f}"' for f in _FACTORS]
+_DUMMIES = ", ".join(f"""(l1_name = '{d}')::INT::DOUBLE AS "L1_{d}" """ for d in _DUM)
 _MODEL = f"""SELECT e.trade_date, e.ts_code, {', '.join(f'e.{c}' for c in _ST)}, {', '.join(f"max((e.{c} IS NOT NULL)::INT) OVER (PARTITION BY e.trade_date) AS a{i}" for i, c in enumerate(_ST))},
-  b.pct_chg / 100.0 AS ret, b.weight AS w FROM ({EXPO}) e JOIN ({_WT}) b ON b.trade_date = e.trade_date AND b.ts_code = e.ts_code"""
-_COMPLETE = f"""SELECT trade_date, ts_code, ret, w, {', '.join(f'coalesce({c}, 0.0) AS {c}' for c in _ST)} FROM (SELECT *, count(*) OVER (PARTITION BY trade_date) AS n FROM ({_MODEL})
+  b.pct_chg / 100.0 AS ret, b.weight AS w FROM (SELECT *, {_DUMMIES} FROM ({EXPO})) e JOIN ({_WT}) b ON b.trade_date = e.trade_date AND b.ts_code = e.ts_code"""
+_COMPLETE = f"""SELECT trade_date, ts_code, ret, w, {', '.join(f'a{i}' for i in range(len(_ST)))}, {', '.join(f'coalesce({c}, 0.0) AS {c}' for c in _ST)}
+  FROM (SELECT *, count(*) OVER (PARTITION BY trade_date) AS n FROM model
   WHERE ret IS NOT NULL AND w > 0 AND {' AND '.join(f'({c} IS NOT NULL OR a{i} = 0)' for i, c in enumerate(_ST))})
   WHERE n >= 12 AND n > 1 + {' + '.join(f'a{i}' for i in range(len(_ST)))}"""
+_BASE = f"model AS MATERIALIZED ({_MODEL}), base AS MATERIALIZED ({_COMPLETE})"
+_RESIDUALS = projection_sql("SELECT * FROM base", "ret", _ST)
+_LAST = f"s{len(_ST) + 1}"
 
 
 @query(
     "style_residual_returns", "K11", needs="bars reports members", doubles="residual", digits=4,
-    sql=f"WITH {projection_sql(_COMPLETE, 'ret', _ST)} SELECT trade_date, ts_code, ret AS residual FROM s9",
+    sql=f"WITH {_BASE}, {_RESIDUALS} SELECT trade_date, ts_code, ret AS residual FROM {_LAST}",
 )
 def _(m):
+    df, fit = fitted(m)
+    res = R.residual_returns(df, _FACTORS, fit, weight="weight")
+    return res.where((F.col("weight") > 0) & F.col("residual").isNotNull()).select(*KEYS, "residual")
+
+
+def fitted(m):
+    """Exposures with returns, written once (read for the fit and for what follows), and the daily regressions."""
     from ..sources.datasets import materialize
 
-    # read twice: once for the fit, once for the residuals
     df = materialize(model_panel(m), "exposures")
-    fit = R.factor_returns(df, _FACTORS, weight="weight", min_stocks=12, group_rows=m.names)
-    res = R.residual_returns(df, _FACTORS, fit, weight="weight")
-    return res.where((F.col("weight") > 0) & F.col("residual").isNotNull()).select(*KEYS, "residual")
+    return df, R.factor_returns(df, _FACTORS, weight="weight", min_stocks=12, group_rows=m.names)
 
 
 _CHAINS = ", ".join(
     projection_sql("SELECT * FROM base", "ret", [c for c in _ST if c != f], f"p{i}_", keep=f) for i, f in enumerate(_ST)
 )
 _RETS = " UNION ALL ".join(
-    f"""SELECT trade_date, '{f.strip('"')}' AS factor, count(*) AS n_rows, sum(w * {f} * ret) / nullif(CASE WHEN sum(w * {f} * {f}) > 1e-9 THEN sum(w * {f} * {f}) END, 0) AS ret
-        FROM p{i}_{len(_ST)} GROUP BY trade_date"""
+    f"""SELECT trade_date, '{f.strip('"')}' AS factor, count(*) AS n_rows, coalesce(sum(w * {f} * ret) / nullif(CASE WHEN sum(w * {f} * {f}) > 1e-9 THEN sum(w * {f} * {f}) END, 0), 0.0) AS ret
+        FROM p{i}_{len(_ST)} WHERE a{i} = 1 GROUP BY trade_date"""
     for i, f in enumerate(_ST)
 )
 
 
 @query(
     "style_factor_returns", "K11", needs="bars reports members", doubles="ret", digits=4,
-    sql=f"WITH base AS MATERIALIZED ({_COMPLETE}), {_CHAINS} SELECT * FROM ({_RETS}) WHERE ret IS NOT NULL",
+    sql=f"WITH {_BASE}, {_CHAINS} SELECT * FROM ({_RETS}) WHERE ret IS NOT NULL",
 )
 def _(m):
     fr = R.factor_returns(model_panel(m), _FACTORS, weight="weight", min_stocks=12, group_rows=m.names)
-    long = fr.unpivot(["trade_date", "n_rows"], [f"b_{f}" for f in _FACTORS], "factor", "ret").where("ret IS NOT NULL")
+    long = fr.unpivot(["trade_date", "n_rows"], [f"`b_{f}`" for f in _FACTORS], "factor", "ret").where("ret IS NOT NULL")
     return long.withColumn("factor", F.substring("factor", 3, 100))
 
 
+# the whole model: regressions, factor covariance with the market factor, specific risk of their residuals, portfolio risk
+_ALL = [*_FACTORS, "INTERCEPT"]
+_MARKET = projection_sql("SELECT * FROM base", "ret", _ST, "q", keep="one", constant=False)
+_SERIES_OF = ", ".join(f"max(CASE WHEN factor = '{f}' THEN ret END) AS f{i}" for i, f in enumerate(_ALL))
+_FR = f"""{_CHAINS}, {_MARKET}, fl AS MATERIALIZED (SELECT trade_date, factor, ret FROM ({_RETS}) UNION ALL
+    SELECT trade_date, 'INTERCEPT', sum(w * one * ret) / sum(w * one * one) FROM q{len(_ST)} GROUP BY trade_date),
+  fs AS MATERIALIZED (SELECT d.trade_date, {_SERIES_OF} FROM (SELECT DISTINCT trade_date FROM model) d LEFT JOIN fl ON fl.trade_date = d.trade_date GROUP BY d.trade_date),
+  fo AS MATERIALIZED (SELECT *, CASE WHEN {' AND '.join(f'f{i} IS NOT NULL' for i in range(len(_ALL)))} THEN 1 END AS ok FROM fs)"""
+_W60D = "OVER (ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
+_MCOV = " UNION ALL ".join(
+    f"SELECT trade_date, '{a}' AS factor_i, '{b}' AS factor_j, CASE WHEN count(ok) {_W60D} >= 20 THEN covar_samp(f{i} * ok, f{j} * ok) {_W60D} END AS cov FROM fo"
+    for i, a in enumerate(_ALL) for j, b in enumerate(_ALL)
+)
+_MSPEC = f"""SELECT *, count(residual) {over(60)} AS sample_count, {roll('avg', '(residual * residual)', 60, 20)} AS specific_variance
+  FROM (SELECT d.trade_date, d.ts_code, r.ret AS residual FROM model d LEFT JOIN {_LAST} r ON r.trade_date = d.trade_date AND r.ts_code = d.ts_code)"""
+_MH = f"""SELECT w.trade_date, w.ts_code, w.weight, sp.specific_variance, {', '.join(f'coalesce(x.{c}, 0.0) AS {c}' for c in _ST)}, 1.0::DOUBLE AS "INTERCEPT" FROM ({_EQ10}) w
+  JOIN model x ON x.trade_date = w.trade_date AND x.ts_code = w.ts_code JOIN spec sp ON sp.trade_date = w.trade_date AND sp.ts_code = w.ts_code WHERE sp.specific_variance IS NOT NULL"""
+_MZ = " UNION ALL ".join(f"""SELECT trade_date, '{f}' AS factor, sum(weight * "{f}") AS exposure FROM h GROUP BY trade_date""" for f in _ALL)
+_RISK = f"""WITH {_BASE}, {_RESIDUALS}, {_FR}, cov AS MATERIALIZED (SELECT * FROM ({_MCOV}) WHERE cov IS NOT NULL), spec AS MATERIALIZED ({_MSPEC}), h AS MATERIALIZED ({_MH}),
+  z AS MATERIALIZED ({_MZ}), zf AS MATERIALIZED (SELECT c.trade_date, c.factor_i AS factor, sum(c.cov * z.exposure) AS fz FROM cov c JOIN z ON z.trade_date = c.trade_date AND z.factor = c.factor_j GROUP BY ALL),
+  fv AS MATERIALIZED (SELECT z.trade_date, sum(z.exposure * fz) AS factor_variance FROM z JOIN zf ON zf.trade_date = z.trade_date AND zf.factor = z.factor GROUP BY z.trade_date),
+  sv AS MATERIALIZED (SELECT trade_date, sum(weight * weight * specific_variance) AS specific_variance FROM h GROUP BY trade_date)
+  SELECT fv.trade_date, factor_variance, specific_variance, factor_variance + specific_variance AS variance, sqrt(greatest(factor_variance + specific_variance, 0)) AS volatility
+  FROM fv JOIN sv ON sv.trade_date = fv.trade_date"""
+
+
+@query("risk_model", "K11 K12 K14 K16", needs="bars reports members scores", doubles="factor_variance specific_variance variance volatility", sql=_RISK, digits=6)
+def _(m):
+    from ..sources.datasets import materialize
+
+    df, fit = fitted(m)
+    fit = materialize(fit, "factor-returns")  # one row per date, read by the covariance and by the residuals
+    series = fit.select("trade_date", *[F.col(f"`b_{f}`").alias(f) for f in _FACTORS], F.col("intercept").alias("INTERCEPT"))
+    cov = R.rolling_covariance(series, _ALL, 60, 20)
+    res = R.residual_returns(df, _FACTORS, fit, weight="weight")
+    taken = (F.col("weight") > 0) & F.col("residual").isNotNull()
+    sr = R.specific_risk(res.withColumn("residual", F.when(taken, F.col("residual"))).select(*KEYS, "residual"), 60, 20)
+    held = equal_ten(m).select(*KEYS, F.col("weight").alias("held"))
+    x = df.select(*KEYS, *[F.col(f"`{f}`") for f in _FACTORS], F.lit(1.0).alias("INTERCEPT"))
+    h = held.join(x, KEYS).join(sr.where("specific_variance IS NOT NULL").select(*KEYS, "specific_variance"), KEYS)
+    return R.portfolio_risk(h.withColumnRenamed("held", "weight"), _ALL, cov)
+
+
 # three date-level series stand in for factor returns
 FACTOR_SERIES = """SELECT trade_date, round(avg(close / open - 1) + 3.71728349e-9, 6) AS f1, round(avg((high - low) / close) + 3.71728349e-9, 6) AS f2,
   CASE WHEN trade_date % 11 <> 0 THEN round(avg(ln(vol)) + 3.71728349e-9, 6) END AS f3 FROM bars GROUP BY trade_date"""
