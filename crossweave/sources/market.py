@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import as_int, safe_div
 from ..functions.rolling import Series
 
-# Report columns that are linear mixes of the aggregated ones.
+# Report columns made as linear mixes of the aggregated ones.
 REPORT_MIXES: dict[str, str] = {
     "netprofit_margin": "roe + 0.5 * roa - 4.0",
     "ocf_to_or": "1.2 * roe + 0.3 * roa - 5.0",
