@@ -103,10 +103,13 @@ def interval_join(
 def join_calendar(df: DataFrame, series: DataFrame, date: str = "trade_date", how: str = "left") -> DataFrame:
     """Join a date-level series to a panel without moving the panel.
 
-    The series holds one row per YYYYMMDD date, at most 366 for each of 9999 years, so
-    broadcasting it is bounded whatever the size of the panel.
+    One row per YYYYMMDD date, at most 366 for each of 9999 years, is what bounds the broadcast; a series that repeats
+    a date fails when the query runs.
     """
-    return df.join(F.broadcast(series), date, how)
+    rest = [c for c in series.columns if c != date]
+    row = F.when(F.count("*") > 1, F.raise_error(F.lit(f"the series repeats a {date}"))).otherwise(F.first(F.struct(*rest)))
+    one = series.groupBy(date).agg(row.alias("_s")).select(date, *[F.col("_s")[c].alias(c) for c in rest])
+    return df.join(F.broadcast(one), date, how)
 
 
 def align_weights(a: DataFrame, b: DataFrame, keys: Sequence[str], left: str = "w0", right: str = "w1") -> DataFrame:

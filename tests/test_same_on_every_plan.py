@@ -133,3 +133,11 @@ def test_a_pool_beyond_its_bound_is_refused(spark):
     assert risk.pool_covariance(pool, ["f"], cov).count() == 16
     with pytest.raises(ValueError):
         risk.pool_covariance(pool, ["f"], cov, most_names=3)
+
+
+def test_a_series_that_repeats_a_date_is_refused(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "trade_date int, ts_code string")
+    good = spark.createDataFrame([(1, 0.5, "x")], "trade_date int, r double, t string")
+    assert rows_of(joins.join_calendar(df, good)) == [(1, "a", 0.5, "x"), (2, "b", None, None)]
+    with pytest.raises(Exception, match="repeats a trade_date"):
+        joins.join_calendar(df, good.union(good)).collect()
