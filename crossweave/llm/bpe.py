@@ -98,6 +98,11 @@ class Vocabulary:
     def encode(self, word: str) -> list[int]:
         return [self.ids[s] for s in self.merged(self.symbols(word))[0] if s is not None]
 
+    def word_ids(self, word: str) -> bytes:
+        """Ids of a word or special string as little-endian unsigned 32-bit numbers."""
+        ids = [self.special[word]] if word in self.special else self.encode(word)
+        return b"".join(i.to_bytes(4, "little") for i in ids)
+
 
 class SpacedSplitter:
     """Words with their leading space, as byte-level vocabularies split them; nothing is lost."""

@@ -7,15 +7,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SpacedSplitter, Vocabulary
-from .common import field_type, shared_table
+from .common import field_type, shared_dir, shared_table
 
 #: bounds of the broadcast part of the word table: number of words, and bytes of a word in it
-FREQUENT_WORDS = 1 << 19
+FREQUENT_WORDS = 1 << 18
 FREQUENT_BYTES = 64
 #: words a task counts before it hands its counts on
 COUNTED_WORDS = 400_000
@@ -41,21 +43,22 @@ def pieces(vocabulary: Vocabulary) -> list[bytes]:
 
 
 def word_table(texts: DataFrame, source: str) -> DataFrame:
-    """Distinct words with their count and ids (little-endian unsigned 32 bits); each is encoded once.
+    """Distinct words with their count, ids (little-endian unsigned 32 bits), and the splits that hold them.
 
-    Tasks count words before the exchange, so a frequent word is one row per task; sorted words share their
-    beginnings, which the shuffle files compress.
+    A task sends each of its words once, with a count and its own number, so a frequent word is one row per task; sorted
+    words share their beginnings, which the shuffle files compress. Each distinct word is encoded once.
     """
     shared = texts.sparkSession.sparkContext.broadcast(source)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, split, seen = Vocabulary(shared.value), SpacedSplitter(), Counter()
+        task = TaskContext.get().partitionId()
 
         def rows():
             words = sorted(seen)
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
+            columns = [pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64()), pa.array([task] * len(words), pa.int32())]
             seen.clear()
-            return out
+            return pa.RecordBatch.from_arrays(columns, ["word", "n", "split"])
 
         for batch in batches:
             for value in batch.column(0):
@@ -68,16 +71,14 @@ def word_table(texts: DataFrame, source: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(shared.value)
-        special = vocabulary.special
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [[special[w]] if w in special else vocabulary.encode(w) for w in words]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], ["word", "n", "ids"]
-            )
+            ids = [vocabulary.word_ids(w) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], ["word", "n", "splits", "ids"])
 
-    counted = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return shared_table(counted.mapInArrow(encode, "word string, n long, ids binary"), "words")
+    # rows of a word are one per task already: a second partial aggregation would only add its buffers
+    counted = texts.mapInArrow(count, "word string, n long, split int").repartition("word")
+    counted = counted.groupBy("word").agg(F.sum("n").alias("n"), F.collect_set("split").alias("splits"))
+    return shared_table(counted.mapInArrow(encode, "word string, n long, splits array<int>, ids binary"), "words")
 
 
 def count_level() -> Column:
@@ -85,14 +86,6 @@ def count_level() -> Column:
     return F.floor(F.log2(F.col("n").cast("double")) * 16)
 
 
-def _escape(word: str) -> str:
-    return word.replace("\x01", "\x01b").replace("\0", "\x01a")
-
-
-def _unescape(word: str) -> str:
-    return word.replace("\x01a", "\0").replace("\x01b", "\x01")
-
-
 def frequent_words(words: DataFrame, most: int = FREQUENT_WORDS) -> tuple[DataFrame, float]:
     """The words above a count that at most ``most`` words reach, and that count; words over the byte bound stay out."""
     level = count_level()
@@ -114,10 +107,13 @@ def encode_decode(
     """One row per document: id, carried columns, ``ids`` (little-endian unsigned 32-bit), ``decoded`` text.
 
     The word table is joined back in two ways. Its most frequent words (a stated number of bounded words) are
-    broadcast, which also takes the hot keys out of the exchange; each remaining word of a document travels as
-    (word, document, place) to an ordinary join. A document itself travels once, as compressed places in the
-    word table with its remaining words, and is put together by position. Decoding joins every id of a document with
-    the id-to-piece table, which is as long as the vocabulary.
+    broadcast, which also takes the hot keys out of every exchange. The others are sent to the input splits that hold
+    them: one dictionary file per split in the shared folder, never larger than the words of the split. The last
+    pass takes the ids of each word by position, and decodes by joining every id with the id-to-piece table,
+    which is as long as the vocabulary. Texts are never shuffled.
+
+    Both passes read ``docs`` as the same splits. Should a split differ (another plan, other settings), a word that its
+    dictionary lacks is encoded where it stands, so results never depend on it.
 
     Null and empty texts have no ids and decode to the empty text. Repeated rows, null ids and extra columns are kept
     as they are; an empty table gives an empty table.
@@ -127,79 +123,56 @@ def encode_decode(
         source = f.read()
     words = word_table(docs.select(F.col(text_col).alias("text")), source)
     often, bound = frequent_words(words, frequent)
-    table = often.select("word", "ids", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    dictionary = spark.sparkContext.broadcast(table.column("word").to_pylist())  # common words get small places
-    meaning = spark.sparkContext.broadcast(table.column("ids").to_pylist())
-    shared, known = spark.sparkContext.broadcast(source), table.num_rows
-    others = words.where((F.octet_length("word") > FREQUENT_BYTES) | (count_level() < bound)).select("word", "ids")
+    table = often.select("word", "ids").toArrow()
+    shared = spark.sparkContext.broadcast(source)
+    dictionary = spark.sparkContext.broadcast((table.column("word").to_pylist(), table.column("ids").to_pylist()))
+    others = words.where((F.octet_length("word") > FREQUENT_BYTES) | (count_level() < bound)).select(F.explode("splits").alias("split"), "word", "ids")
+    folder = shared_dir(spark, "split-words")
+    others.repartition("split").write.partitionBy("split").option("compression", "zstd").parquet(folder)
 
     kind = field_type(docs, id_col)
     kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
     kinds = "".join(f", c{i} {field_type(docs, c)}" for i, c in enumerate(carry))
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("a"), F.xxhash64(F.col(text_col)).alias("h"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"), *kept,
-    )
-
-    def skeleton(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, split, place = Vocabulary(shared.value), SpacedSplitter(), {w: i for i, w in enumerate(dictionary.value)}
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            packed = []
-            for value in batch.column(2):
-                found, rest = _words(vocabulary, split, value.as_py()), {}
-                places = [place.get(w, -1) for w in found]
-                if -1 in places:  # words beyond the table get places after it, in order of first appearance
-                    places = [known + rest.setdefault(w, len(rest)) if p < 0 else p for p, w in zip(places, found, strict=True)]
-                planes = press.compress(np.array(places, "<u4").view("u1").reshape(-1, 4).T.tobytes())
-                packed.append(len(planes).to_bytes(8, "little") + planes + "\0".join(map(_escape, rest)).encode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(packed, pa.binary()), *batch.columns[3:]], ["a", "h", "packed", *batch.schema.names[3:]]
-            )
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, word, k = [], [], []
-            for row, value in enumerate(batch.column(2)):
-                blob = value.as_py()
-                rest = blob[8 + int.from_bytes(blob[:8], "little") :].decode()
-                if rest:
-                    rest = list(map(_unescape, rest.split("\0")))
-                    at += [row] * len(rest)
-                    word += rest
-                    k += range(len(rest))
-            at = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(k, pa.int32()), pa.array(word, pa.string())], ["a", "h", "k", "word"]
-            )
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        common = np.array([*meaning.value, b""], object)
-        piece = pa.array(pieces(Vocabulary(shared.value)), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, split = Vocabulary(shared.value), SpacedSplitter()
+        piece = pa.array(pieces(vocabulary), pa.large_binary())
+        known = WordIds(vocabulary, zip(*dictionary.value, strict=True))
+        store, path = pa.fs.FileSystem.from_uri(f"{folder}/split={TaskContext.get().partitionId()}")
+        for info in store.get_file_info(pa.fs.FileSelector(path, allow_not_found=True)):
+            if info.base_name.endswith(".parquet"):
+                with store.open_input_file(info.path) as f:
+                    own = pq.read_table(f, columns=["word", "ids"])
+                known.update(zip(own.column("word").to_pylist(), own.column("ids").to_pylist(), strict=True))
+        look = known.__getitem__
         for batch in batches:
             ids, texts = [], []
-            for packed, rest in zip(batch.column(1), batch.column(2), strict=True):
-                blob = packed.as_py()
-                raw = unpack.decompress(blob[8 : 8 + int.from_bytes(blob[:8], "little")])
-                places = np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(4, -1).T).view("<u4").ravel()
-                parts = common.take(places, mode="clip")
-                beyond = np.flatnonzero(places >= known)
-                if len(beyond):
-                    extra = {r["k"]: r["ids"] for r in rest.as_py()}
-                    for i in beyond:
-                        parts[i] = extra[int(places[i]) - known]
-                ids.append(b"".join(parts.tolist()))
-                of_ids = piece.take(pa.array(np.frombuffer(ids[-1], "<u4")))
-                texts.append(b"".join(of_ids.to_pylist()).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string()), *batch.columns[3:]], ["id", "ids", "decoded", *batch.schema.names[3:]]
-            )
-
-    # both uses below read this one exchange; the packed column is opaque, so no branch prunes it into another
-    whole = rows.mapInArrow(skeleton, f"a string, h long, packed binary, id {kind}{kinds}").repartition("a", "h")
-    asked = whole.mapInArrow(ask, "a string, h long, k int, word string")
-    answers = asked.join(others, "word").groupBy("a", "h").agg(F.collect_list(F.struct("k", "ids")).alias("rest"))
-    both = whole.join(answers, ["a", "h"], "left").select("id", "packed", "rest", *[f"c{i}" for i in range(len(carry))])
-    out = both.mapInArrow(assemble, f"id {kind}, ids binary, decoded string{kinds}")
+            for value in batch.column(1):
+                joined = b"".join(map(look, _words(vocabulary, split, value.as_py() or "")))
+                ids.append(joined)
+                texts.append(_joined(piece.take(pa.array(np.frombuffer(joined, "<u4")))).decode("utf-8", "replace"))
+            columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded", *batch.schema.names[2:]])
+
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *kept).mapInArrow(run, f"id {kind}, ids binary, decoded string{kinds}")
     return out.select(F.col("id").alias(id_col), "ids", "decoded", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+
+
+class WordIds(dict):
+    """Ids of words by position in a text; a word without an entry is encoded in place."""
+
+    def __init__(self, vocabulary: Vocabulary, entries):
+        super().__init__(entries)
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> bytes:
+        return self.vocabulary.word_ids(word)
+
+
+def _joined(column: pa.Array) -> bytes:
+    """All values of a binary column as one: its data buffer."""
+    _, offsets, data = column.buffers()
+    if data is None or not len(column):
+        return b""
+    ends = np.frombuffer(offsets, np.int64)
+    return data[int(ends[column.offset]) : int(ends[column.offset + len(column)])].to_pybytes()
