@@ -82,9 +82,10 @@ def leverage(df: DataFrame) -> DataFrame:
 def exposures(
     bars: DataFrame, beta_lookback: int = 252, beta_min_obs: int = 120, group_rows: int | None = None,
     industry: str | None = None, industries: Sequence[str] = (), benchmark: str | None = None,
-    market: DataFrame | None = None,
+    market: DataFrame | None = None, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Eight normalised style exposures and 0/1 industry columns without the benchmark industry.
+    """Eight normalised style exposures and 0/1 industry columns without the benchmark industry; ``keep`` names further
+    columns that stay with their row.
 
     Expects bars with point-in-time bps, eps, roe, revenue_yoy, gross_margin_change,
     debt_to_assets and, for industries, the label column.
@@ -109,7 +110,7 @@ def exposures(
     df = winsorize(df, styles, min_count=3, group_rows=group_rows)
     df = zscore(df, styles, group_rows=group_rows)
     dummies = {f"L1_{i}": (F.col(industry) == i).cast("double") for i in industries if i != benchmark} if industry else {}
-    return df.withColumns(dummies).select(DATE, "ts_code", *styles, *[f"`{d}`" for d in dummies])
+    return df.withColumns(dummies).select(DATE, "ts_code", *styles, *[f"`{d}`" for d in dummies], *keep)
 
 
 def split_factors(names: Sequence[str]) -> tuple[list[str], list[str]]:

@@ -61,9 +61,9 @@ PANEL = f"""SELECT b.*, r.bps, r.eps, r.roe, r.or_yoy AS revenue_yoy, r.gross_ma
   FROM bars b ASOF LEFT JOIN ({_Q}) r ON b.ts_code = r.ts_code AND b.trade_date >= r.ann_date"""
 
 
-def panel(m):
+def panel(m, bars=None):
     r = FU.quarterly_changes(m.reports()).withColumnRenamed("or_yoy", "revenue_yoy")
-    return FU.to_daily(m.bars(), r, ["bps", "eps", "roe", "revenue_yoy", "gross_margin_change", "debt_to_assets"])
+    return FU.to_daily(m.bars() if bars is None else bars, r, ["bps", "eps", "roe", "revenue_yoy", "gross_margin_change", "debt_to_assets"])
 
 
 _COMP = {
@@ -95,9 +95,9 @@ EXPO = norm_sql(_RAW.replace("{panel}", norm_sql(PANEL, _PARTS)), [f'"{s}"' for
 _DUM = ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
-def exposures(m):
+def exposures(m, bars=None, keep=()):
     return R.exposures(
-        with_industry(m, panel(m)), 60, 20, m.names, "l1_name", ["AFRICA", *_DUM], "AFRICA", market=m.bars()
+        with_industry(m, panel(m, bars)), 60, 20, m.names, "l1_name", ["AFRICA", *_DUM], "AFRICA", market=m.bars(), keep=keep
     )
 
 
@@ -178,9 +178,9 @@ def _(m):
 
 
 def model_panel(m):
-    """Exposures with the same bar's return and regression weight."""
-    b = R.regression_weights(m.bars()).select(*KEYS, (F.col("pct_chg") / 100.0).alias("ret"), "weight")
-    return exposures(m).join(b, KEYS)
+    """Exposures with the same bar's return and regression weight, which stay with their row all the way."""
+    df = exposures(m, R.regression_weights(m.bars()), ["pct_chg", "weight"])
+    return df.withColumn("ret", F.col("pct_chg") / 100.0).drop("pct_chg")
 
 
 _FACTORS = [*R.STYLES, *[f"L1_{d}" for d in _DUM]]
