@@ -168,29 +168,36 @@ def _(m):
     return M.window_errors(p, "label", m.names)
 
 
-def _two_windows():
-    return M.walk_forward_windows("1995-01-01", "1999-01-01", "2000-12-31", 4, 1)
-
-
 _MODEL = dict(maxDepth=3, maxIter=5, stepSize=0.1, seed=42, maxBins=32)
 _MF = ["ret_5", "volatility_5", "net_mf_amount", "score_5d"]
 
 
 def filled(m):
-    """The matrix is read many times by each fit, so it is written once."""
-    df = M.training_matrix_filled(m.bars().select(*KEYS), {**sources(m), "reports": None}, labels(m), _MF, "label_1d")
-    return materialize(df, "matrix")
+    """The matrix is read many times by each fit, so it is written once. Features keep their gaps: the models fill them."""
+    src = {k: v for k, v in sources(m).items() if k != "reports"}
+    return materialize(M.training_matrix(m.bars().select(*KEYS), src, labels(m), _MF, "label_1d"), "matrix")
+
+
+def predictions(m):
+    w, x = M.walk_forward_windows(*_WARGS), filled(m)
+    return M.walk_forward_predictions(x, w, M.fit_window_models(x, w, _MF, "label_1d", **_MODEL), "label_1d")
 
 
 @query("walk_forward_predictions", "M7 M8")
 def _(m):
-    w, x = _two_windows(), filled(m)
-    models = M.fit_window_models(x, w, _MF, "label_1d", **_MODEL)
-    return M.walk_forward_predictions(x, w, models, "label_1d")
+    return predictions(m)
+
+
+@query(
+    "walk_forward_rows", "M7 M8 M4", needs="bars",
+    sql=f"""SELECT l.trade_date, l.ts_code, w."window", 1 AS scored FROM ({_LAB}) l JOIN ({windows_sql(False)}) w ON l.trade_date BETWEEN test_start AND test_end WHERE label_1d IS NOT NULL""",
+)
+def _(m):
+    return predictions(m).select(*KEYS, "window", F.col("score").isNotNull().cast("int").alias("scored"))
 
 
 @query("batch_inference", "M10 M7")
 def _(m):
-    w, x = _two_windows()[:1], filled(m)
+    w, x = M.walk_forward_windows(*_WARGS)[-1:], filled(m)
     models = M.fit_window_models(x, w, _MF, "label_1d", **_MODEL)
-    return M.predict_range(models[0], x, 20010101, 20011231)
+    return M.predict_range(models[w[0]["window"]], x, 20010101, 20011231)

@@ -141,3 +141,16 @@ def test_a_series_that_repeats_a_date_is_refused(spark):
     assert rows_of(joins.join_calendar(df, good)) == [(1, "a", 0.5, "x"), (2, "b", None, None)]
     with pytest.raises(Exception, match="repeats a trade_date"):
         joins.join_calendar(df, good.union(good)).collect()
+
+
+def test_window_models_learn_and_use_their_split(spark):
+    rows = [(20200101 + i % 28, f"s{i}", float(i % 10), float((i * 7) % 11), 2.0 * (i % 10) + (i % 3)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "trade_date int, ts_code string, f double, g double, label double")
+    window = {"window": 3, "train_start": 20200101, "train_end": 20200114, "valid_start": 20200115, "valid_end": 20200121}
+    model = matrix.fit_window_models(df, [window], ["f", "g"], "label", maxDepth=3, maxIter=8, seed=1)[3]
+    out = matrix.predict_range(model, df, 20200122, 20200128, "label")
+    assert out.stat.corr("score", "label") > 0.9
+    # a validation range without the signal stops the trees early
+    odd = df.withColumn("label", F.when(F.col("trade_date") >= 20200115, -F.col("label")).otherwise(F.col("label")))
+    early = matrix.fit_window_models(odd, [window], ["f", "g"], "label", maxDepth=3, maxIter=8, seed=1)[3]
+    assert early.trees.getNumTrees < model.trees.getNumTrees
