@@ -118,6 +118,24 @@ def group_return_summary(groups_df: DataFrame, groups: int = 5, keys: Sequence[s
     )
 
 
+def return_column_risk(daily: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Per return column: additive risk figures, mean and sum. All columns share one long table."""
+    keys = [*keys, "series"]
+    long = daily.unpivot([*keys[:-1], DATE], [f"`{c}`" for c in columns], "series", "_r")
+    sums = long.groupBy(*keys).agg(F.avg("_r").alias("mean_return"), F.sum("_r").alias("cumulative_return"))
+    return additive_risk(long, "_r", keys).join(sums, keys)
+
+
+def turnover_summary(daily: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Per bucket: mean, deviation, latest value, and the number of dates."""
+    keys = [*keys, "bucket"]
+    long = daily.unpivot([*keys[:-1], DATE], ["top", "bottom"], "bucket", "_t")
+    return long.groupBy(*keys).agg(
+        F.avg("_t").alias("mean_turnover"), F.when(F.count("_t") > 1, F.stddev_samp("_t")).alias("std_turnover"),
+        F.max_by("_t", DATE).alias("latest_turnover"), F.count("*").alias("count"),
+    )
+
+
 def long_short(
     df: DataFrame, topk: int, score: str = "score", label: str = "label", keys: Sequence[str] = (DATE,),
     group_rows: int | None = None, limit: int | None = None,

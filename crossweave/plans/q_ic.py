@@ -224,3 +224,37 @@ def _(m):
                (SELECT *, sum(ic) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS c FROM ({_IC}) WHERE ic IS NOT NULL))""")
 def _(m):
     return I.ic_risk(I.daily_ic(scored(m), min_rows=5, group_rows=m.names))
+
+
+def column_risk_sql(table: str, columns: list[str]) -> str:
+    long = " UNION ALL ".join(f"""SELECT '{c}' AS series, trade_date, "{c}" AS r FROM t""" for c in columns)
+    return f"""WITH t AS MATERIALIZED ({table}), l AS MATERIALIZED ({long}), k AS (SELECT *, sum(r) OVER w AS c FROM l WHERE r IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY trade_date ROWS UNBOUNDED PRECEDING)),
+      d AS (SELECT *, c - max(c) OVER (PARTITION BY series ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS dd FROM k)
+      SELECT series, avg(r) AS mean, stddev_samp(r) AS std, min(dd) AS max_drawdown, avg(r) * 238 AS annualized_return,
+        avg(r) / nullif(stddev_samp(r), 0) * sqrt(238) AS information_ratio, avg(r) AS mean_return, sum(r) AS cumulative_return FROM d GROUP BY series"""
+
+
+_RISK_COLS = "mean std max_drawdown annualized_return information_ratio mean_return cumulative_return"
+
+
+@query("group_spread_risk", "I4 A22", needs="bars scores", doubles=_RISK_COLS, digits=5,
+       sql=column_risk_sql(f"SELECT trade_date, long_short, long_average FROM ({groups_sql(_PL)})", ["long_short", "long_average"]))
+def _(m):
+    return I.return_column_risk(I.group_returns(scored(m), group_rows=m.names), ["long_short", "long_average"])
+
+
+_LEGS = ["long", "short", "long_short", "market_average"]
+
+
+@query("long_short_risk", "I5 A22", needs="bars scores", doubles=_RISK_COLS, digits=5, sql=column_risk_sql(f"SELECT * FROM ({ls_sql(_PL, 20)})", _LEGS))
+def _(m):
+    return I.return_column_risk(I.long_short(scored(m), 20, group_rows=m.names), _LEGS)
+
+
+@query(
+    "turnover_summary", "I6", needs="bars scores", doubles="mean_turnover std_turnover latest_turnover",
+    sql=f"""WITH t AS MATERIALIZED ({turnover_sql(_PL)}) SELECT bucket, avg(v) AS mean_turnover, stddev_samp(v) AS std_turnover, max_by(v, trade_date) AS latest_turnover, count(*) AS count
+      FROM (SELECT 'top' AS bucket, trade_date, top AS v FROM t UNION ALL SELECT 'bottom', trade_date, bottom FROM t) GROUP BY bucket""",
+)
+def _(m):
+    return I.turnover_summary(I.bucket_turnover(scored(m), group_rows=m.names))
