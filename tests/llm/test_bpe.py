@@ -74,3 +74,18 @@ def test_encode_decode_equals_the_library(spark):
         got = sorted(((r.doc_id is None, r.doc_id or 0, bytes(r.raw), r.decoded, r.ids) for r in out.collect()))
         assert got == sorted((i is None, i or 0, *want(t), n) for i, t, n, _ in rows)
     assert encode_decode(docs.limit(0), path).count() == 0
+
+
+def test_split_dictionaries_hold_every_word(spark, tmp_path, monkeypatch):
+    """Read from files, both passes see the same splits: nothing is encoded in place."""
+    from crossweave.llm import bpe_table
+
+    texts = noise(300, 5)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "d"))
+
+    def refuse(self, word):
+        raise KeyError(word)
+
+    monkeypatch.setattr(bpe_table.WordIds, "__missing__", refuse)
+    out = encode_decode(spark.read.parquet(str(tmp_path / "d")), public_tokenizers.path("byte_bpe_50k.json"), frequent=20)
+    assert sorted(r.decoded for r in out.collect()) == sorted(texts)
