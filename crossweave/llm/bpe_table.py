@@ -21,6 +21,8 @@ FREQUENT_WORDS = 1 << 18
 FREQUENT_BYTES = 64
 #: words a task counts before it hands its counts on
 COUNTED_WORDS = 400_000
+#: documents whose ids and texts a task holds before it hands them on
+OUT_ROWS = 500
 
 
 def _words(vocabulary: Vocabulary, split: SpacedSplitter, text: str) -> list[str]:
@@ -145,7 +147,7 @@ def encode_decode(
                     own = pq.read_table(f, columns=["word", "ids"])
                 known.update(zip(own.column("word").to_pylist(), own.column("ids").to_pylist(), strict=True))
         look = known.__getitem__
-        for batch in batches:
+        for batch in (whole.slice(lo, OUT_ROWS) for whole in batches for lo in range(0, whole.num_rows, OUT_ROWS)):
             ids, texts = [], []
             for value in batch.column(1):
                 joined = b"".join(map(look, _words(vocabulary, split, value.as_py() or "")))
