@@ -20,7 +20,9 @@ SAMPLE = [
     "price_volume_factor_group", "macd_lines", "flow_dispersion", "point_in_time_join", "daily_fundamentals",
     "industry_neutral_factors", "label_ranks", "feature_validation", "top_k_portfolio_report",
     "proportional_industry_quotas", "trend_position", "rolling_factor_covariance", "portfolio_risk", "wide_table",
-    "factor_ic_summary",
+    "factor_ic_summary", "processed_moneyflow_factors", "fundamental_factor_table", "walk_forward_rows", "group_spread_risk",
+    "turnover_summary", "seeded_sample", "high_water_mark", "aligned_weights", "risk_attribution", "style_residual", "parameter_sweep",
+    "half_open_interval_join", "closed_interval_join", "kdj_oscillator", "flow_ema", "smoothed_scores", "pool_covariance",
 ]
 
 
