@@ -40,8 +40,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated line chunks go; so do documents of which nothing but white space is left. ``n_chars`` follows the text."""
-    out = line_dedup(docs, carry=("lang", "source", "n_chars"))
+    """Repeated line chunks and passages go; so do documents of which nothing but white space is left. ``n_chars`` follows the text."""
+    out = line_dedup(docs, carry=("lang", "source", "n_chars"), passages=True)
     changed = F.size("removed") > 0
     n_chars = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     out = out.where(~changed | F.col("text").rlike(r"\S"))

@@ -1,7 +1,8 @@
-"""Operator 7: removal of line chunks that repeat across documents, with content-defined boundaries."""
+"""Operator 7: removal of line chunks with content-defined boundaries, and of runs of lines, that repeat across documents."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -58,59 +59,178 @@ def chunks(raw: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def chunk_table(rows: DataFrame) -> DataFrame:
-    """(id, th, chunks) from (id, th, text): the heavy enough chunks with their place and 128-bit hash. The hash and later
-    comparisons leave the final line end out, so a chunk at the end of a text equals one inside a text."""
-    kind = pa.list_(pa.struct([("place", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("h", pa.binary())]))
+def runs(raw: bytes) -> list[tuple[int, int, int]]:
+    """(line, start, stop) of the shortest runs of lines with more than LONG_LINE_WORDS words that begin or end with a
+    given line, for every line that is not blank; in bytes. Together they cover every line of a repeated passage of so
+    many words; either kind alone leaves an end of it."""
+    lines = raw.split(b"\n")
+    words = [len(line.split()) for line in lines]
+    edge = [0]
+    for line in lines:
+        edge.append(min(edge[-1] + len(line) + 1, len(raw)))
+    found: set[tuple[int, int]] = set()
+    stop = held = 0
+    for i, n in enumerate(words):
+        while stop < len(lines) and held <= LONG_LINE_WORDS:
+            held += words[stop]
+            stop += 1
+        if held <= LONG_LINE_WORDS:
+            break
+        if n:
+            found.add((i, stop))
+        held -= n
+    start = held = 0
+    for j, n in enumerate(words):
+        held += n
+        while held - words[start] > LONG_LINE_WORDS:
+            held -= words[start]
+            start += 1
+        if n and held > LONG_LINE_WORDS:
+            while not words[start]:
+                start += 1
+            found.add((start, j + 1))
+    return sorted((i, edge[i], edge[j]) for i, j in found)
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def besides(spans: list[tuple[int, int]], more: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The disjoint ``spans``, and as further spans what ``more`` covers besides."""
+    spans, k = sorted(spans), 0
+    out = list(spans)
+    for a, b in united(more):
+        while k < len(spans) and spans[k][1] <= a:
+            k += 1
+        while k < len(spans) and spans[k][0] < b:
+            if a < spans[k][0]:
+                out.append((a, spans[k][0]))
+            a = spans[k][1]
+            k += a <= b
+            if a > b:
+                break
+        if a < b:
+            out.append((a, b))
+    return sorted(out)
+
+
+CHUNK, RUN = 0, 1
+
+
+def piece_table(rows: DataFrame, passages: bool) -> DataFrame:
+    """(id, th, pieces) from (id, th, text): the heavy enough chunks, and with ``passages`` the runs, with their place and
+    128-bit hash. The hash and later comparisons leave the final line end out, so a piece at the end of a text equals
+    one inside a text."""
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("place", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("h", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for value in batch.column(2):
-                raw, row = (value.as_py() or "").encode(), []
-                for place, (start, stop, weight) in enumerate(chunks(raw)):
-                    if weight >= LEAST_LINES:
-                        body = stop - (raw[stop - 1] == 10)
-                        row.append({"place": place, "start": start, "stop": stop, "h": xxhash.xxh3_128_digest(raw[start:body])})
-                found.append(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["id", "th", "chunks"])
+                raw = (value.as_py() or "").encode()
+                cut = [(CHUNK, place, a, b) for place, (a, b, weight) in enumerate(chunks(raw)) if weight >= LEAST_LINES]
+                cut += [(RUN, *r) for r in runs(raw)] if passages else []
+                found.append([{"kind": k, "place": p, "start": a, "stop": b, "h": xxhash.xxh3_128_digest(raw[a : b - (raw[b - 1] == 10)])} for k, p, a, b in cut])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["id", "th", "pieces"])
+
+    form = f"id {field_type(rows, 'id')}, th {field_type(rows, 'th')}, pieces array<struct<kind:int,place:int,start:int,stop:int,h:binary>>"
+    return rows.select("id", "th", "text").mapInArrow(run, form)
+
 
-    return rows.select("id", "th", "text").mapInArrow(run, f"id {field_type(rows, 'id')}, th long, chunks array<struct<place:int,start:int,stop:int,h:binary>>")
+def open_runs(later: DataFrame) -> DataFrame:
+    """(h) of the runs that reach beyond the chunks of their document that go anyhow, from later occurrences by
+    document."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = set()
+            for found in batch.column(0).to_pylist():
+                gone = united([(x["start"], x["stop"]) for x in found if x["kind"] == CHUNK])
+                starts = [a for a, _ in gone]
+                for x in found:
+                    k = bisect_right(starts, x["start"]) - 1
+                    if x["kind"] == RUN and (k < 0 or gone[k][1] < x["stop"]):
+                        out.add(x["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary())], ["h"])
+
+    return later.select("found").mapInArrow(run, "h binary").distinct()
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+
+def removed_spans(later: DataFrame) -> DataFrame:
+    """(id, th, removed) from later occurrences by document: the chunks, and what the runs cover besides."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for found in batch.column(2).to_pylist():
+                of = [[(x["start"], x["stop"]) for x in found if x["kind"] == k] for k in (CHUNK, RUN)]
+                out.append([{"start": a, "stop": b} for a, b in besides(*of)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["id", "th", "removed"])
+
+    form = f"id {field_type(later, 'id')}, th {field_type(later, 'th')}, removed array<struct<start:int,stop:int>>"
+    return later.select("id", "th", "found").mapInArrow(run, form)
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), passages: bool = False) -> DataFrame:
     """One row per document: id, carried columns, ``text`` without repeated chunks, ``removed`` (byte spans cut out).
 
     A chunk is removed if it holds several lines (or one long line) and its bytes occur before: in a document with a smaller id, or
-    earlier in the same one. The first occurrence stays. Hashes of all chunks are counted (a frequent chunk is one row per task);
-    texts of chunks with a repeated hash are compared per hash by their least and greatest value, which is aggregated
-    before the exchange too; only equal ones are cut. Documents travel twice, by id and text hash: once to read the
-    repeated chunks' bytes, once to be cut.
+    earlier in the same one. The first occurrence stays. With ``passages``, so is every repeated run of lines of more than
+    LONG_LINE_WORDS words, wherever chunks end: the shortest such runs from and up to every line are pieces
+    like chunks, overlapping pieces are cut as one, and ``removed`` has what they cover besides chunks as spans of its
+    own. A run that overlaps its first occurrence is cut from that one's end on.
+
+    Hashes of all pieces are counted (a frequent piece is one row per task); texts of pieces with a repeated hash are
+    compared per hash by their least and greatest value, which is aggregated before the exchange too; only equal
+    ones are cut. Runs inside chunks that go are not compared. Documents travel twice, by id and text hash: once to read the
+    repeated pieces' bytes, once to be cut.
 
     Null texts stay null, empty ones empty. Rows that repeat id and text are one document and are cut alike; null ids
     come after all others. Blank lines alone are never a chunk to remove. An empty table gives an empty table.
     """
     kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"), *kept)
-    found = shared_table(chunk_table(rows).where(F.size("chunks") > 0), "line-chunks")
-    each = found.select("id", "th", F.explode("chunks").alias("c")).select("id", "th", "c.*")
-    key = F.struct(F.col("id").isNull().alias("last"), "id", "th", "place")
-    repeated = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    members = shared_table(each.join(repeated, "h"), "repeated-chunks")
-    in_doc = members.groupBy("id", "th").agg(F.collect_list(F.struct("place", "start", "stop", "h")).alias("chunks"))
+    found = shared_table(piece_table(rows, passages).where(F.size("pieces") > 0), "line-pieces")
+    each = found.select("id", "th", F.explode("pieces").alias("c")).select("id", "th", "c.*")
+    repeated = each.groupBy("kind", "h").agg(F.count("*").alias("n")).where("n > 1").select("kind", "h")
+    members = shared_table(each.join(repeated, ["kind", "h"]), "repeated-pieces")
+    doc = [F.col("id").isNull().alias("last"), F.col("id"), F.col("th")]
+    key = F.struct(*doc, "place", "stop")
+    firsts = shared_table(members.groupBy("kind", "h").agg(F.min(key).alias("first")), "first-pieces")
+
+    def later(of: DataFrame) -> DataFrame:
+        """Occurrences after the first, by document; a run begins after the first occurrence of its own document."""
+        inside = F.struct(*doc).eqNullSafe(F.struct("first.last", "first.id", "first.th")) & (F.col("kind") == RUN)
+        start = F.when(inside, F.greatest("start", F.col("first.stop"))).otherwise(F.col("start")).alias("start")
+        after = members.join(of, ["kind", "h"]).where(~key.eqNullSafe(F.col("first")))
+        return after.groupBy("id", "th").agg(F.collect_set(F.struct("kind", start, "stop", "h")).alias("found"))
+
+    asked = members
+    if passages:
+        wanted = shared_table(open_runs(later(firsts)), "open-runs")
+        asked = members.where(F.col("kind") == CHUNK).unionByName(members.where(F.col("kind") == RUN).join(wanted, "h").select(members.columns))
+    in_doc = asked.groupBy("id", "th").agg(F.collect_set(F.struct("kind", "place", "start", "stop", "h")).alias("pieces"))
 
     def with_documents(table: DataFrame, how: str) -> DataFrame:
         a, b = rows.alias("a"), table.alias("b")
         return a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th")), how)
 
     raw = F.encode("text", "utf-8")
-    texts = with_documents(in_doc, "inner").select(F.col("a.id").alias("id"), F.col("a.th").alias("th"), raw.alias("raw"), F.explode("chunks").alias("c"))
+    texts = with_documents(in_doc, "inner").select(raw.alias("raw"), F.explode("pieces").alias("c"))
     body = F.expr("substring(raw, c.start + 1, c.stop - c.start)")
     body = F.when(F.expr("substring(raw, c.stop, 1) = X'0A'"), F.expr("substring(raw, c.start + 1, c.stop - c.start - 1)")).otherwise(body)
-    texts = texts.select("id", "th", "c.place", "c.h", body.alias("body"))
-    compared = texts.groupBy("h").agg(F.min("body").alias("least"), F.max("body").alias("most"), F.min(key).alias("first"))
-    equal = shared_table(compared.where("least = most").select("h", "first"), "equal-chunks")
-    cut = members.join(equal, "h").where(~key.eqNullSafe(F.col("first"))).groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("removed"))
+    compared = texts.select("c.kind", "c.h", body.alias("body")).groupBy("kind", "h").agg(F.min("body").alias("least"), F.max("body").alias("most"))
+    equal = shared_table(compared.where("least = most").select("kind", "h").join(firsts, ["kind", "h"]), "equal-pieces")
+    cut = removed_spans(later(equal))
 
     none = F.expr("cast(array() as array<struct<start:int,stop:int>>)")
     joined = with_documents(cut, "left").select("a.*", F.array_sort(F.coalesce("removed", none)).alias("removed"))

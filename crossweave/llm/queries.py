@@ -78,7 +78,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_line_chunk_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(table(spark, sf_dir, "documents"))
+    out = line_dedup(table(spark, sf_dir, "documents"), passages=True)
     cut = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + (x["stop"] - x["start"]))
     return out.select(
         "doc_id", F.size("removed").cast("long").alias("removed_chunks"), cut.alias("removed_bytes"),
