@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossweave.llm.bpe_table import encode_decode
-from crossweave.llm.common import shared_table, table
+from crossweave.llm.common import file_row, shared_table, table
 from crossweave.llm.decontaminate import decontaminate
 from crossweave.llm.line_dedup import line_dedup
 from crossweave.llm.simhash import near_duplicates
@@ -20,17 +20,17 @@ ORACLE_SQL = None
 
 
 def _key() -> Column:
-    """What tells documents apart: id (null ones last) and text. Rows that repeat both are one document."""
-    return F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
+    """What tells rows apart: id (null ones last), and the place in the written stage input, so that rows that repeat id
+    and text are told apart too."""
+    return F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), file_row().alias("row"))
 
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Documents whose key is not in ``keys`` (key). The keys are the few documents to drop: Spark broadcasts them if
     they measure small, else the documents travel once."""
-    drop = keys.select("key.id", "key.th").distinct().alias("drop")
-    here = docs.alias("docs")
-    same = F.col("docs.doc_id").eqNullSafe(F.col("drop.id")) & (F.xxhash64("docs.text") == F.col("drop.th"))
-    return here.join(drop, same, "left_anti")
+    drop = keys.select(F.col("key.row").alias("drop"))
+    here = docs.select(file_row().alias("row"), *docs.columns)
+    return here.join(drop, F.col("row") == F.col("drop"), "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,17 +39,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_below(docs, model, TOXIC)
 
 
+def repeats(docs: DataFrame) -> DataFrame:
+    """(drop) of the rows that repeat id and text of an earlier one. Counted before the exchange; the groups of several
+    rows are few and meet the rows without their text."""
+    rows = docs.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("digest"), file_row().alias("drop"))
+    several = rows.groupBy("id", "digest").agg(F.count("*").alias("n"), F.min("drop").alias("first")).where("n > 1 and digest is not null").alias("b")
+    same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.digest") == F.col("b.digest"))
+    return rows.alias("a").join(several, same).where("drop <> first").select("drop")
+
+
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated line chunks and passages go; so do documents of which nothing but white space is left. ``n_chars`` follows the text."""
-    out = line_dedup(docs, carry=("lang", "source", "n_chars"), passages=True)
+    """Repeated line chunks and passages go; so do rows that repeat id and text, of which short ones would leave a rest,
+    and documents of which nothing but white space is left. ``n_chars`` follows the text."""
+    rows = docs.select("*", file_row().alias("row"))
+    out = line_dedup(rows, carry=("lang", "source", "n_chars", "row"), passages=True, row=F.col("row"))
     changed = F.size("removed") > 0
     n_chars = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    out = out.where(~changed | F.col("text").rlike(r"\S"))
+    out = out.where(~changed | F.col("text").rlike(r"\S")).join(repeats(docs), F.col("row") == F.col("drop"), "left_anti")
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays, of rows that repeat an id one."""
     groups = near_duplicates(docs.select(_key().alias("key"), "text"), id_col="key")
     return _without(docs, groups.where("key <> component_id"))
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import field_type, shared_table
@@ -126,7 +126,7 @@ CHUNK, RUN = 0, 1
 
 
 def piece_table(rows: DataFrame, passages: bool) -> DataFrame:
-    """(id, th, pieces) from (id, th, text): the heavy enough chunks, and with ``passages`` the runs, with their place and
+    """(id, row, pieces) from (id, row, text): the heavy enough chunks, and with ``passages`` the runs, with their place and
     128-bit hash. The hash and later comparisons leave the final line end out, so a piece at the end of a text equals
     one inside a text."""
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("place", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("h", pa.binary())]))
@@ -139,10 +139,10 @@ def piece_table(rows: DataFrame, passages: bool) -> DataFrame:
                 cut = [(CHUNK, place, a, b) for place, (a, b, weight) in enumerate(chunks(raw)) if weight >= LEAST_LINES]
                 cut += [(RUN, *r) for r in runs(raw)] if passages else []
                 found.append([{"kind": k, "place": p, "start": a, "stop": b, "h": xxhash.xxh3_128_digest(raw[a : b - (raw[b - 1] == 10)])} for k, p, a, b in cut])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["id", "th", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["id", "row", "pieces"])
 
-    form = f"id {field_type(rows, 'id')}, th {field_type(rows, 'th')}, pieces array<struct<kind:int,place:int,start:int,stop:int,h:binary>>"
-    return rows.select("id", "th", "text").mapInArrow(run, form)
+    form = f"id {field_type(rows, 'id')}, row {field_type(rows, 'row')}, pieces array<struct<kind:int,place:int,start:int,stop:int,h:binary>>"
+    return rows.select("id", "row", "text").mapInArrow(run, form)
 
 
 def open_runs(later: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def open_runs(later: DataFrame) -> DataFrame:
 
 
 def removed_spans(later: DataFrame) -> DataFrame:
-    """(id, th, removed) from later occurrences by document: the chunks, and what the runs cover besides."""
+    """(id, row, removed) from later occurrences by document: the chunks, and what the runs cover besides."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,13 +174,13 @@ def removed_spans(later: DataFrame) -> DataFrame:
             for found in batch.column(2).to_pylist():
                 of = [[(x["start"], x["stop"]) for x in found if x["kind"] == k] for k in (CHUNK, RUN)]
                 out.append([{"start": a, "stop": b} for a, b in besides(*of)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["id", "th", "removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["id", "row", "removed"])
 
-    form = f"id {field_type(later, 'id')}, th {field_type(later, 'th')}, removed array<struct<start:int,stop:int>>"
-    return later.select("id", "th", "found").mapInArrow(run, form)
+    form = f"id {field_type(later, 'id')}, row {field_type(later, 'row')}, removed array<struct<start:int,stop:int>>"
+    return later.select("id", "row", "found").mapInArrow(run, form)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), passages: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), passages: bool = False, row: Column | None = None) -> DataFrame:
     """One row per document: id, carried columns, ``text`` without repeated chunks, ``removed`` (byte spans cut out).
 
     A chunk is removed if it holds several lines (or one long line) and its bytes occur before: in a document with a smaller id, or
@@ -191,38 +191,39 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Hashes of all pieces are counted (a frequent piece is one row per task); texts of pieces with a repeated hash are
     compared per hash by their least and greatest value, which is aggregated before the exchange too; only equal
-    ones are cut. Runs inside chunks that go are not compared. Documents travel twice, by id and text hash: once to read the
+    ones are cut. Runs inside chunks that go are not compared. Documents travel twice, by id and row: once to read the
     repeated pieces' bytes, once to be cut.
 
-    Null texts stay null, empty ones empty. Rows that repeat id and text are one document and are cut alike; null ids
-    come after all others. Blank lines alone are never a chunk to remove. An empty table gives an empty table.
+    Null texts stay null, empty ones empty. ``row`` tells rows of one id apart, the least one first; it must be the same whenever
+    ``docs`` is read (``common.file_row``). Without it rows that repeat id and text are one document and are cut alike.
+    Null ids come after all others. Blank lines alone are never a chunk to remove. An empty table gives an empty table.
     """
     kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"), *kept)
+    rows = docs.select(F.col(id_col).alias("id"), (F.xxhash64(F.col(text_col)) if row is None else row).alias("row"), F.col(text_col).alias("text"), *kept)
     found = shared_table(piece_table(rows, passages).where(F.size("pieces") > 0), "line-pieces")
-    each = found.select("id", "th", F.explode("pieces").alias("c")).select("id", "th", "c.*")
+    each = found.select("id", "row", F.explode("pieces").alias("c")).select("id", "row", "c.*")
     repeated = each.groupBy("kind", "h").agg(F.count("*").alias("n")).where("n > 1").select("kind", "h")
     members = shared_table(each.join(repeated, ["kind", "h"]), "repeated-pieces")
-    doc = [F.col("id").isNull().alias("last"), F.col("id"), F.col("th")]
+    doc = [F.col("id").isNull().alias("last"), F.col("id"), F.col("row")]
     key = F.struct(*doc, "place", "stop")
     firsts = shared_table(members.groupBy("kind", "h").agg(F.min(key).alias("first")), "first-pieces")
 
     def later(of: DataFrame) -> DataFrame:
         """Occurrences after the first, by document; a run begins after the first occurrence of its own document."""
-        inside = F.struct(*doc).eqNullSafe(F.struct("first.last", "first.id", "first.th")) & (F.col("kind") == RUN)
+        inside = F.struct(*doc).eqNullSafe(F.struct("first.last", "first.id", "first.row")) & (F.col("kind") == RUN)
         start = F.when(inside, F.greatest("start", F.col("first.stop"))).otherwise(F.col("start")).alias("start")
         after = members.join(of, ["kind", "h"]).where(~key.eqNullSafe(F.col("first")))
-        return after.groupBy("id", "th").agg(F.collect_set(F.struct("kind", start, "stop", "h")).alias("found"))
+        return after.groupBy("id", "row").agg(F.collect_set(F.struct("kind", start, "stop", "h")).alias("found"))
 
     asked = members
     if passages:
         wanted = shared_table(open_runs(later(firsts)), "open-runs")
         asked = members.where(F.col("kind") == CHUNK).unionByName(members.where(F.col("kind") == RUN).join(wanted, "h").select(members.columns))
-    in_doc = asked.groupBy("id", "th").agg(F.collect_set(F.struct("kind", "place", "start", "stop", "h")).alias("pieces"))
+    in_doc = asked.groupBy("id", "row").agg(F.collect_set(F.struct("kind", "place", "start", "stop", "h")).alias("pieces"))
 
     def with_documents(table: DataFrame, how: str) -> DataFrame:
         a, b = rows.alias("a"), table.alias("b")
-        return a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th")), how)
+        return a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.row") == F.col("b.row")), how)
 
     raw = F.encode("text", "utf-8")
     texts = with_documents(in_doc, "inner").select(raw.alias("raw"), F.explode("pieces").alias("c"))

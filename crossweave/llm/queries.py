@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .bpe_table import encode_decode
-from .common import shared_table, table
+from .common import file_row, shared_table, table
 from .decontaminate import decontaminate
 from .labels import held_out
 from .line_dedup import line_dedup
@@ -78,7 +78,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_line_chunk_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(table(spark, sf_dir, "documents"), passages=True)
+    out = line_dedup(table(spark, sf_dir, "documents"), passages=True, row=file_row())
     cut = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + (x["stop"] - x["start"]))
     return out.select(
         "doc_id", F.size("removed").cast("long").alias("removed_chunks"), cut.alias("removed_bytes"),
