@@ -19,16 +19,22 @@ def learned_labels(labels: DataFrame, label_col: str, modulus: int, remainder: i
 
 
 def fit_sigmoid(t: np.ndarray, positive: np.ndarray, negative: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through counts at points ``t`` (ridge-stabilised Newton steps)."""
+    """Slope and offset of a logistic curve through counts at points ``t`` (ridge-stabilised, damped Newton steps)."""
     n = positive + negative
     if positive.sum() == 0 or negative.sum() == 0:
         return 1.0, 0.0
     x = np.stack([t, np.ones_like(t)])
     w = np.array([0.0, np.log(positive.sum() / negative.sum())])
+    loss = lambda w: float(positive @ np.logaddexp(0, -(w @ x)) + negative @ np.logaddexp(0, w @ x) + 0.5e-3 * w[0] * w[0])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
         step = np.linalg.solve((x * (n * p * (1 - p))) @ x.T + np.diag([1e-3, 1e-6]), x @ (positive - n * p) - np.array([1e-3, 0]) * w)
-        w = w + np.clip(step, -2, 2)
+        step = np.clip(step, -2, 2)
+        for _ in range(30):  # a full step may overshoot where few rows separate the classes
+            if loss(w + step) <= loss(w):
+                w = w + step
+                break
+            step = step / 2
     return max(float(w[0]), 1e-6), float(w[1])  # never turns the order of the scores
 
 

@@ -20,8 +20,8 @@ MINED_ROWS, VOTERS = 20_000, 256
 #: candidates for voters that reach the driver, the strongest first
 CANDIDATES = 4096
 PREFIXES = range(4, 10)
-#: a candidate needs so much evidence (twice the log-likelihood ratio) and precision (lower bound)
-LEAST_EVIDENCE, LEAST_PRECISION = 30.0, 0.15
+#: a candidate needs so many toxic rows and such a precision (lower bound); of those taken at most such a share is chance
+LEAST_HITS, LEAST_PRECISION, CHANCE = 3, 0.15, 0.2
 #: pattern voters over all lexicon hits of a text: so many of them, or such a share of its words
 HITS, SHARES = (2, 3, 5), (0.005, 0.01, 0.015)
 PATTERNS = len(HITS) + len(SHARES)
@@ -48,7 +48,8 @@ def mine(texts: DataFrame, toxic: int, other: int) -> list[tuple[str, float]]:
     """(mark, evidence) of the marks that speak most for toxic rows, strongest first.
 
     ``texts`` holds (text, y) of the bounded labelled sample, with ``toxic`` and ``other`` rows. Tasks count marks of
-    their rows before the exchange. Evidence is twice the log-likelihood ratio against the base rate."""
+    their rows before the exchange. Evidence is twice the log-likelihood ratio against the base rate. How much is
+    asked for follows from the sample, see ``beyond_chance``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -67,8 +68,17 @@ def mine(texts: DataFrame, toxic: int, other: int) -> list[tuple[str, float]]:
     wilson = (share + z * z / (2 * total) - z * F.sqrt(share * (1 - share) / total + z * z / (4 * total * total))) / (1 + z * z / total)
     part = lambda k, rate: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / total / rate)).otherwise(0.0)
     evidence = 2 * (part("p", base) + part("n", 1 - base))
-    best = counted.where("p > 0").withColumn("evidence", evidence).where((F.col("evidence") >= LEAST_EVIDENCE) & (wilson >= LEAST_PRECISION) & (share > base))
-    return [(r["mark"], r["evidence"]) for r in best.orderBy(F.desc("evidence"), "mark").limit(CANDIDATES).collect()]
+    tested = shared_table(counted.where(total >= LEAST_HITS), "marks")
+    best = tested.where(F.col("p") >= LEAST_HITS).withColumn("evidence", evidence).where((wilson >= LEAST_PRECISION) & (share > base))
+    strongest = [(r["mark"], r["evidence"]) for r in best.orderBy(F.desc("evidence"), "mark").limit(CANDIDATES).collect()]
+    return strongest[: beyond_chance([e for _, e in strongest], tested.count())]
+
+
+def beyond_chance(evidence: list[float], tested: int) -> int:
+    """How many of the strongest candidates to take so that chance explains at most the share CHANCE of them, among so
+    many marks tested (Benjamini and Hochberg). Half the evidence bounds the logarithm of a chance result as strong
+    (Chernoff), for few rows as for many."""
+    return max((k for k, e in enumerate(evidence, 1) if tested * np.exp(-e / 2) <= CHANCE * k), default=0)
 
 
 def choose(candidates: list[tuple[str, float]], most: int = VOTERS) -> list[str]:
