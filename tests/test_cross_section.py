@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import fetch, to_spark
+from tests.frames import fetch, to_spark
 
 from crossweave.operators import cross_section as X
 from crossweave.operators import ic as I

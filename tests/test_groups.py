@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import fetch, to_spark
+from tests.frames import fetch, to_spark
 from pyspark.sql import functions as F
 
 from crossweave.functions import groups as G

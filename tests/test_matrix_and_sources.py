@@ -1,7 +1,7 @@
 """Walk-forward windows, training matrix, dataset upkeep."""
 
 import pytest
-from conftest import fetch
+from tests.frames import fetch
 from pyspark.sql import functions as F
 
 from crossweave.operators import clean as C

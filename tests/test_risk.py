@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import fetch, series_frame, to_spark
+from tests.frames import fetch, series_frame, to_spark
 
 from crossweave.operators import risk as R
 

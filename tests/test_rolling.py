@@ -1,7 +1,7 @@
 """Window rules against pandas."""
 
 import numpy as np
-from conftest import fetch, series_frame, to_spark
+from tests.frames import fetch, series_frame, to_spark
 from pyspark.sql import functions as F
 
 from crossweave.functions.columns import clip, flag, row_mean, safe_div, to_numeric, yyyymmdd
