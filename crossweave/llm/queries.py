@@ -10,9 +10,12 @@ from . import oracles
 from .bpe_table import encode_decode
 from .common import file_row, shared_table, table
 from .decontaminate import decontaminate
+from .divergence import source_divergence
+from .fill_middle import fill_in_middle, restored
 from .labels import held_out
 from .line_dedup import line_dedup
 from .media import sniff_media, store_texts
+from .ngram_join import jaccard_groups
 from .preferences import format_preferences, swapped_answers
 from .quality import score_quality
 from .registry import query
@@ -101,3 +104,21 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("conv_id", "pair_id").select(
         "pair_id", "status", "prefix_turns", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask")
     )
+
+
+@query("op11_jaccard_join", sql=oracles.JACCARD)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"), row=file_row())
+
+
+@query("op12_source_divergence", sql=oracles.DIVERGENCE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"), row=file_row())
+
+
+@query("op13_fill_in_middle", sql=oracles.FILL_IN_MIDDLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda c: F.sha2(F.encode(c, "utf-8"), 256)
+    return fill_in_middle(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored()).alias("restored_sha256")
+    )
