@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import field_type, file_row, shared_table
 from .components import connected_components
-from .decontaminate import WordScan, _buffers, _mixed, _slices, shingles
+from .decontaminate import WordScan, _buffers, _mixed, _passes, _slices, shingle_filter, shingles
 from .simhash import unite
 
 SHINGLE, PERCENT = 3, 90
@@ -60,7 +60,8 @@ class Bands:
     """Size bands of the join and how many shingles two linked sets may differ in.
 
     Sets of sizes a <= b with intersection / union of at least ``percent`` differ in at most a * (100 - percent) / percent
-    shingles, and b is at most a * 100 / percent: in the same band or the next one.
+    shingles, and b is at most a * 100 / percent. A band is two such steps wide, so b is in the band of a or, if a reaches
+    so far, in the next one.
     """
 
     percent: int
@@ -76,7 +77,7 @@ class Bands:
     def edges(self, most: int) -> np.ndarray:
         out = [self.first]
         while len(out) < 3 or out[-3] <= most:
-            out.append(max(out[-1] + 1, -(-out[-1] * 100 // self.percent)))
+            out.append(max(out[-1] + 1, -(-out[-1] * 10_000 // self.percent**2)))
         return np.array(out)
 
 
@@ -84,8 +85,8 @@ def set_keys(n: np.ndarray, codes: np.ndarray, bands: Bands) -> tuple[np.ndarray
     """(owner, key): any two linked, different sets share a key.
 
     Small sets differ in one shingle: the keys are the set and the set without each one. Others are cut by shingle code into
-    segments, two more than the shingles they may differ in, for their own band and the next: two segments at
-    least are equal then. A key is a segment's sum of mixed codes. One empty segment may be left out; a set with more emits them
+    segments, two more than the shingles they may differ in, for their own band and, where a partner may be there, the next: two
+    segments at least are equal then. A key is a segment's sum of mixed codes. One empty segment may be left out; a set with more emits them
     too.
     """
     owner = np.repeat(np.arange(len(n)), n)
@@ -102,10 +103,10 @@ def set_keys(n: np.ndarray, codes: np.ndarray, bands: Bands) -> tuple[np.ndarray
     if large.any():
         edges = bands.edges(int(n.max()))
         band = np.searchsorted(edges, n, "right") - 1
-        inside = large[owner]
-        for step in (0, 1):
-            in_band = np.maximum(band + step, 0)
-            segments = np.where(large, bands.differ(edges[in_band + 1] - 1) + 2, 0)
+        reach = large & (n * 100 // bands.percent >= edges[np.maximum(band, 0) + 1])
+        for step, wanted in ((0, large), (1, reach)):
+            in_band, inside = np.maximum(band + step, 0), wanted[owner]
+            segments = np.where(wanted, bands.differ(edges[in_band + 1] - 1) + 2, 0)
             base = np.r_[0, np.cumsum(segments)]
             at = base[owner[inside]] + ((codes[inside] >> np.uint64(32)) % segments[owner[inside]].astype(np.uint64)).astype(np.int64)
             sums = np.zeros(base[-1], np.uint64)
@@ -142,6 +143,57 @@ def document_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("id", "row", "text").mapInArrow(run, f"id {field_type(docs, 'id')}, row {field_type(docs, 'row')}, n long, digest binary, keys array<long>")
 
 
+def key_edges(keys: DataFrame) -> DataFrame:
+    """(a, b): every name of a key beside the first one, from (key, name).
+
+    Rows are range-partitioned by both, so a frequent key is spread over tasks; a task reads its rows in order and holds
+    the current key alone. Where a key may go on in another task its first name there is handed on; those, two a
+    task at most, are joined by key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = first = None
+        ends: list[tuple[int, int]] = []
+
+        def rows(*columns):
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], ["a", "b", "key"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, name = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.r_[key[0] != current, key[1:] != key[:-1]]
+            run_of = np.cumsum(new)
+            leads = np.r_[0 if first is None else first, name[new]]
+            lead, later = leads[run_of], ~new
+            if current is None:
+                ends.append((int(key[0]), int(name[0])))
+            current, first = key[-1], lead[-1]
+            yield rows(name[later], lead[later], pa.nulls(int(later.sum()), pa.int64()))
+        if current is not None:
+            ends.append((int(current), int(first)))
+        yield rows([n for _, n in ends], pa.nulls(len(ends), pa.int64()), [k for k, _ in ends])
+
+    found = keys.repartitionByRange("key", "name").sortWithinPartitions("key", "name").mapInArrow(run, "a long, b long, key long")
+    found = shared_table(found, "key-edges")
+    ends = found.where("key is not null").select("key", "a")
+    least = ends.groupBy("key").agg(F.min("a").alias("b"))
+    return found.where("key is null").select("a", "b").union(ends.join(least, "key").where("a <> b").select("a", "b"))
+
+
+def rows_among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, text) of the ``rows`` that may be in ``wanted`` (row): all of those, and few others while a filter of bounded
+    size can tell them apart. Spares the exchange of most texts."""
+    shared = rows.sparkSession.sparkContext.broadcast(shingle_filter(wanted.select(F.xxhash64("row").alias("h")), wanted.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = _passes(shared.value, batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], ["row", "text"]).filter(pa.array(keep))
+
+    return rows.select(F.xxhash64("row").alias("h"), "row", "text").mapInArrow(run, f"row {field_type(rows, 'row')}, text string")
+
+
 # ---------------------------------------------------------------- tiles
 
 
@@ -365,7 +417,7 @@ def jaccard_groups(
 
     Two documents link if the intersection of their sets of word shingles is at least ``percent`` hundredths of the union. Equal
     sets are one row with its number of documents before any search. Keys that any two linked sets share (``set_keys``)
-    are counted without sets; sets that share one are drawn into one root, so every pair is met in one
+    meet without the sets; sets that share one are drawn into one root, so every pair is met in one
     place, and only their texts are cut into shingles again. Tiles then hold sets of one root by size; ``linked_pairs``
     bounds and verifies. Links add up to counts and star edges in the task; no pair is ever a row.
 
@@ -382,11 +434,7 @@ def jaccard_groups(
     )
     classes = shared_table(classes.withColumn("name", F.monotonically_increasing_id()), "set-classes")
 
-    keys = classes.select("name", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("k"), F.min("name").alias("least")).where("k > 1").select("key", "least")
-    shared = shared_table(shared, "shared-keys")
-    edges = keys.join(shared, "key").where("name <> least").select(F.col("name").alias("a"), F.col("least").alias("b")).distinct()
-    roots = connected_components(edges)
+    roots = connected_components(key_edges(classes.select(F.explode("keys").alias("key"), "name")))
     wanted = shared_table(classes.select("name", "row", "weight").join(roots.withColumnRenamed("node", "name"), "name"), "join-candidates")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +446,7 @@ def jaccard_groups(
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(codes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in batch.columns[:3]], pa.array(n, pa.int64()), lists], ["root", "name", "weight", "n", "codes"])
 
-    texts = rows.select("row", "text").join(wanted, "row").select("root", "name", "weight", "text")
+    texts = rows_among(rows, wanted).join(wanted, "row").select("root", "name", "weight", "text")
     sets = shared_table(texts.mapInArrow(cut, "root long, name long, weight long, n long, codes array<long>"), "candidate-sets")
     links = shared_table(tile_links(sets, percent, sizes).groupBy("name", "least").agg(F.sum("links").alias("links")), "links")
 
