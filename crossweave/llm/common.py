@@ -2,27 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.datasets import scratch_dir
+
+_used: ContextVar[list[str] | None] = ContextVar("used", default=None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only a local session without it gets a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="crossweave-llm-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir() or root
-    return f"{root.rstrip('/')}/crossweave/{name}-{uuid.uuid4().hex}"
+    """A new folder for derived files of this application, below the shared folder the session names."""
+    path = scratch_dir(spark, name)
+    path = path if "://" in path or path.startswith("file:") else "file://" + path
+    if (used := _used.get()) is not None:
+        used.append(path)
+    return path
+
+
+@contextmanager
+def folders_used() -> Iterator[list[str]]:
+    """Collects the folders that ``shared_dir`` gives out inside the block, for ``remove_folders``."""
+    token = _used.set([])
+    try:
+        yield _used.get()
+    finally:
+        _used.reset(token)
+
+
+def remove_folders(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete derived folders; call it when no result still reads them."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
