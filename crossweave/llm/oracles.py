@@ -40,7 +40,8 @@ PREFERENCES = """
 WITH last AS (
   SELECT conv_id, max(turn) AS final, max_by(coalesce(text, ''), (turn, coalesce(text, ''))) AS answer
   FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL AND conv_id IS NOT NULL GROUP BY conv_id),
-given AS (SELECT a.conv_id, a.final, b.answer AS given FROM last a JOIN last b ON b.conv_id = a.conv_id + 1),
+following AS (SELECT *, lead(answer) OVER (ORDER BY conv_id) AS given FROM last),
+given AS (SELECT conv_id, final, given FROM following WHERE given IS NOT NULL),
 sides AS (
   SELECT conv_id, 0 AS side, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
   UNION ALL SELECT conv_id, 1, turn, role, text FROM conversations JOIN given USING (conv_id) WHERE turn < final

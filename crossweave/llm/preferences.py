@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shared_table
+
 # ---- fixed values: chat template
 TURN_START, TURN_END = "<|im_start|>", "<|im_end|>"
 LEARNED_ROLE = "assistant"
@@ -76,12 +78,29 @@ def format_preferences(
     )
 
 
+def next_ids(ids: DataFrame, column: str) -> DataFrame:
+    """(``column``, next): every distinct value beside the next larger one that exists.
+
+    The values are range-partitioned and written with their partition: an ordered window inside each finds the next one, and
+    the last of a partition takes the first of the next partition that has rows, of which there are as many as partitions.
+    """
+    order = Window.partitionBy("part").orderBy(column)
+    spread = ids.select(column).distinct().repartitionByRange(column).withColumn("part", F.spark_partition_id())
+    spread = shared_table(spread, "ordered-ids")
+    firsts = spread.groupBy(F.col("part").alias("of")).agg(F.min(column).alias("first"))
+    firsts = firsts.select("of", F.lead("first").over(Window.orderBy("of")).alias("behind"))  # one row per partition
+    inside = spread.select("part", column, F.lead(column).over(order).alias("next"))
+    return inside.join(firsts, F.col("part") == F.col("of")).select(column, F.coalesce("next", "behind").alias("next"))
+
+
 def swapped_answers(conversations: DataFrame) -> DataFrame:
     """Rejected counterparts (conv_id, turn, role, text): the turns of a conversation before its last assistant turn, then the last
-    assistant turn of the conversation with the next id. Conversations without either have no counterpart."""
+    assistant turn of the conversation with the next id among those that have one, however far the ids are apart. The
+    last conversation and those without an assistant turn have no counterpart."""
     answers = conversations.where((F.col("role") == LEARNED_ROLE) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     last = answers.groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
-    donors = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("given"))
-    both = last.join(donors, "conv_id").select("conv_id", F.col("last.turn").alias("at"), "given")
+    last = shared_table(last, "last-answers")
+    donors = last.select(F.col("conv_id").alias("next"), F.col("last.text").alias("given"))
+    both = last.join(next_ids(last, "conv_id"), "conv_id").join(donors, "next").select("conv_id", F.col("last.turn").alias("at"), "given")
     before = conversations.join(both, "conv_id").where("turn < at").select("conv_id", "turn", "role", "text")
     return before.unionByName(both.select("conv_id", F.col("at").alias("turn"), F.lit(LEARNED_ROLE).alias("role"), F.col("given").alias("text")))

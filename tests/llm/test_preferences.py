@@ -49,7 +49,20 @@ def test_swapped_answers(spark):
     assert sorted(map(tuple, out)) == [(1, 0, "user", "q"), (1, 1, "assistant", "b1")]
 
 
+def test_swapped_answers_over_gaps(spark):
+    ids = [1, 4, 5, 9, 1000, 5_000_000_000]
+    rows = [(i, k, r, f"{r}{i}") for i in ids for k, r in enumerate(("user", "assistant"))] + [(7, 0, "user", "no answer")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5)
+    given = {r.conv_id: r.text for r in swapped_answers(turns).where("role = 'assistant'").collect()}
+    assert given == {a: f"assistant{b}" for a, b in zip(ids, ids[1:])}
+    pairs = {r.conv_id: r.status for r in format_preferences(turns, swapped_answers(turns), pair_col="conv_id").collect()}
+    assert pairs == {**dict.fromkeys(ids[:-1], "pair"), ids[-1]: "chosen_only", 7: "chosen_only"}
+    assert swapped_answers(turns.limit(0)).count() == 0
+
+
 def test_only_built_in_functions(spark):
     frame = spark.createDataFrame([(1, 0, "user", "x", "s")], SCHEMA)
+    turns = spark.createDataFrame([(k, 0, "assistant", "x") for k in range(3)], "conv_id long, turn int, role string, text string")
     plan = format_preferences(frame, frame)._jdf.queryExecution().executedPlan().toString()
+    plan += swapped_answers(turns)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
