@@ -15,10 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import field_type, shared_dir, shared_table
+from .common import field_type, file_row, shared_dir, shared_table
 
 #: compressed bytes after which an archive is closed, and bytes read from one at a time
 ARCHIVE_BYTES, READ_BYTES = 16 << 20, 1 << 16
+#: one archive a reading task up to so many tasks, beyond them up to so many archives a task
+MOST_READERS, ARCHIVES_A_TASK = 4096, 4
 #: merged captures per output batch
 OUT_ROWS = 10_000
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -193,7 +195,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return shared_table(archives.select("path").repartition("path").mapInArrow(run, _CAPTURE), "capture-runs")
+    number = archives.count()
+    tasks = max(1, min(number, MOST_READERS), -(-number // ARCHIVES_A_TASK))
+    # a stated number of partitions: the list itself is tiny, so measured sizes would put all archives into one task
+    return shared_table(archives.select("path").repartition(tasks).mapInArrow(run, _CAPTURE), "capture-runs")
 
 
 # ---------------------------------------------------------------- merge
@@ -268,26 +273,31 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     return shared_table(ranged.mapInArrow(run, schema), "captures")
 
 
-def archive_captures(pages: DataFrame, captured: Column, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
+def archive_captures(pages: DataFrame, captured: Column, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, row: Column | None = None) -> DataFrame:
     """Archive the pages and index their captures: one row per page record, in columns of ``merge_runs`` with the page id
     and ``refers_to`` in the type of the table.
 
     ``captured`` is the time of a capture (to the second). Of pages with equal payloads (SHA-1 and length) of at least ``least_bytes`` bytes the one
-    with the smallest id is a response, the others revisit it; the digests are aggregated before they are joined back, so a payload that a
-    third of all pages share is one row per task. Every column of the result is read back from the archives.
+    with the smallest id is a response, the others revisit it. Digests are counted before any exchange, and meet the pages
+    without their html; the revisits found come back by row, so no join is keyed by a payload that a third of all pages
+    share. Every column of the result is read back from the archives.
+
+    ``row`` tells the rows of ``pages`` apart and must be the same whenever it is read (``common.file_row``); without
+    it the columns used are written first.
 
     A null html is an empty payload; a null url has the key ``-``; pages with a null id are responses, as are rows
     that repeat the smallest id. An empty table gives an empty table. Other columns are not read.
     """
     kind = field_type(pages, id_col)
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8")
-    rows = pages.select(
-        F.col(id_col).alias("id"), F.col(id_col).cast("string").alias("page"), F.col(url_col).alias("url"),
-        F.date_format(F.coalesce(captured, F.timestamp_seconds(F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), payload.alias("payload"),
-    ).withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload")})
-    same = rows.where((F.col("bytes") >= least_bytes) & F.col("id").isNotNull()).groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    first = same.where("n > 1").select("digest", "bytes", "first")
-    refers = F.when(F.col("id") != F.col("first"), F.col("first").cast("string")).alias("refers_to")
-    marked = rows.join(first, ["digest", "bytes"], "left").select("page", "url", "date", "digest", refers, "payload")
+    date = F.date_format(F.coalesce(captured, F.timestamp_seconds(F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), date.alias("date"), payload.alias("payload"), *([] if row is None else [row.alias("row")]))
+    if row is None:
+        rows = shared_table(rows, "captured").select("*", file_row().alias("row"))
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    slim = rows.where(F.col("id").isNotNull()).select("row", "id", "digest", F.octet_length("payload").alias("bytes")).where(F.col("bytes") >= least_bytes)
+    first = slim.groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("digest", "bytes", "first")
+    revisits = slim.join(first, ["digest", "bytes"]).where("id <> first").select("row", F.col("first").cast("string").alias("refers_to"))
+    marked = rows.join(revisits, "row", "left").select(F.col("id").cast("string").alias("page"), "url", "date", "digest", "refers_to", "payload")
     captures = merge_runs(read_archives(write_archives(marked, shared_dir(pages.sparkSession, "warc"))))
     return captures.withColumns({"page": F.col("page").cast(kind), "refers_to": F.col("refers_to").cast(kind)}).withColumnRenamed("page", id_col)

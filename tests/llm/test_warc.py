@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crossweave.llm import warc
+from crossweave.llm.common import file_row
 from crossweave.llm.warc import LoserTree, archive_captures, header_text, header_value, members, parse, record, url_key
 
 
@@ -78,6 +79,20 @@ def test_pages(spark, monkeypatch, size):
     assert archive_captures(pages.limit(0), captured()).count() == 0
 
 
+def test_a_payload_of_a_third_of_the_pages(spark, tmp_path, monkeypatch):
+    """Many archives are read by as many tasks, and no join is keyed by the shared payload."""
+    shared = "<html>" + "same " * 2000
+    rows = [(i, f"http://h{i % 7}.org/{i}", shared if i % 3 == 0 else f"own {i}") for i in range(600)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages")).withColumn("file", F.lit("clash"))
+    seen = []
+    monkeypatch.setattr(warc, "read_archives", lambda archives, read=warc.read_archives: seen.append((archives.count(), read(archives))) or seen[0][1])
+    got = {r.page_id: r.refers_to for r in archive_captures(pages, captured(), row=file_row()).collect()}
+    assert got == {i: 0 if i % 3 == 0 and i else None for i in range(600)}
+    number, runs = seen[0]
+    assert number > 1 and len([f for f in runs.inputFiles()]) == number
+
+
 def test_small_payloads_stay_responses(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     got = {r.page_id: r.refers_to for r in archive_captures(pages, captured(), least_bytes=3).collect()}
