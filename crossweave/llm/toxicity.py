@@ -20,8 +20,12 @@ MINED_ROWS, VOTERS = 20_000, 256
 #: candidates for voters that reach the driver, the strongest first
 CANDIDATES = 4096
 PREFIXES = range(4, 10)
-#: a candidate needs so many toxic rows and such a precision (lower bound); of those taken at most such a share is chance
-LEAST_HITS, LEAST_PRECISION, CHANCE = 3, 0.15, 0.2
+#: words of one beginning that ``b*``, ``b**`` and ``b***`` ask for
+DOSES = (1, 2, 4)
+#: a candidate needs so many toxic rows (one more below the highest dose) and such a precision (lower bound); of those taken at most such a share is chance
+LEAST_HITS, LEAST_PRECISION, CHANCE = 2, 0.15, 0.25
+#: precision asked of the higher doses: their words are hits for the patterns, so one dose of common words would fire them too
+DOSE_PRECISION = 0.5
 #: pattern voters over all lexicon hits of a text: so many of them, or such a share of its words
 HITS, SHARES = (2, 3, 5), (0.005, 0.01, 0.015)
 PATTERNS = len(HITS) + len(SHARES)
@@ -33,7 +37,7 @@ GENERAL = ("one", "fired", "fired_share", "strength", "strongest", "words", "cap
 
 def marks(text: str) -> set[str]:
     """What voters look for: the words of a text, the beginnings of its longer words (``abcd*``), and beginnings that
-    at least two of its words share or that a word repeats (``abcd**``)."""
+    two or four of its words share, a repeated word counted as often as it stands there (``abcd**``, ``abcd***``)."""
     found = Counter(WORD.findall(text.lower()))
     begun: Counter = Counter()
     for w, n in found.items():
@@ -41,7 +45,7 @@ def marks(text: str) -> set[str]:
             if len(w) <= k:
                 break
             begun[w[:k]] += n
-    return found.keys() | {b + "*" for b in begun} | {b + "**" for b, n in begun.items() if n > 1}
+    return found.keys() | {b + "*" * k for b, n in begun.items() for k, least in enumerate(DOSES, 1) if n >= least}
 
 
 def mine(texts: DataFrame, toxic: int, other: int) -> list[tuple[str, float]]:
@@ -49,7 +53,9 @@ def mine(texts: DataFrame, toxic: int, other: int) -> list[tuple[str, float]]:
 
     ``texts`` holds (text, y) of the bounded labelled sample, with ``toxic`` and ``other`` rows. Tasks count marks of
     their rows before the exchange. Evidence is twice the log-likelihood ratio against the base rate. How much is
-    asked for follows from the sample, see ``beyond_chance``."""
+    asked for follows from the sample, see ``beyond_chance``: from the number of words and beginnings tested, and for the higher
+    doses from the number of marks of that dose that occur in about as many rows. Many words occur in two rows, but
+    few texts begin four words alike, so two toxic rows say much there and little elsewhere."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -68,10 +74,22 @@ def mine(texts: DataFrame, toxic: int, other: int) -> list[tuple[str, float]]:
     wilson = (share + z * z / (2 * total) - z * F.sqrt(share * (1 - share) / total + z * z / (4 * total * total))) / (1 + z * z / total)
     part = lambda k, rate: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / total / rate)).otherwise(0.0)
     evidence = 2 * (part("p", base) + part("n", 1 - base))
-    tested = shared_table(counted.where(total >= LEAST_HITS), "marks")
-    best = tested.where(F.col("p") >= LEAST_HITS).withColumn("evidence", evidence).where((wilson >= LEAST_PRECISION) & (share > base))
-    strongest = [(r["mark"], r["evidence"]) for r in best.orderBy(F.desc("evidence"), "mark").limit(CANDIDATES).collect()]
-    return strongest[: beyond_chance([e for _, e in strongest], tested.count())]
+    dose = F.length("mark") - F.length(F.rtrim("mark", F.lit("*")))
+    # doses above one: by rows too, in two steps per power of two; words and single beginnings together
+    stratum = F.struct(F.greatest(dose, F.lit(1)).alias("dose"), F.when(dose > 1, F.floor(2 * F.log2(total))).otherwise(0).alias("rows")).alias("stratum")
+    least = F.when(dose > 2, LEAST_HITS).otherwise(LEAST_HITS + 1)
+    tested = shared_table(counted.where(total >= least).withColumn("stratum", stratum), "marks")
+    size = {tuple(r["stratum"]): r["count"] for r in tested.groupBy("stratum").count().collect()}
+    best = tested.where(F.col("p") >= least).withColumn("evidence", evidence).where((wilson >= F.when(dose > 1, DOSE_PRECISION).otherwise(LEAST_PRECISION)) & (share > base))
+    strongest: dict[tuple, list[tuple[str, float]]] = {}
+    for r in best.orderBy(F.desc("evidence"), "mark").limit(CANDIDATES).collect():
+        strongest.setdefault(tuple(r["stratum"]), []).append((r["mark"], r["evidence"]))
+    taken = [c for s, found in strongest.items() for c in found[: beyond_chance([e for _, e in found], size[s])]]
+    if not taken:  # few labels: the marks that only toxic rows hold, and most of them, stand in; the label model weighs them
+        pure = counted.where(f"p >= {LEAST_HITS} and n = 0").withColumn("evidence", evidence)
+        rows = pure.orderBy(F.desc("evidence"), "mark").limit(CANDIDATES).collect()
+        taken = [(r["mark"], r["evidence"]) for r in rows if r["evidence"] == rows[0]["evidence"]]
+    return sorted(taken, key=lambda c: (-c[1], c[0]))
 
 
 def beyond_chance(evidence: list[float], tested: int) -> int:
@@ -83,7 +101,7 @@ def beyond_chance(evidence: list[float], tested: int) -> int:
 
 def choose(candidates: list[tuple[str, float]], most: int = VOTERS) -> list[str]:
     """Marks in order of evidence, the wider one among equals; one whose letters begin another's, or are begun by
-    them, is left out, except the two doses of one beginning."""
+    them, is left out, except the doses of one beginning."""
     chosen: dict[str, str] = {}
     for m, _ in sorted(candidates, key=lambda c: (-c[1], len(c[0].rstrip("*")), c[0])):
         body = m.rstrip("*")
@@ -103,7 +121,7 @@ class Voters:
         for i, m in enumerate(lexicon):
             if m.endswith("*"):
                 body = m.rstrip("*")
-                self.begins.setdefault(len(body), {}).setdefault(body, []).append((len(m) - len(body), i))
+                self.begins.setdefault(len(body), {}).setdefault(body, []).append((DOSES[len(m) - len(body) - 1], i))
 
     def cast(self, text: str) -> tuple[list[int], tuple[float, float, float]]:
         """Sorted numbers of the voters that fire, and general statistics (words, capitals, exclamations)."""
@@ -114,9 +132,10 @@ class Voters:
         for k, names in self.begins.items():
             begun = [w for w in words if w[:k] in names and len(w) > k]
             if begun:
-                hit.update(begun)
-                dose = Counter(w[:k] for w in found if w in hit and w[:k] in names and len(w) > k)
+                begun = set(begun)
+                dose = Counter(w[:k] for w in found if w in begun)
                 fired |= {i for b, n in dose.items() for least, i in names[b] if n >= least}
+                hit |= {w for w in begun if dose[w[:k]] >= min(names[w[:k]])[0]}
         if hit:
             hits = sum(map(hit.__contains__, found))
             passed = [hits >= h for h in HITS] + [hits >= s * len(found) and hits > 1 for s in SHARES]
@@ -345,7 +364,7 @@ def score_toxicity(
     """One row per document: id and ``score`` in 0 to 1, higher where label 1 is likelier; see ``fit_toxicity``.
 
     Null and empty texts cast no vote and get the score of a text without words. Repeated rows and null ids keep one
-    score each; null labels and labels of unknown documents are left out. Without labelled toxic rows there are no
+    score each; null labels and labels of unknown documents are left out. Without a word that two toxic rows and no others hold there are no
     voters and every score is 0. Other columns are never read.
     """
     model, scored = fit_toxicity(docs, labels, modulus, remainder, id_col, text_col, label_col)
@@ -360,6 +379,7 @@ def keep_below(docs: DataFrame, model: ToxicityModel | None, threshold: float, t
     if model is None:
         return docs
     voters, at = Voters(model.lexicon), docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # any name is allowed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -373,4 +393,4 @@ def keep_below(docs: DataFrame, model: ToxicityModel | None, threshold: float, t
                 keep = np.r_[keep, 1 / (1 + np.exp(-(odds * model.slope + model.offset))) < threshold]
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
