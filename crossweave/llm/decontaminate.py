@@ -218,6 +218,30 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, table: np.ndarray, s
     return rows.mapInArrow(run, f"id {field_type(docs, id_col)}, n_words long, found array<struct<h:long,at:int,before:int,around:string>>")
 
 
+def merged_spans(rows: DataFrame) -> DataFrame:
+    """(row, spans): the ranges of each row in order, those that touch or overlap as one; one pass over the sorted ranges."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranges = batch.column(1)
+            flat = ranges.flatten()
+            start, stop = (c.to_numpy() for c in flat.flatten())
+            owner = np.repeat(np.arange(len(ranges)), ranges.value_lengths().to_numpy())
+            order = np.lexsort((start, owner))
+            start, stop, owner = start[order].astype(np.int64), stop[order].astype(np.int64), owner[order]
+            # behind the owner, so that one running maximum serves all rows
+            shift = owner * (int(stop.max(initial=0)) + 2)
+            reach = np.maximum.accumulate(stop + shift)
+            first = np.flatnonzero(np.r_[True, start[1:] + shift[1:] > reach[:-1]][: len(start)])
+            last = np.r_[first[1:], len(start)] - 1
+            spans = pa.StructArray.from_arrays([pa.array(start[first], pa.int32()), pa.array(reach[last] - shift[last], pa.int32())], names=["start", "stop"])
+            offsets = np.r_[0, np.cumsum(np.bincount(owner[first], minlength=len(ranges)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans).cast(kind)], ["row", "spans"])
+
+    return rows.select("row", "ranges").mapInArrow(run, "row long, spans array<struct<start:int,stop:int>>")
+
+
 def decontaminate(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
@@ -253,13 +277,7 @@ def decontaminate(
         F.array_join(F.slice(F.split("around", " "), F.col("before") - F.col("offset") + 1, F.col("n")), " ") == F.col("window")
     )
     hits = inside.select("row", "window", (F.col("at") - F.col("offset")).alias("start"), (F.col("at") - F.col("offset") + F.col("n")).alias("stop"))
-    spans = F.expr(
-        """aggregate(array_sort(ranges), cast(array() as array<struct<start:int,stop:int>>), (a, x) ->
-             case when size(a) > 0 and element_at(a, -1).stop >= x.start
-                  then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'stop', greatest(element_at(a, -1).stop, x.stop))))
-                  else concat(a, array(x)) end)"""
-    )
-    covered = hits.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")).select("row", spans.alias("spans"))
+    covered = merged_spans(hits.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")))
     named = hits.select("row", "window").distinct().join(windows.select("window", "item").distinct(), "window")
     of_row = named.where("item is not null").groupBy("row").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
     out = rows.select("row", "id", "n_words").join(covered, "row", "left").join(of_row, "row", "left")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from crossweave.llm import decontaminate as dc
-from crossweave.llm.decontaminate import WordScan, decontaminate
+from crossweave.llm.decontaminate import WordScan, decontaminate, merged_spans
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -77,3 +77,20 @@ def test_word_hashes_depend_on_the_word_alone():
     starts, ends, owner, h = WordScan()(data, offsets)
     assert owner.tolist() == [0, 0, 1, 3, 3, 4]
     assert h[0] == h[4] == h[5] and h[1] == h[2] and len(set(h.tolist())) == 3
+
+
+def test_spans_merge_in_one_pass(spark):
+    rng = random.Random(3)
+    rows = []
+    for row in range(60):
+        rows.append((row, [(a, a + rng.randrange(1, 9)) for a in (rng.randrange(200) for _ in range(rng.randrange(0, 40)))]))
+    rows.append((60, [(a, a + 10) for a in range(0, 400_000, 10 + 1)]))
+    frame = spark.createDataFrame(rows, "row long, ranges array<struct<start:int,stop:int>>")
+    for r in merged_spans(frame).collect():
+        want = []
+        for a, b in sorted(dict(rows)[r.row]):
+            if want and a <= want[-1][1]:
+                want[-1][1] = max(want[-1][1], b)
+            else:
+                want.append([a, b])
+        assert [[s.start, s.stop] for s in r.spans] == want
