@@ -41,12 +41,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_media_columns")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = shared_table(store_texts(table(spark, sf_dir, "documents")).withColumn("key", F.struct("doc_id", "n_bytes")), "media")
+    stored = shared_table(store_texts(table(spark, sf_dir, "documents"), mixed=True).withColumn("key", F.struct("doc_id", "n_bytes", "declared")), "media")
     found = sniff_media(stored, id_col="key").select("key.*", "*").drop("key")
-    inside = F.array_join(F.transform("carved", lambda c: F.concat_ws(":", c["media_type"], c["start"], c["length"])), ",")
+    inside = F.array_join(F.transform("carved", lambda c: F.concat_ws(":", c["media_type"], c["start"], c["length"], F.substring(c["sha256"], 1, 16))), ",")
     return found.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
-        F.concat_ws(";", "media_type", F.col("corrected").cast("string"), inside).alias("feature"),
+        F.concat_ws(";", "declared", "media_type", F.col("corrected").cast("string"), inside).alias("feature"),
     )
 
 
@@ -93,7 +93,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the table has no capture time: one page a second
     captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))
-    return archive_captures(table(spark, sf_dir, "pages"), captured).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return archive_captures(table(spark, sf_dir, "pages"), captured, row=file_row()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query("op1_preference_formatting", sql=oracles.PREFERENCES)

@@ -4,13 +4,14 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
 import pytest
 
 from crossweave.llm import media
-from crossweave.llm.media import automaton, sniff, sniff_media, store_texts, wav
+from crossweave.llm.media import automaton, carved, sniff, sniff_media, store_texts, wav
 
 
 def png():
@@ -75,6 +76,51 @@ def test_texts_round_trip(spark):
     assert sniff_media(store_texts(docs.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("mark", [m for kinds in media.MAGIC.values() for m, _ in kinds])
+@pytest.mark.parametrize("tail", [b"", b"1.4 "])
+def test_long_runs_of_magic_bytes(mark, tail):
+    """Linear in the blob: twice the bytes take about twice the time, with the end marks behind them all."""
+    search = automaton()
+
+    def seconds(n):
+        blob = (mark + tail) * (n // len(mark + tail)) + b"%%EOF PK\x05\x06" + b"\0" * 18 + b"\xff\xd9"
+        began = time.perf_counter()
+        sniff(blob, search)
+        return time.perf_counter() - began
+
+    seconds(50_000)
+    assert seconds(1_600_000) < max(16 * min(seconds(200_000), seconds(200_000)), 1.0)
+
+
+def test_findings_of_one_type_inside_another_have_no_digest():
+    blob = PDF[:-5] * 3 + PDF
+    found = sniff(blob, automaton())
+    listed = carved(blob, found, "whole")
+    assert [(x["start"], x["sha256"]) for x in listed] == [(0, "whole"), *[(at, None) for _, at, _ in found[1:]]] and len(found) == 4
+
+
+@pytest.mark.parametrize("kind", media.WRITERS)
+def test_payloads_come_back_from_every_form(spark, kind):
+    payload = bytes(range(256)) * 9
+    blob = media.WRITERS[kind](payload)
+    rows = [(1, blob, kind), (2, media.boxed("payload", blob), "image/gif"), (3, b"xx" + blob, None)]
+    out = {r.doc_id: r for r in sniff_media(spark.createDataFrame(rows, "doc_id int, media binary, declared string")).collect()}
+    assert {i: (r.payload_sha256, r.media_type, r.corrected) for i, r in out.items()} == {
+        1: (hashlib.sha256(payload).hexdigest(), kind, False), 2: (hashlib.sha256(payload).hexdigest(), "application/zip", True),
+        3: (hashlib.sha256(payload).hexdigest(), "application/octet-stream", False)}
+    assert [c.sha256 for c in out[2].carved if c.media_type == kind] == [hashlib.sha256(blob).hexdigest()]
+
+
+def test_mixed_store(spark):
+    docs = spark.range(200).selectExpr("id as doc_id", "repeat(concat('text ', id), 1 + id * 3) as text")
+    found = sniff_media(store_texts(docs, mixed=True)).collect()
+    assert {r.media_type for r in found} == {"audio/wav", "image/bmp", "image/png", "application/zip"}
+    assert 0.2 < sum(r.corrected for r in found) / 200 < 0.7
+    for r in found:
+        raw = (f"text {r.doc_id}" * (1 + r.doc_id * 3)).encode()
+        assert r.payload_sha256 == hashlib.sha256(raw + b"\xff" * (-len(raw) % 576)).hexdigest()
+
+
 def test_declared_types(spark):
     rows = [(1, CASES["image/png"], "image/jpeg"), (2, b"plain", "text/plain"), (3, None, None), (4, CASES["image/gif"], "image/gif")]
     out = {r.doc_id: (r.media_type, r.corrected) for r in sniff_media(spark.createDataFrame(rows, "doc_id int, media binary, declared string")).collect()}
