@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from crossweave.llm.bpe import LowerSplitter, SpacedSplitter, Vocabulary
@@ -76,16 +77,16 @@ def test_encode_decode_equals_the_library(spark):
     assert encode_decode(docs.limit(0), path).count() == 0
 
 
-def test_split_dictionaries_hold_every_word(spark, tmp_path, monkeypatch):
-    """Read from files, both passes see the same splits: nothing is encoded in place."""
-    from crossweave.llm import bpe_table
-
-    texts = noise(300, 5)
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "d"))
-
-    def refuse(self, word):
-        raise KeyError(word)
-
-    monkeypatch.setattr(bpe_table.WordIds, "__missing__", refuse)
-    out = encode_decode(spark.read.parquet(str(tmp_path / "d")), public_tokenizers.path("byte_bpe_50k.json"), frequent=20)
-    assert sorted(r.decoded for r in out.collect()) == sorted(texts)
+def test_split_dictionaries_hold_every_word(spark, tmp_path):
+    """Read from files, both passes see the same splits: nothing is encoded in place. Of a table whose rows move between the
+    passes words are, with the same ids."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = noise(300, 5) + ["common words " * 3] * 200 + ["y" * 150_000 + " " + "lang 😀" * 20_000]
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, in_place string").repartition(7).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.option("maxPartitionBytes", 20_000).parquet(str(tmp_path / "d"))
+    out = encode_decode(docs, path, frequent=20, report=True).collect()
+    assert sorted(r.decoded for r in out) == sorted(texts) and sum(r.in_place for r in out) == 0
+    moving = docs.repartition(3, F.rand())
+    moved = encode_decode(moving, path, frequent=20, report=True).collect()
+    assert {r.doc_id: r.ids for r in moved} == {r.doc_id: r.ids for r in out}
