@@ -2,7 +2,7 @@
 
 import random
 
-from crossweave.llm.line_dedup import besides, line_dedup
+from crossweave.llm.line_dedup import LEAST_LINES, besides, chunks, line_dedup
 
 WORDS = 50
 
@@ -38,6 +38,61 @@ def several_lines(docs):
     return out
 
 
+def shortest_runs(raw):
+    """(start, stop) in bytes of the shortest runs of lines of more than WORDS words that begin or end at each line that is
+    not blank, by trying all."""
+    lines, at, edge = raw.split(b"\n"), 0, []
+    for line in lines:
+        edge.append((at, min(at + len(line) + 1, len(raw))))
+        at += len(line) + 1
+    words, out = [len(line.split()) for line in lines], set()
+    total = [0]
+    for n in words:
+        total.append(total[-1] + n)
+    for a in range(len(lines)):
+        b = next((b for b in range(a, len(lines)) if total[b + 1] - total[a] > WORDS), None)
+        if words[a] and b is not None:
+            out.add((a, b))
+        b = next((b for b in range(a, -1, -1) if total[a + 1] - total[b] > WORDS), None)
+        if words[a] and b is not None:
+            out.add((next(k for k in range(b, a + 1) if words[k]), a))
+    return sorted((edge[a][0], edge[b][1]) for a, b in out)
+
+
+def direct_passages(docs):
+    """(id, text, spans) by (null id last, id, place): chunks that occur before go, then what such runs cover besides; a run
+    over its own first occurrence from that one's end on. Rows are taken in order; a row that repeats id and text is one of its own."""
+    order = sorted(range(len(docs)), key=lambda k: (docs[k][0] is None, docs[k][0] or 0, k))
+    seen: list[dict] = [{}, {}]
+    out = {}
+    for k in order:
+        raw = (docs[k][1] or "").encode()
+        solid, loose = [], set()
+        for place, (a, b, w) in enumerate(chunks(raw)):
+            if w >= LEAST_LINES:
+                body = raw[a : b - (raw[b - 1] == 10)]
+                if seen[0].setdefault(body, (k, place)) != (k, place):
+                    solid.append((a, b))
+        for a, b in shortest_runs(raw):
+            body = raw[a : b - (raw[b - 1] == 10)]
+            first = seen[1].setdefault(body, (k, a, b))
+            if first != (k, a, b):
+                loose.update(range(max(a, first[2]) if first[0] == k else a, b))
+        loose -= {x for a, b in solid for x in range(a, b)}
+        spans = list(solid)
+        for x in sorted(loose):
+            if x - 1 in loose:
+                spans[-1] = (spans[-1][0], x + 1)
+            else:
+                spans.append((x, x + 1))
+        spans.sort()
+        kept, at = b"", 0
+        for a, b in spans:
+            kept, at = kept + raw[at:a], b
+        out[k] = (docs[k][0], None if docs[k][1] is None else (kept + raw[at:]).decode(), spans)
+    return [out[k] for k in range(len(docs))]
+
+
 def gone(text, removed):
     raw, out, at = text.encode(), set(), 0
     for j, line in enumerate(raw.split(b"\n")):

@@ -1,17 +1,22 @@
 """The pipeline's stages against direct decisions, on a small corpus."""
 
+import os
 import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from crossweave.llm.common import folders_used
 from tests.llm.test_decontaminate import direct as direct_hits
-from tests.llm.test_line_dedup import direct as direct_lines
+from tests.llm.test_line_passages import direct_passages
 from tests.llm.test_simhash import components, direct_fingerprint
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: names that operators and stages use inside
+CLASHING = ["row", "drop", "url", "removed", "decoded", "ids", "key", "keep.this", "score", "n_tokens"]
 
 
 def prose(rng, n):
@@ -39,7 +44,7 @@ def test_stages(spark, corpus):
     docs, left = spark.read.parquet(f"{folder}/documents.parquet"), [(r[0], r[1]) for r in rows]
     decisions = [
         lambda d: [(i, t) for i, t in d if "vile" not in (t or "")],
-        lambda d: [(i, t) for i, t, n in direct_lines(d) if not n or (t or "").strip()],
+        lambda d: [(i, t) for i, t, cut in direct_passages(d) if not cut or (t or "").strip()],
         near,
         lambda d: [(i, t) for i, t in d if not direct_hits([(i, t)], items)[0][2]],
     ]
@@ -70,6 +75,29 @@ def near(docs):
     return [d for d in docs if first[root[fps[d]]] == d]
 
 
+def test_other_columns_travel(spark, corpus, tmp_path):
+    folder, rows, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = docs.select("*", *[F.concat_ws("-", F.lit(c), "doc_id").alias(c) for c in CLASHING])
+    more.write.parquet(str(tmp_path / "more"))
+    more, plain = spark.read.parquet(str(tmp_path / "more")), docs
+    for name, stage in corpus_pipeline.STAGES:
+        more, plain = (corpus_pipeline.shared_table(stage(spark, d, folder), "wide") for d in (more, plain))
+        kept = [c for c in CLASHING if name != "bpe" or c != "n_tokens"]
+        got = more.select("doc_id", "text", *[f"`{c}`" for c in kept]).collect()
+        assert sorted((r[0] is None, r[0] or 0, r[1] or "") for r in got) == sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in plain.collect()), name
+        assert all(r[c] == (c if r.doc_id is None else f"{c}-{r.doc_id}") for r in got for c in kept)
+    assert len(more.columns) == len(set(more.columns))
+
+
+def test_folders_are_freed(spark, corpus):
+    with folders_used() as used:
+        out = corpus_pipeline.run(spark, corpus[0])
+    assert used == [] and out.count() > 0  # the stages' own lists
+    root = out.inputFiles()[0].rsplit("/", 2)[0].removeprefix("file://").removeprefix("file:")
+    assert not [d for d in os.listdir(root) if d.startswith("pipeline-") and not d.startswith("pipeline-bpe")]
+
+
 def test_empty_corpus(spark, corpus):
     folder = corpus[0]
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)

@@ -10,7 +10,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tests.llm.test_line_dedup import direct as direct_lines
+from crossweave.llm.media import WRITERS, stored
+from tests.llm.test_line_passages import direct_passages
 from tests.llm.test_simhash import components, direct_fingerprint
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -41,11 +42,11 @@ def rows(spark, n):
 
 
 def test_one_query_per_operator():
-    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10 and "pipeline" in QUERIES
-    assert {q for q in SQL if q.startswith("op")} == {named(n) for n in (1, 4, 6)}
+    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14)] == [1] * 13 and "pipeline" in QUERIES
+    assert {q for q in SQL if q.startswith("op")} == {named(n) for n in (1, 4, 6, 11, 12, 13)}
 
 
-@pytest.mark.parametrize("n", [1, 4, 6])
+@pytest.mark.parametrize("n", [1, 4, 6, 11, 12, 13])
 def test_queries_agree_with_sql(spark, n):
     con = duckdb.connect()
     for t in TABLES:
@@ -71,7 +72,7 @@ def test_scoring_queries(spark, texts, n, modulus, remainder):
 
 
 def test_line_query(spark, texts):
-    want = {i: (n, len(t.encode()), sha(t.encode())) for i, t, n in direct_lines(list(texts.items()))}
+    want = {i: (len(cut), len(t.encode()), sha(t.encode())) for i, t, cut in direct_passages(list(texts.items()))}
     got = rows(spark, 7)
     assert {i: (r.removed_chunks, r.kept_bytes, r.kept_sha256) for i, r in got.items()} == want
     assert all(r.kept_bytes + r.removed_bytes == len(texts[i].encode()) for i, r in got.items())
@@ -93,4 +94,10 @@ def test_media_query(spark, texts):
         raw = texts[i].encode()
         payload = raw + b"\xff" * ((-len(raw)) % 576 if raw else 576)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-32:]))
-        assert r.media_bytes == len(payload) + 44 and r.feature.startswith("audio/wav;true;audio/wav:0:")
+        declared, blob = stored(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(blob), sha(blob))
+        said, kind, corrected, inside = r.feature.split(";")
+        first, *others = inside.split(",")
+        assert said == declared and corrected == str(kind != declared).lower() and first == f"{kind}:0:{len(blob)}:{sha(blob)[:16]}"
+        if kind == "application/zip":
+            assert others[0].split(":")[0] in WRITERS and WRITERS[others[0].split(":")[0]](payload) in blob
