@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossweave.llm.bpe_table import encode_decode
-from crossweave.llm.common import file_row, shared_table, table
+from crossweave.llm.common import file_row, folders_used, remove_folders, shared_table, table
 from crossweave.llm.decontaminate import decontaminate
 from crossweave.llm.line_dedup import line_dedup
 from crossweave.llm.simhash import near_duplicates
@@ -25,12 +25,24 @@ def _key() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), file_row().alias("row"))
 
 
+def _packed(docs: DataFrame, leave: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, list[str]]:
+    """(doc_id, text, rest), and the names of the other columns: they travel as fields of ``rest``, beside the row, so that
+    no name of theirs meets one of an operator's."""
+    names = [c for c in docs.columns if c not in leave]
+    rest = F.struct(file_row().alias("row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    return docs.select("doc_id", "text", rest.alias("rest")), names
+
+
+def _unpacked(names: list[str]) -> list[Column]:
+    return [F.col(f"rest.c{i}").alias(c) for i, c in enumerate(names)]
+
+
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Documents whose key is not in ``keys`` (key). The keys are the few documents to drop: Spark broadcasts them if
     they measure small, else the documents travel once."""
-    drop = keys.select(F.col("key.row").alias("drop"))
-    here = docs.select(file_row().alias("row"), *docs.columns)
-    return here.join(drop, F.col("row") == F.col("drop"), "left_anti").select(*docs.columns)
+    rows, names = _packed(docs)
+    left = rows.join(keys.select(F.col("key.row").alias("drop")), F.col("rest.row") == F.col("drop"), "left_anti")
+    return left.select("doc_id", "text", *_unpacked(names)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +63,13 @@ def repeats(docs: DataFrame) -> DataFrame:
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated line chunks and passages go; so do rows that repeat id and text, of which short ones would leave a rest,
     and documents of which nothing but white space is left. ``n_chars`` follows the text."""
-    rows = docs.select("*", file_row().alias("row"))
-    out = line_dedup(rows, carry=("lang", "source", "n_chars", "row"), passages=True, row=F.col("row"))
+    rows, names = _packed(docs)
+    out = line_dedup(rows, carry=("rest",), passages=True, row=F.col("rest.row"))
     changed = F.size("removed") > 0
-    n_chars = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    out = out.where(~changed | F.col("text").rlike(r"\S")).join(repeats(docs), F.col("row") == F.col("drop"), "left_anti")
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    out = out.where(~changed | F.col("text").rlike(r"\S")).join(repeats(docs), F.col("rest.row") == F.col("drop"), "left_anti")
+    n_chars = lambda old: F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(old)
+    columns = [n_chars(c).alias(name) if name == "n_chars" else c for name, c in zip(names, _unpacked(names), strict=True)]
+    return out.select("doc_id", "text", *columns).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,11 +85,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32 bits), their number, and the text as decoded from them."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), carry=rest)
+    """Token ids (little-endian unsigned 32 bits), their number, and the text as decoded from them; columns ``n_tokens`` and
+    ``token_ids`` of the input are replaced."""
+    rows, names = _packed(docs, ("doc_id", "text", "n_tokens", "token_ids"))
+    out = encode_decode(rows, public_tokenizers.path("byte_bpe_50k.json"), carry=("rest",))
     tokens = F.floor(F.octet_length("ids") / 4).alias("n_tokens")
-    return out.select("doc_id", F.col("decoded").alias("text"), *rest, tokens, F.col("ids").alias("token_ids"))
+    return out.select("doc_id", F.col("decoded").alias("text"), *_unpacked(names), tokens, F.col("ids").alias("token_ids"))
 
 
 STAGES = [
@@ -89,8 +103,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; every stage's rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table; every stage's rows are written to the shared folder and read again. When they
+    are written, its input and what it wrote on its way are deleted."""
+    docs, held = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = shared_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with folders_used() as used:
+            docs = shared_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        remove_folders(spark, held + used[:-1])
+        held = used[-1:]
     return docs
