@@ -115,10 +115,7 @@ def unbiased_kurtosis(x: Column, w: WindowSpec | None = None) -> Column:
 def streak(df, cond: Column, out: str, keys="ts_code", order="trade_date"):
     """Length of the current run of true rows, 0 on a false row (null counts as false)."""
     s = Series(keys, order)
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    order = [order] if isinstance(order, str) else list(order)
-    df = df.withColumn("_hit", F.coalesce(cond, F.lit(False)).cast("int"))
-    df = df.withColumn("_turn", F.coalesce((s.lag("_hit") != F.col("_hit")).cast("int"), F.lit(1)))
-    df = df.withColumn("_run", F.sum("_turn").over(s.so_far))
-    rn = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(*order))
-    return df.withColumn(out, (rn * F.col("_hit")).cast("double")).drop("_hit", "_turn", "_run")
+    n = F.row_number().over(s.spec)
+    df = df.withColumns({"_n": n, "_hit": F.coalesce(cond, F.lit(False))})
+    missed = F.max(F.when(~F.col("_hit"), F.col("_n"))).over(s.so_far)
+    return df.withColumn(out, (F.col("_n") - F.coalesce(missed, F.lit(0))).cast("double")).drop("_n", "_hit")

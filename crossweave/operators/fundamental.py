@@ -88,7 +88,11 @@ def balance_ratios(r: DataFrame) -> DataFrame:
 
 def value_ratios(bars: DataFrame, reports: DataFrame) -> DataFrame:
     """Per-share report values over the close."""
-    df = to_daily(bars, reports, ["eps", "bps", "revenue_ps", "cfps", "undist_profit_ps"])
+    return value_columns(to_daily(bars, reports, ["eps", "bps", "revenue_ps", "cfps", "undist_profit_ps"]))
+
+
+def value_columns(df: DataFrame) -> DataFrame:
+    """The same from bars that hold the report values already."""
     per = lambda c: F.when(F.col("close") > 0, safe_div(c, "close"))
     return df.withColumns(
         {

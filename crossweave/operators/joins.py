@@ -70,6 +70,31 @@ def expiring_asof_join(
     return df.withColumns({c: F.when(live, F.col(c)) for c in cols})
 
 
+def period_winners(
+    right: DataFrame, columns: Sequence[str], by: str, start: str, end: str, closed: str = "left", first: bool = False, bucket: int = 10_000,
+) -> DataFrame:
+    """(``by``, ``_from``, ``_best``): the record that holds for a key from a date on until the next ``_from``; null where none
+    does. ``_best`` has the fields v0, v1, ….
+
+    The winner only changes where a record begins or ends, and a key has no more such dates than the calendar. Records
+    that share key and period are reduced to one before the exchange, and each meets the dates of its key bucket by
+    bucket (for YYYYMMDD numbers a bucket is a year), so a key with very many records is spread over its years and
+    neither its records nor its rows are ever gathered. The winners are a partial aggregate.
+    """
+    until = F.col(end) + F.lit(1 if closed == "both" else 0)  # no date lies between a number and the next one
+    value = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    one = right.where(F.col(start).isNotNull()).select(F.col(by).alias("_k"), F.col(start).alias("_s"), until.alias("_e"), value.alias("_v"))
+    one = one.where(F.col("_k").isNotNull() & (F.col("_e").isNull() | (F.col("_s") < F.col("_e")))).groupBy("_k", "_s", "_e").agg(F.min("_v").alias("_v"))
+    points = one.select("_k", F.explode(F.array("_s", "_e")).alias("_from")).where("_from is not null").distinct()
+    last = points.groupBy("_k").agg(F.max("_from").alias("_last"))
+    place = lambda c: F.floor(c / bucket)
+    spread = one.join(last, "_k").withColumn("_b", F.explode(F.sequence(place(F.col("_s")), place(F.coalesce("_e", "_last")))))
+    live = points.withColumn("_b", place(F.col("_from"))).join(spread, ["_k", "_b"]).where((F.col("_s") <= F.col("_from")) & (F.col("_e").isNull() | (F.col("_from") < F.col("_e"))))
+    order = F.col("_s") if first else -F.col("_s")
+    best = live.groupBy("_k", "_from").agg(F.min(F.struct(order.alias("o"), F.col("_v").alias("v"), F.col("_e").alias("e"))).alias("_w"))
+    return points.join(best, ["_k", "_from"], "left").select(F.col("_k").alias(by), "_from", F.col("_w.v").alias("_best"))
+
+
 def interval_join(
     left: DataFrame,
     right: DataFrame,
@@ -83,20 +108,12 @@ def interval_join(
 ) -> DataFrame:
     """Record valid on the row's date, ``closed`` ``'left'`` (end excluded) or ``'both'``. Every left row stays once.
 
-    The records of a key travel as one array (bounded by its validity periods), so no pairs are formed and rows that
-    repeat a key and date keep their own result. Several live records: the latest start wins
-    (``first``: the earliest), then the smaller values.
+    Several live records: the latest start wins (``first``: the earliest), then the smaller values, nulls smallest.
+    The records are turned into periods with one winner each, and the rows take the last period that began
+    (``asof_join``): no pairs of rows and records are formed. Dates are numbers in calendar order (YYYYMMDD).
     """
-    columns = list(columns)
-    record = F.struct(F.col(start).alias("s"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)], F.col(end).alias("e"))
-    r = right.where(F.col(start).isNotNull()).groupBy(F.col(by).alias("_k")).agg(F.collect_list(record).alias("_records"))
-    df = left.join(r, F.col(by) == F.col("_k"), "left")
-    t = F.col(on)
-    live = F.filter("_records", lambda x: (x["s"] <= t) & (x["e"].isNull() | ((t < x["e"]) if closed == "left" else (t <= x["e"]))))
-    if not first:
-        df = df.withColumn("_live", live).withColumn("_top", F.array_max(F.transform("_live", lambda x: x["s"])))
-        live = F.filter("_live", lambda x: x["s"] == F.col("_top"))
-    df = df.withColumn("_best", F.array_min(live))
+    periods = period_winners(right, columns, by, start, end, closed, first)
+    df = asof_join(left, periods, ["_best"], by=by, left_on=on, right_on="_from", tie=["_from"])
     return df.select(*left.columns, *[F.col("_best")[f"v{i}"].alias(c) for i, c in enumerate(columns)])
 
 

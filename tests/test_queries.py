@@ -22,7 +22,7 @@ SAMPLE = [
     "proportional_industry_quotas", "trend_position", "rolling_factor_covariance", "portfolio_risk", "wide_table",
     "factor_ic_summary", "processed_moneyflow_factors", "fundamental_factor_table", "walk_forward_rows", "group_spread_risk",
     "turnover_summary", "seeded_sample", "high_water_mark", "aligned_weights", "risk_attribution", "style_residual", "parameter_sweep",
-    "half_open_interval_join", "closed_interval_join", "kdj_oscillator", "flow_ema", "smoothed_scores", "pool_covariance",
+    "industry_factor_table", "half_open_interval_join", "closed_interval_join", "kdj_oscillator", "flow_ema", "smoothed_scores", "pool_covariance",
 ]
 
 

@@ -1,7 +1,10 @@
 """Results do not depend on the size of a group, the width of a table, or rows that repeat a key."""
 
 import math
+import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +157,42 @@ def test_window_models_learn_and_use_their_split(spark):
     odd = df.withColumn("label", F.when(F.col("trade_date") >= 20200115, -F.col("label")).otherwise(F.col("label")))
     early = matrix.fit_window_models(odd, [window], ["f", "g"], "label", maxDepth=3, maxIter=8, seed=1)[3]
     assert early.trees.getNumTrees < model.trees.getNumTrees
+
+
+def test_interval_join_of_a_key_with_a_third_of_all_records(spark):
+    """No array of records and no pair of rows: the result is that of trying every record."""
+    rng = random.Random(4)
+    day = lambda: rng.choice([1999, 2000, 2001, 2020]) * 10000 + rng.randrange(1, 13) * 100 + rng.randrange(1, 29)
+    records = []
+    for k in range(900):
+        a, b = day(), day()
+        records.append(("hot" if k % 3 == 0 else f"c{k % 40}", a, None if k % 11 == 0 else b, f"v{rng.randrange(9)}" if k % 7 else None))
+    rows = [(day(), rng.choice(["hot", "c1", "c2", "none"]), n) for n in range(400)]
+    left = spark.createDataFrame(rows, "trade_date int, ts_code string, n int")
+    right = spark.createDataFrame(records, "ts_code string, in_date int, out_date int, label string")
+    for closed in ("left", "both"):
+        for first in (False, True):
+            out = joins.interval_join(left, right, ["label"], closed=closed, first=first)
+            assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+            got = {r.n: r.label for r in out.collect()}
+            for t, code, n in rows:
+                live = [r for r in records if r[0] == code and r[1] <= t and (r[2] is None or t < r[2] or closed == "both" and t == r[2])]
+                want = min(live, key=lambda r: ((1 if first else -1) * r[1], r[3] is not None, r[3] or ""))[3] if live else None
+                assert got[n] == want, (closed, first, t, code)
+
+
+def test_smoothing_a_long_series_in_the_jvm(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(5, 2, 9000)
+    x[rng.random(9000) < 0.3] = np.nan
+    x[4000:4400] = np.nan
+    pdf = pd.DataFrame({"trade_date": np.arange(9000), "ts_code": "hot", "x": x})
+    df = spark.createDataFrame(pdf)
+    for span, least in ((3, 1), (26, 10), (400, 1)):
+        out = smoothing.ema(df, "x", "e", span, least)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "collect_list" not in plan and plan.count("Exchange") == 1
+        got = out.orderBy("trade_date").toPandas()["e"].astype(float)
+        np.testing.assert_allclose(got, pdf["x"].ewm(span=span, adjust=False, min_periods=least).mean(), rtol=1e-11)
+    with pytest.raises(Exception, match="longer than the rows"):
+        smoothing.smooth(df, {"e": ("x", 1e-6, 1)}, rows=64).collect()
