@@ -148,9 +148,10 @@ def _(m):
 
 @query(
     "aligned_weights", "J11", needs="bars", doubles="w0 w1",
-    sql="""WITH w AS (SELECT strftime(strptime(trade_date::VARCHAR, '%Y%m%d') + INTERVAL 7 DAY, '%Y%m%d')::INTEGER AS next_date, trade_date, ts_code, vol / 1000 AS w FROM bars)
-           SELECT coalesce(a.trade_date, b.next_date) AS trade_date, coalesce(a.ts_code, b.ts_code) AS ts_code, coalesce(b.w, 0.0) AS w0, coalesce(a.w, 0.0) AS w1
-           FROM w a FULL JOIN w b ON a.ts_code = b.ts_code AND a.trade_date = b.next_date""",
+    sql="""WITH w AS MATERIALIZED (SELECT trade_date, ts_code, vol / 1000 AS w FROM bars),
+           d AS MATERIALIZED (SELECT trade_date, strftime(strptime(trade_date::VARCHAR, '%Y%m%d') + INTERVAL 7 DAY, '%Y%m%d')::INTEGER AS next_date FROM (SELECT DISTINCT trade_date FROM bars)),
+           b AS MATERIALIZED (SELECT d.next_date AS trade_date, w.ts_code, w.w FROM w JOIN d USING (trade_date))
+           SELECT trade_date, ts_code, coalesce(b.w, 0.0) AS w0, coalesce(w.w, 0.0) AS w1 FROM w FULL JOIN b USING (trade_date, ts_code)""",
 )
 def _(m):
     # every week against the week before it

@@ -405,6 +405,14 @@ def holdings(m):
     return equal_ten(m).select(*KEYS, "weight").join(x, KEYS).join(sr, KEYS)
 
 
+def written(m):
+    """Holdings with exposures and specific risk, factors, and covariances: written once, as every figure of a portfolio
+    reads them several times."""
+    from ..sources.datasets import materialize
+
+    return materialize(holdings(m), "holdings"), _F3, materialize(covariances(m), "covariances")
+
+
 _PRE = COV.replace("SELECT * FROM (", "\x00", 1)
 _HEAD, _BODY = _PRE.split("\x00")
 _CTE = f"{_HEAD.rstrip()}, cov AS MATERIALIZED (SELECT * FROM ({_BODY}), h AS MATERIALIZED ({_XF})"
@@ -417,7 +425,7 @@ _ZF = f"""{_CTE}{_Z}, zf AS MATERIALIZED (SELECT c.trade_date, c.factor_i AS fac
 
 @query("portfolio_risk", "K16", needs="bars scores", doubles="factor_variance specific_variance variance volatility", sql=f"{_ZF} SELECT * FROM pr", digits=4)
 def _(m):
-    return R.portfolio_risk(holdings(m), _F3, covariances(m))
+    return R.portfolio_risk(*written(m))
 
 
 @query("portfolio_exposure", "K17", needs="bars scores", doubles="exposure", sql=f"{_ZF} SELECT * FROM z")
@@ -441,13 +449,13 @@ _ATT = """SELECT z.trade_date, z.factor, CASE WHEN variance > 0 THEN z.exposure
 
 @query("risk_attribution", "K19", needs="bars scores", doubles="share", sql=f"{_ZF}, att AS MATERIALIZED ({_ATT}) SELECT * FROM att")
 def _(m):
-    return R.risk_attribution(holdings(m), _F3, covariances(m))
+    return R.risk_attribution(*written(m))
 
 
 @query("risk_attribution_check", "K19", needs="bars scores", doubles="total",
        sql=f"{_ZF} SELECT trade_date, sum(share) AS total, (abs(sum(share) - 1.0) < 0.001)::INT AS passed FROM ({_ATT}) GROUP BY trade_date")
 def _(m):
-    return R.attribution_sum(R.risk_attribution(holdings(m), _F3, covariances(m)))
+    return R.attribution_sum(R.risk_attribution(*written(m)))
 
 
 @query(
