@@ -310,13 +310,20 @@ def portfolio_exposure(holdings: DataFrame, factors: Sequence[str]) -> DataFrame
     return sums.unpivot([DATE], [f"`{f}`" for f in factors], "factor", "exposure")
 
 
-def _factor_risk(z: DataFrame, cov: DataFrame) -> DataFrame:
-    """Per date and factor: exposure and its marginal covariance with the whole portfolio."""
-    zj = z.select(DATE, F.col("factor").alias("factor_j"), F.col("exposure").alias("_zj"))
-    fz = cov.join(zj, [DATE, "factor_j"]).groupBy(DATE, F.col("factor_i").alias("factor")).agg(
-        F.sum(F.col("cov") * F.col("_zj")).alias("_fz")
-    )
-    return z.join(fz, [DATE, "factor"])
+def _variance_parts(holdings: DataFrame, factors: Sequence[str], cov: DataFrame) -> DataFrame:
+    """One row per date: ``parts`` (factor, part of the variance), ``factor_variance``, ``specific_variance``.
+
+    Exposures and specific variance are one aggregate per date, which meets the K² covariances of the date once.
+    """
+    exposures = F.array(*[F.sum(F.col("weight") * F.coalesce(F.col(f"`{f}`"), F.lit(0.0))) for f in factors])
+    own = F.sum(F.col("weight") * F.col("weight") * F.col("specific_variance"))
+    dates = holdings.groupBy(DATE).agg(F.map_from_arrays(F.array(*[F.lit(f) for f in factors]), exposures).alias("_z"), own.alias("specific_variance"))
+    pairs = cov.join(dates, DATE).where(F.map_contains_key("_z", F.col("factor_i")) & F.map_contains_key("_z", F.col("factor_j")))
+    part = F.sum(F.col("cov") * F.element_at("_z", F.col("factor_j")))
+    marginal = pairs.groupBy(DATE, "factor_i").agg(part.alias("_fz"), F.first(F.element_at("_z", F.col("factor_i"))).alias("_zi"), F.first("specific_variance").alias("specific_variance"))
+    value = F.col("_zi") * F.col("_fz")
+    parts = F.collect_list(F.struct(F.col("factor_i").alias("factor"), value.alias("part")))  # K factors
+    return marginal.groupBy(DATE).agg(parts.alias("parts"), F.sum(value).alias("factor_variance"), F.first("specific_variance").alias("specific_variance"))
 
 
 def portfolio_risk(holdings: DataFrame, factors: Sequence[str], cov: DataFrame) -> DataFrame:
@@ -324,25 +331,18 @@ def portfolio_risk(holdings: DataFrame, factors: Sequence[str], cov: DataFrame)
 
     ``holdings``: weight, specific_variance and exposures per date and name.
     """
-    z = portfolio_exposure(holdings, factors)
-    factor = _factor_risk(z, cov).groupBy(DATE).agg(F.sum(F.col("exposure") * F.col("_fz")).alias("factor_variance"))
-    own = holdings.groupBy(DATE).agg(
-        F.sum(F.col("weight") * F.col("weight") * F.col("specific_variance")).alias("specific_variance")
-    )
-    df = factor.join(own, DATE)
+    df = _variance_parts(holdings, factors, cov).drop("parts")
     df = df.withColumn("variance", F.col("factor_variance") + F.col("specific_variance"))
     return df.withColumn("volatility", F.sqrt(F.greatest("variance", F.lit(0.0))))
 
 
 def risk_attribution(holdings: DataFrame, factors: Sequence[str], cov: DataFrame) -> DataFrame:
     """Share of the variance per factor and of the specific part; the shares add up to one."""
-    z = portfolio_exposure(holdings, factors)
-    total = portfolio_risk(holdings, factors, cov)
-    parts = _factor_risk(z, cov).select(DATE, "factor", (F.col("exposure") * F.col("_fz")).alias("part"))
-    own = total.select(DATE, F.lit("SPECIFIC").alias("factor"), F.col("specific_variance").alias("part"))
-    df = parts.unionByName(own).join(total.select(DATE, "variance"), DATE)
-    share = F.when(F.col("variance") > 0, F.col("part") / F.col("variance")).otherwise(0.0)
-    return df.select(DATE, "factor", share.alias("share"))
+    df = _variance_parts(holdings, factors, cov)
+    own = F.struct(F.lit("SPECIFIC").alias("factor"), F.col("specific_variance").alias("part"))
+    df = df.select(DATE, (F.col("factor_variance") + F.col("specific_variance")).alias("variance"), F.explode(F.concat("parts", F.array(own))).alias("_p"))
+    share = F.when(F.col("variance") > 0, F.col("_p.part") / F.col("variance")).otherwise(0.0)
+    return df.select(DATE, F.col("_p.factor").alias("factor"), share.alias("share"))
 
 
 def attribution_sum(attribution: DataFrame, tolerance: float = 0.001) -> DataFrame:

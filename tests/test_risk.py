@@ -122,3 +122,11 @@ def test_conditioning(spark):
 
 def test_factor_names():
     assert R.split_factors(["SIZE", "L1_BANK", "industry_x", "BETA"]) == (["SIZE", "BETA"], ["L1_BANK", "industry_x"])
+
+
+def test_attribution_reads_its_tables_once(spark):
+    from crossweave.plans.registry import load_all
+
+    out = load_all()["risk_attribution"].run(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 3
