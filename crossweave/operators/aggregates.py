@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_date, clip, safe_div
@@ -62,7 +62,16 @@ def panel_counts(df: DataFrame) -> DataFrame:
 
 
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.agg(*[F.sum(F.col(c).isNull().cast("int")).alias(f"{c}_nulls") for c in columns])
+    return df.agg(*[c.alias(n) for n, c in null_figures(columns).items()])
+
+
+def null_figures(columns: Sequence[str]) -> dict[str, Column]:
+    return {f"{c}_nulls": F.sum(F.col(c).isNull().cast("int")) for c in columns}
+
+
+def match_figures(columns: Sequence[str]) -> dict[str, Column]:
+    """Rows, and how many of them found a partner in each joined source."""
+    return {"rows": F.count(F.lit(1)), **{f"{c}_matched": F.count(c) for c in columns}}
 
 
 def onehot_pivot(df: DataFrame, keys: Sequence[str], category: str, values: Sequence[str], prefix: str) -> DataFrame:
@@ -77,7 +86,7 @@ def categories(df: DataFrame, column: str) -> DataFrame:
 
 def match_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """How many panel rows found a partner in each joined source."""
-    return df.agg(F.count("*").alias("rows"), *[F.count(c).alias(f"{c}_matched") for c in columns])
+    return df.agg(*[c.alias(n) for n, c in match_figures(columns).items()])
 
 
 def global_winsorize(

@@ -8,7 +8,7 @@ from ..operators import aggregates as A
 from ..operators import clean as C
 from ..operators import matrix as M
 from ..operators import price_volume as PV
-from ..sources.datasets import materialize
+from ..sources.datasets import materialize, materialize_bucketed, materialize_counted
 from .q_ic import ic_sql
 from .q_joins import HORIZONS_SQL, PIT, all_scores
 from .registry import query
@@ -57,6 +57,36 @@ def _(m):
     return M.wide_table_matches(wide(m))
 
 
+_MATCHED, _EMPTY = ["st_status", "adj_factor", "ann_date", "l1_name"], ["roe", "or_yoy"]
+
+
+@query(
+    "wide_table_written_summary", "C15 A8 A12", needs=_NEEDS,
+    sql=f"""SELECT count(*) AS rows, {', '.join(f'count({c}) AS {c}_matched' for c in _MATCHED)},
+            {', '.join(f'sum(({c} IS NULL)::INT)::BIGINT AS {c}_nulls' for c in _EMPTY)} FROM ({WIDE})""",
+)
+def _(m):
+    # the table is written once and the figures of the job are seen on the way
+    _, figures = materialize_counted(wide(m), "wide-table", {**A.match_figures(_MATCHED), **A.null_figures(_EMPTY)})
+    return m.spark.createDataFrame([figures], ", ".join(f"{n} long" for n in figures))
+
+
+@query(
+    "bucketed_panel_join", "C10 J1", needs="bars moneyflow", doubles="close amount net_mf_amount",
+    sql="SELECT b.trade_date, b.ts_code, b.close, b.amount, f.net_mf_amount FROM bars b LEFT JOIN moneyflow f USING (trade_date, ts_code)",
+)
+def _(m):
+    panel, flows = bucketed_sources(m)
+    return panel.join(flows.hint("merge"), KEYS, "left")
+
+
+def bucketed_sources(m):
+    """Bars and money flows in equal buckets of the panel key: they meet without an exchange."""
+    buckets = int(m.spark.conf.get("spark.sql.shuffle.partitions"))
+    panel = materialize_bucketed(m.bars().select(*KEYS, "close", "amount"), "bucketed-bars", KEYS, buckets)
+    return panel, materialize_bucketed(m.moneyflow().select(*KEYS, "net_mf_amount"), "bucketed-flows", KEYS, buckets)
+
+
 _FEATS = ["ret_5", "volatility_5", "net_mf_amount", "score_5d", "roe"]
 _PVF = f"SELECT trade_date, ts_code, {pct('close', 5)} AS ret_5, {roll('stddev_samp', 'pct_chg', 5)} AS volatility_5 FROM bars"
 _LAB = f"SELECT trade_date, ts_code, lead(close) OVER ({BY}) / lead(open) OVER ({BY}) - 1 AS label_1d FROM bars"

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, name: str, counts: Mapping[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """``materialize`` and figures of the rows written (aggregates such as counts and sums), observed on their way: one job,
+    no second scan."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), name)
+    return out, seen.get
+
+
+def materialize_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Write a table as one sorted file per hash bucket of ``keys`` and read it back: joins and aggregations on these keys
+    need no exchange of it, and two tables with the same keys and buckets meet bucket by bucket. Its files go
+    with ``clear_scratch``, its entry in the catalog with the session or ``DROP TABLE``."""
+    spark, table = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    rows.option("path", scratch_dir(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 # ---------------------------------------------------------------- reading
 
 

@@ -94,3 +94,29 @@ def test_unknown_feature_is_an_error(spark):
 def test_name_status(spark):
     df = spark.createDataFrame([("*ST a",), (" st b",), ("c退",), ("d",), (None,)], "n string")
     assert [r.s for r in df.select(C.name_status("n").alias("s")).collect()] == [2, 1, 2, 0, 0]
+
+
+def test_figures_are_seen_while_writing(spark, bars):
+    from crossweave.operators import aggregates as A
+    from crossweave.sources import datasets
+
+    tracker, group = spark.sparkContext.statusTracker(), "observed-write"
+    spark.sparkContext.setJobGroup(group, "")
+    out, figures = datasets.materialize_counted(bars, "counted", {**A.match_figures(["close", "pre_close"]), **A.null_figures(["pre_close"])})
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert jobs == 1 and figures == {"rows": bars.count(), "close_matched": bars.count(), "pre_close_matched": bars.where("pre_close is not null").count(),
+                                     "pre_close_nulls": bars.where("pre_close is null").count()}
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, bars.collect()), key=str)
+
+
+def test_bucketed_tables_meet_without_an_exchange(spark, bars):
+    from crossweave.sources import datasets
+
+    keys = ["trade_date", "ts_code"]
+    a = datasets.materialize_bucketed(bars.select(*keys, "close"), "left", keys, 4)
+    b = datasets.materialize_bucketed(bars.where("vol > 50").select(*keys, "vol"), "right", keys, 4)
+    joined = a.join(b.hint("merge"), keys, "left")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    want = bars.select(*keys, "close").join(bars.where("vol > 50").select(*keys, "vol"), keys, "left")
+    assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
