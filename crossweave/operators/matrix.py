@@ -150,6 +150,27 @@ class WindowModel:
     def transform(self, rows: DataFrame) -> DataFrame:
         return self.trees.transform(filled_features(rows, self.fills))
 
+    def score_sql(self) -> str:
+        """The forest as one SQL expression over the feature columns, missing and infinite values filled: what another engine,
+        or a session without the model, needs to score rows."""
+        names = {i: f"(CASE WHEN abs(`{c}`) < CAST('Infinity' AS DOUBLE) THEN `{c}` ELSE {float(v)!r}D END)" for i, (c, v) in enumerate(self.fills.items())}
+
+        def text(node) -> str:
+            if node.getClass().getSimpleName() == "LeafNode":
+                return f"{node.prediction()!r}D"
+            split = node.split()
+            return f"CASE WHEN {names[split.featureIndex()]} <= {split.threshold()!r}D THEN {text(node.leftChild())} ELSE {text(node.rightChild())} END"
+
+        trees = zip(self.trees._java_obj.trees(), self.trees.treeWeights, strict=True)
+        return " + ".join(f"{float(w)!r}D * ({text(t.rootNode())})" for t, w in trees)
+
+    def score(self, rows: DataFrame, most_nodes: int = 2000) -> DataFrame:
+        """``rows`` with ``score``. Up to ``most_nodes`` nodes the forest is one expression inside the query's own generated code; a larger
+        one is scored by the model, as its code would not be compiled."""
+        if self.trees.totalNumNodes > most_nodes:
+            return self.transform(rows).drop("features")
+        return rows.withColumn("score", F.expr(self.score_sql()))
+
 
 def filled_features(rows: DataFrame, fills: Mapping[str, float]) -> DataFrame:
     """Features as one vector column; a missing or infinite one takes its fill value, so no row is lost."""
@@ -187,7 +208,7 @@ def fit_window_models(
 def predict_range(model: WindowModel, matrix: DataFrame, start: int, end: int, label: str | None = None) -> DataFrame:
     """Scores of a fitted model for a period: one per row, whatever features it lacks."""
     rows = matrix.where(F.col("trade_date").between(start, end))
-    return model.transform(rows).select(*KEY, "score", *([label] if label else []))
+    return model.score(rows).select(*KEY, "score", *([label] if label else []))
 
 
 def walk_forward_predictions(matrix: DataFrame, windows: Sequence[dict], models: dict, label: str) -> DataFrame:

@@ -1,5 +1,9 @@
 """Walk-forward windows, training matrix, dataset upkeep."""
 
+import re
+
+import numpy as np
+import pandas as pd
 import pytest
 from tests.frames import fetch
 from pyspark.sql import functions as F
@@ -120,3 +124,33 @@ def test_bucketed_tables_meet_without_an_exchange(spark, bars):
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
     want = bars.select(*keys, "close").join(bars.where("vol > 50").select(*keys, "vol"), keys, "left")
     assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_a_forest_as_sql_scores_like_the_model(spark):
+    import duckdb
+
+    from crossweave.operators import matrix as M
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (600, 3))
+    x[rng.random((600, 3)) < 0.1] = np.nan
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"])
+    pdf["label"] = np.where(pdf["a"].fillna(0) > 0.3, 2.0, 0.0) + pdf["b"].fillna(0) * 0.5
+    pdf["trade_date"] = 20200101 + np.arange(600) % 28
+    pdf["ts_code"] = [f"s{i}" for i in range(600)]
+    pdf.loc[5, "c"] = np.inf
+    df = spark.createDataFrame(pdf)
+    window = {"window": 0, "train_start": 20200101, "train_end": 20200114, "valid_start": 20200115, "valid_end": 20200121}
+    model = M.fit_window_models(df, [window], ["a", "b", "c"], "label", maxDepth=3, maxIter=5, seed=2)[0]
+    want = {r.ts_code: r.score for r in model.transform(df).collect()}
+    scored = model.score(df)
+    assert "Python" not in scored._jdf.queryExecution().executedPlan().toString()
+    got = {r.ts_code: r.score for r in scored.collect()}
+    assert got.keys() == want.keys() and len(set(got.values())) > 5
+    np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-12)
+    con = duckdb.connect()
+    con.register("rows", pdf)
+    sql = re.sub(r"(?<=\d)D\b", "::DOUBLE", model.score_sql()).replace("`", '"')
+    other = dict(con.execute(f"SELECT ts_code, {sql} FROM rows").fetchall())
+    np.testing.assert_allclose([other[k] for k in want], list(want.values()), rtol=1e-12)
+    assert {r.ts_code: r.score for r in model.score(df, most_nodes=1).collect()} == want
