@@ -10,7 +10,8 @@ and a plain window is the cheapest plan. Beyond it no task ever sees a whole gro
 * order positions come from a range partitioning by group and order, which splits a
   hot group and a hot value alike. Its slices are written once, so that every later
   step and every retried task sees the same slices; rows are numbered inside their
-  slice, and the sizes of the slices before it are added.
+  slice, and the sizes of the slices before it are added;
+* the last known value crosses slices as one row per group and slice.
 """
 
 from __future__ import annotations
@@ -65,6 +66,51 @@ def group_stats(
     return df.join(stats, keys, "left")
 
 
+def range_slices(df: DataFrame, keys: Sequence[str], sort: Sequence[Column | str], slice_rows: int | None = None) -> DataFrame:
+    """The rows range-partitioned by group and order and written once, with the number of their slice as ``_slice``.
+
+    Slices follow one another in (keys, sort); a hot group takes part in many of them. Rows equal in all of it share one.
+    """
+    slices = max(2, math.ceil(df.count() / slice_rows)) if slice_rows else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = df.repartitionByRange(max(2, slices), *keys, *sort).withColumn("_slice", F.spark_partition_id())
+    return materialize(split, "slices")
+
+
+def carry_last(
+    df: DataFrame,
+    keys: Sequence[str] | str,
+    order: Sequence[Column | str],
+    value: str,
+    out: str,
+    group_rows: int | None = None,
+    limit: int | None = None,
+    slice_rows: int | None = None,
+    ties: Sequence[Column | str] = (),
+) -> DataFrame:
+    """Last non-null ``value`` of the group up to and including each row; rows with a null key are a group of their own.
+
+    Rows equal in ``order`` come one after the other in no fixed order; ``ties`` lets slices divide many of them.
+    Beyond one task the last value is carried across range slices: each (group, slice) gives one row, the value that enters it is
+    looked up among these few, and joins the slice as a row ahead of it. No task sees more than its slice.
+    """
+    keys = _keys(keys)
+    if fits_one_task(df, keys, group_rows, limit):
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+    names = [f"_o{i}" for i in range(len(order))]
+    split = range_slices(df.withColumns(dict(zip(names, [col(o) for o in order]))), keys, [*names, *ties], slice_rows)
+    place = F.struct(*names) if len(names) > 1 else F.col(names[0])
+    # a missing place sorts first; as a lone order it would be skipped, inside a struct it is not
+    newest = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(place.alias("p"))))
+    left_behind = split.groupBy(*keys, "_slice").agg(newest.alias("_left"))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    entering = left_behind.select(*keys, "_slice", F.last("_left", ignorenulls=True).over(earlier).alias(value), F.lit(0).alias("_body"))
+    both = split.withColumn("_body", F.lit(1)).unionByName(entering, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_slice").orderBy("_body", *names).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn(out, F.last(value, ignorenulls=True).over(w)).where("_body = 1")
+    return seen.select(*[F.col(f"`{c}`") for c in df.columns if c != out], out)
+
+
 def order_position(
     df: DataFrame,
     keys: Sequence[str] | str,
@@ -90,9 +136,7 @@ def order_position(
         w = Window.partitionBy(*keys).orderBy(*sort(names))
         return keyed.withColumn(out, F.row_number().over(w).cast("long")).drop(*names)
 
-    slices = max(2, math.ceil(df.count() / slice_rows)) if slice_rows else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = keyed.repartitionByRange(max(2, slices), *keys, *sort(names)).withColumn("_slice", F.spark_partition_id())
-    split = materialize(split, "slices")
+    split = range_slices(keyed, keys, sort(names), slice_rows)
     sizes = split.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

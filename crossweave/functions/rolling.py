@@ -3,17 +3,24 @@
 A series (one instrument, one industry, one user) holds at most one row per
 date, so its length is bounded by the calendar, not by the size of the data.
 All frames of one :class:`Series` share partitioning and order: Spark plans one
-exchange and one sort for them.
+exchange and one sort for them. :func:`by_blocks` takes windows of a known reach to
+series without that bound.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .columns import col, safe_div
+from .groups import fits_one_task, order_position
+
+#: rows of one key of a panel, two tables together: one row per date and table, over a century of days
+PANEL_ROWS = 100_000
+#: rows of a block of a series that is too long for one task
+BLOCK_ROWS = 100_000
 
 
 class Series:
@@ -119,3 +126,39 @@ def streak(df, cond: Column, out: str, keys="ts_code", order="trade_date"):
     df = df.withColumns({"_n": n, "_hit": F.coalesce(cond, F.lit(False))})
     missed = F.max(F.when(~F.col("_hit"), F.col("_n"))).over(s.so_far)
     return df.withColumn(out, (F.col("_n") - F.coalesce(missed, F.lit(0))).cast("double")).drop("_n", "_hit")
+
+
+def by_blocks(
+    df: DataFrame,
+    add: Callable[[DataFrame], DataFrame],
+    reach: int,
+    ahead: int = 0,
+    key: str = "ts_code",
+    order: Sequence[str] | str = "trade_date",
+    series_rows: int | None = None,
+    limit: int | None = None,
+    block_rows: int = BLOCK_ROWS,
+    slice_rows: int | None = None,
+) -> DataFrame:
+    """``add(df)`` for series of any length: a function that adds columns by row windows over ``key`` and ``order``.
+
+    ``add`` looks back at most ``reach`` rows and forward at most ``ahead``, keeps all other columns, and uses the key for nothing
+    but its windows. ``series_rows`` bounds the rows of one key (``None``: measured). Beyond one task the rows are numbered by range
+    slices and cut into blocks; each block also receives the last ``reach`` rows of the block before it and the first
+    ``ahead`` of the next, so a hot key spreads over as many tasks as it has blocks. ``order`` must be a total order of a key's rows.
+    """
+    if fits_one_task(df, key, series_rows, limit):
+        return add(df)
+    size = max(block_rows, reach, ahead, 1)
+    order = [order] if isinstance(order, str) else list(order)
+    placed = order_position(df, key, order, "_place", group_rows=1, limit=0, slice_rows=slice_rows)
+    own, inside = F.floor((F.col("_place") - 1) / size), (F.col("_place") - 1) % size
+    sent = F.array(
+        F.struct(own.alias("block"), F.lit(True).alias("own")),
+        F.when(inside >= size - reach, F.struct((own + 1).alias("block"), F.lit(False).alias("own"))),
+        F.when((inside < ahead) & (own > 0), F.struct((own - 1).alias("block"), F.lit(False).alias("own"))),
+    )
+    copies = placed.withColumn("_to", F.explode(F.filter(sent, lambda s: s.isNotNull()))).drop("_place")
+    # windows by the key become windows by key and block
+    blocks = copies.withColumn(key, F.struct(F.col(key).alias("key"), F.col("_to.block").alias("block"))).withColumn("_own", F.col("_to.own")).drop("_to")
+    return add(blocks).where("_own").withColumn(key, F.col(key)["key"]).drop("_own")

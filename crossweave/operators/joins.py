@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_date, as_int
+from ..functions.groups import carry_last
+from ..functions.rolling import PANEL_ROWS
 
 PANEL = ("trade_date", "ts_code")
 
@@ -37,12 +39,17 @@ def asof_join(
     left_on: str = "trade_date",
     right_on: str = "ann_date",
     tie: Sequence[str] = ("end_date",),
+    series_rows: int | None = PANEL_ROWS,
+    limit: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Latest record of the key known on the row's date (equal dates included).
 
     Both sides are laid into one stream per key and the last record is carried
-    forward: one exchange, no pair of rows is ever formed. A key holds at most one
-    row per date and side.
+    forward: one exchange, no pair of rows is ever formed. ``series_rows`` bounds the
+    rows of one key on both sides; the default holds for a panel (one row per date).
+    ``None`` has it measured: a stream too long for one task is then cut into range
+    slices and the last record carried across them (``carry_last``).
     """
     columns = list(columns)
     one = latest_per_date(right, by, right_on, columns, list(tie))
@@ -51,8 +58,9 @@ def asof_join(
     rows = left.select(F.col(by).alias("_k"), F.col(left_on).alias("_t"), F.lit(1).alias("_side"), carried.alias("_l"))
     recs = one.select(F.col(by).alias("_k"), F.col(right_on).alias("_t"), F.lit(0).alias("_side"), "_r")
     both = rows.unionByName(recs, allowMissingColumns=True)
-    w = Window.partitionBy("_k").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    # rows of one key and date may be many: their content divides them between slices
+    content = [F.col("_l")[f.name] for f in both.schema["_l"].dataType if "map<" not in f.dataType.simpleString()]
+    seen = carry_last(both, "_k", ["_t", "_side"], "_r", "_r", series_rows, limit, slice_rows, [F.xxhash64(*content)] if content else []).where("_side = 1")
     # the key columns keep their identity, so later work by instrument needs no new exchange
     own = {by: F.col("_k"), left_on: F.col("_t")}
     return seen.select(
@@ -61,11 +69,12 @@ def asof_join(
 
 
 def expiring_asof_join(
-    left: DataFrame, right: DataFrame, columns: Sequence[str], start: str = "in_date", end: str = "out_date"
+    left: DataFrame, right: DataFrame, columns: Sequence[str], start: str = "in_date", end: str = "out_date", series_rows: int | None = PANEL_ROWS
 ) -> DataFrame:
     """As-of on the start date, cleared once the record has ended."""
     cols = list(dict.fromkeys([start, end, *columns]))
-    df = asof_join(left, right.withColumn("_end", F.coalesce(F.col(end), F.lit(99991231))), cols, right_on=start, tie=["_end"])
+    ended = right.withColumn("_end", F.coalesce(F.col(end), F.lit(99991231)))
+    df = asof_join(left, ended, cols, right_on=start, tie=["_end"], series_rows=series_rows)
     live = F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col("trade_date")))
     return df.withColumns({c: F.when(live, F.col(c)) for c in cols})
 
@@ -105,15 +114,18 @@ def interval_join(
     end: str = "out_date",
     closed: str = "left",
     first: bool = False,
+    series_rows: int | None = PANEL_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
     """Record valid on the row's date, ``closed`` ``'left'`` (end excluded) or ``'both'``. Every left row stays once.
 
     Several live records: the latest start wins (``first``: the earliest), then the smaller values, nulls smallest.
     The records are turned into periods with one winner each, and the rows take the last period that began
-    (``asof_join``): no pairs of rows and records are formed. Dates are numbers in calendar order (YYYYMMDD).
+    (``asof_join``, which explains ``series_rows``): no pairs of rows and records are formed. Dates are numbers in calendar
+    order (YYYYMMDD).
     """
     periods = period_winners(right, columns, by, start, end, closed, first)
-    df = asof_join(left, periods, ["_best"], by=by, left_on=on, right_on="_from", tie=["_from"])
+    df = asof_join(left, periods, ["_best"], by=by, left_on=on, right_on="_from", tie=["_from"], series_rows=series_rows, limit=limit)
     return df.select(*left.columns, *[F.col("_best")[f"v{i}"].alias(c) for i, c in enumerate(columns)])
 
 

@@ -174,10 +174,21 @@ def observed_factors(fr: DataFrame, factors: Sequence[str], min_obs: int) -> lis
     return [f for i, f in enumerate(factors) if counts[i] >= min_obs]
 
 
+def _moments(rows, w):
+    """Running count, means and sum of cross products about the means of the ``rows`` of a pair with both values."""
+    both = rows & F.col("x").isNotNull() & F.col("y").isNotNull()
+    x, y = F.when(both, F.col("x")), F.when(both, F.col("y"))
+    n = F.count(x).over(w)
+    products = F.coalesce(F.covar_pop(x, y).over(w) * n, F.lit(0.0))
+    return F.struct(n.alias("n"), F.avg(x).over(w).alias("x"), F.avg(y).over(w).alias("y"), products.alias("c"))
+
+
 def rolling_covariance(fr: DataFrame, factors: Sequence[str], lookback: int = 252, min_obs: int = 60) -> DataFrame:
     """Sample covariance of complete rows among the last ``lookback`` dates, as (date, i, j, cov).
 
-    Factors with fewer than ``min_obs`` values are left out. Each factor pair is its own series, so the pairs spread over tasks.
+    Factors with fewer than ``min_obs`` values are left out. Dates are cut into stretches of ``lookback``. The last ``lookback`` dates
+    are the head of a date's own stretch and the tail of the one before: two running moments, merged around their means, so
+    nothing is subtracted from a sum. Work grows with dates × pairs, not with ``lookback``; pairs and stretches spread over tasks.
     """
     factors = observed_factors(fr, list(factors), min_obs)
     if not factors:
@@ -185,15 +196,26 @@ def rolling_covariance(fr: DataFrame, factors: Sequence[str], lookback: int = 25
     whole = F.lit(True)
     for f in factors:
         whole = whole & F.col(f"`{f}`").isNotNull()
-    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i:]]
+    at = F.row_number().over(Window.orderBy(DATE)) - 1
+    placed = fr.select(DATE, *[F.when(whole, F.col(f"`{f}`")).cast("double").alias(f"_x{i}") for i, f in enumerate(factors)], at.alias("_i"))
+    own = F.floor(F.col("_i") / lookback)
+    copies = placed.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
+    copies = copies.select("*", F.when(F.col("_own"), own).otherwise(own + 1).alias("_part"), (F.col("_i") % lookback).alias("_place"))
     structs = [
-        F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.when(whole, F.col(f"`{a}`")).alias("x"), F.when(whole, F.col(f"`{b}`")).alias("y"))
-        for a, b in pairs
+        F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"_x{i}").alias("x"), F.col(f"_x{j}").alias("y"))
+        for i, a in enumerate(factors) for j, b in enumerate(factors) if i <= j
     ]
-    long = fr.select(DATE, F.explode(F.array(*structs)).alias("p")).select(DATE, "p.*")
-    w = Window.partitionBy("i", "j").orderBy(DATE).rowsBetween(-(lookback - 1), 0)
-    n = F.count("x").over(w)
-    cov = long.withColumn("cov", F.when(n >= max(2, min_obs), F.covar_samp("x", "y").over(w))).where("cov IS NOT NULL")
+    long = copies.select(DATE, "_own", "_part", "_place", F.explode(F.array(*structs)).alias("p")).select(DATE, "_own", "_part", "_place", "p.*")
+    series = Window.partitionBy("i", "j", "_part")
+    grow = lambda *by: series.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    # own rows up to a place; rows of the stretch before it from that place on, the place itself left out
+    new = _moments(F.col("_own"), grow("_own", "_place"))
+    old = _moments(~F.col("_own"), grow(F.desc("_place"), F.desc("_own")))
+    sums = long.select(DATE, "i", "j", "_own", new.alias("a"), old.alias("b")).where("_own")
+    n = F.col("a.n") + F.col("b.n")
+    apart = F.coalesce((F.col("a.x") - F.col("b.x")) * (F.col("a.y") - F.col("b.y")), F.lit(0.0))
+    total = F.col("a.c") + F.col("b.c") + F.col("a.n") * F.col("b.n") / n * apart
+    cov = sums.where(n >= max(2, min_obs)).select(DATE, "i", "j", (total / (n - 1)).alias("cov")).where("cov IS NOT NULL")
     both = F.array(F.struct(F.col("i"), F.col("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
     mirrored = F.when(F.col("i") == F.col("j"), F.slice(both, 1, 1)).otherwise(both)
     return cov.select(DATE, "cov", F.explode(mirrored).alias("p")).select(
