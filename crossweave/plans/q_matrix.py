@@ -11,6 +11,7 @@ from ..operators import price_volume as PV
 from ..sources.datasets import materialize, materialize_bucketed, materialize_counted
 from .q_ic import ic_sql
 from .q_joins import HORIZONS_SQL, PIT, all_scores
+from .q_tables import ENHANCED, ENHANCED_NEEDS, ENHANCED_SQL, enhanced_table
 from .registry import query
 from .sqltext import BY, pct, roll
 
@@ -231,3 +232,35 @@ def _(m):
     w, x = M.walk_forward_windows(*_WARGS)[-1:], filled(m)
     models = M.fit_window_models(x, w, _MF, "label_1d", **_MODEL)
     return M.predict_range(models[w[0]["window"]], x, 20010101, 20011231)
+
+
+# ---------------------------------------------------------------- the whole factor list
+
+_FINITE = ", ".join(f"CASE WHEN isfinite({c}::DOUBLE) THEN {c} END AS {c}" for c in ENHANCED)
+
+
+def enhanced_matrix(m):
+    """Every enhanced factor beside the label: the matrix that models of the whole list learn from."""
+    return M.training_matrix(m.bars().select(*KEYS), {"factors": enhanced_table(m)}, labels(m), ENHANCED, "label_1d")
+
+
+@query(
+    "enhanced_training_matrix", "M2", needs=ENHANCED_NEEDS, doubles=" ".join([*ENHANCED, "label_1d"]),
+    sql=f"SELECT e.trade_date, e.ts_code, {_FINITE}, l.label_1d FROM ({ENHANCED_SQL}) e JOIN ({_LAB}) l ON l.trade_date = e.trade_date AND l.ts_code = e.ts_code WHERE l.label_1d IS NOT NULL",
+)
+def _(m):
+    return enhanced_matrix(m)
+
+
+def enhanced_predictions(m):
+    w, x = M.walk_forward_windows(*_WARGS), materialize(enhanced_matrix(m), "enhanced-matrix")
+    return M.walk_forward_predictions(x, w, M.fit_window_models(x, w, ENHANCED, "label_1d", **_MODEL), "label_1d")
+
+
+@query(
+    "enhanced_walk_forward_rows", "M7 M8", needs="bars",
+    sql=f"""SELECT l.trade_date, l.ts_code, w."window", 1 AS scored, label_1d FROM ({_LAB}) l JOIN ({windows_sql(False)}) w ON l.trade_date BETWEEN test_start AND test_end WHERE label_1d IS NOT NULL""",
+    doubles="label_1d",
+)
+def _(m):
+    return enhanced_predictions(m).select(*KEYS, "window", F.col("score").isNotNull().cast("int").alias("scored"), "label_1d")
