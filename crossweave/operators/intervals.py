@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_date, as_int
 from .clean import name_status
-from .joins import dense_calendar
+from .joins import dense_calendar, period_winners
 
 CLASSIFICATION_ORDER = ("ts_code", "name", "industry_code", "industry", "level", "src", "in_date", "out_date", "is_new")
 
@@ -20,23 +20,29 @@ def daily_name_status(names: DataFrame, extend_to: int | None = None, source_ord
     An open interval runs to the latest known date (or ``extend_to``). Where
     intervals overlap the latest start, then the latest announcement wins, then the row later in
     ``source_order`` (files have no order, so a column has to say it), then the higher status; days without any
-    interval are normal. An empty table has no days.
+    interval are normal. An empty table has no days. Intervals meet as periods with one winner each; only these
+    unfold to days, so no table of days is joined, grouped or broadcast.
     """
     span = names.agg(
         F.min("start_date").alias("lo"), F.greatest(F.max("start_date"), F.max("end_date"), F.max("ann_date")).alias("hi")
     ).first()
-    known = max(span["hi"] or 0, extend_to or 0)
-    iv = names.withColumns({"_end": F.coalesce("end_date", F.lit(known)), "_status": name_status("name")})
-    iv = iv.where(F.col("_end") >= F.col("start_date"))
-    days = F.sequence(as_date("start_date"), as_date("_end"))
+    lo, known = (span["lo"], max(span["hi"] or 0, extend_to or 0)) if span["lo"] else (19700101, 19700101)
+    day = lambda x: F.unix_date(as_date(x))
     later = (F.col(source_order) if source_order else F.lit(0)).alias("_later")
-    events = iv.select("ts_code", "_status", "start_date", "ann_date", later, F.explode(days).alias("_day"))
-    events = events.withColumn("trade_date", as_int(F.col("_day")))
-    order = F.struct("start_date", "ann_date", "_later", "_status")
-    latest = events.groupBy("trade_date", "ts_code").agg(F.max_by("_status", order).alias("_status"))
-    grid = dense_calendar(names, span["lo"] or 19700101, known if span["lo"] else 19700101)
+    ends = names.withColumn("_end", F.coalesce("end_date", F.lit(known))).where("_end >= start_date")
+    named = ends.select("ts_code", day("start_date").alias("_from"), (day("_end") + 1).alias("_to"), "ann_date", later, name_status("name").alias("_status"))
+    # every code is normal over the whole range, which any named interval beats
+    codes = names.select("ts_code").distinct()
+    normal = codes.where(F.col("ts_code").isNotNull()).select("ts_code", day(F.lit(lo)).alias("_from"), (day(F.lit(known)) + 1).alias("_to"), F.lit(0).alias("_status"))
+    live = period_winners(
+        named.unionByName(normal, allowMissingColumns=True), ["_status"], "ts_code", "_from", "_to", bucket=366, ties=["ann_date", "_later", "_status"]
+    )
+    until = F.lead("_from").over(Window.partitionBy("ts_code").orderBy("_from"))
+    held = live.withColumn("_until", until).where("_until is not null").select("ts_code", F.col("_best.v0").alias("_status"), F.explode(F.sequence("_from", F.col("_until") - 1)).alias("_day"))
+    unknown = dense_calendar(codes.where(F.col("ts_code").isNull()), lo, known).withColumn("_status", F.lit(0))
+    days = held.select(as_int(F.date_from_unix_date("_day")).alias("trade_date"), "ts_code", "_status").unionByName(unknown)
     status = F.coalesce("_status", F.lit(0))
-    return grid.join(latest, ["trade_date", "ts_code"], "left").select(
+    return days.select(
         "trade_date",
         "ts_code",
         (status == 0).cast("tinyint").alias("no_st_stock"),

@@ -81,6 +81,7 @@ def expiring_asof_join(
 
 def period_winners(
     right: DataFrame, columns: Sequence[str], by: str, start: str, end: str, closed: str = "left", first: bool = False, bucket: int = 10_000,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """(``by``, ``_from``, ``_best``): the record that holds for a key from a date on until the next ``_from``; null where none
     does. ``_best`` has the fields v0, v1, ….
@@ -92,16 +93,19 @@ def period_winners(
     """
     until = F.col(end) + F.lit(1 if closed == "both" else 0)  # no date lies between a number and the next one
     value = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    if ties:  # of records that begin together the one greatest in ``ties``, a null least
+        value = F.struct(F.struct(*ties).alias("t"), value.alias("v"))
+    least = F.max if ties else F.min
     one = right.where(F.col(start).isNotNull()).select(F.col(by).alias("_k"), F.col(start).alias("_s"), until.alias("_e"), value.alias("_v"))
-    one = one.where(F.col("_k").isNotNull() & (F.col("_e").isNull() | (F.col("_s") < F.col("_e")))).groupBy("_k", "_s", "_e").agg(F.min("_v").alias("_v"))
+    one = one.where(F.col("_k").isNotNull() & (F.col("_e").isNull() | (F.col("_s") < F.col("_e")))).groupBy("_k", "_s", "_e").agg(least("_v").alias("_v"))
     points = one.select("_k", F.explode(F.array("_s", "_e")).alias("_from")).where("_from is not null").distinct()
     last = points.groupBy("_k").agg(F.max("_from").alias("_last"))
     place = lambda c: F.floor(c / bucket)
     spread = one.join(last, "_k").withColumn("_b", F.explode(F.sequence(place(F.col("_s")), place(F.coalesce("_e", "_last")))))
     live = points.withColumn("_b", place(F.col("_from"))).join(spread, ["_k", "_b"]).where((F.col("_s") <= F.col("_from")) & (F.col("_e").isNull() | (F.col("_from") < F.col("_e"))))
-    order = F.col("_s") if first else -F.col("_s")
-    best = live.groupBy("_k", "_from").agg(F.min(F.struct(order.alias("o"), F.col("_v").alias("v"), F.col("_e").alias("e"))).alias("_w"))
-    return points.join(best, ["_k", "_from"], "left").select(F.col("_k").alias(by), "_from", F.col("_w.v").alias("_best"))
+    order = F.col("_s") if first != bool(ties) else -F.col("_s")
+    best = live.groupBy("_k", "_from").agg(least(F.struct(order.alias("o"), F.col("_v").alias("v"), F.col("_e").alias("e"))).alias("_w"))
+    return points.join(best, ["_k", "_from"], "left").select(F.col("_k").alias(by), "_from", F.col("_w.v.v" if ties else "_w.v").alias("_best"))
 
 
 def interval_join(

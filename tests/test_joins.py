@@ -89,3 +89,20 @@ def test_stitch_later_frame_wins(spark):
     b = spark.createDataFrame([(2, "a", 9.0)], "trade_date int, ts_code string, v double")
     got = I.stitch_keep_last([a, b], ["trade_date", "ts_code"]).orderBy("trade_date").collect()
     assert [r.v for r in got] == [1.0, 9.0]
+
+
+def test_daily_status_unfolds_periods_without_a_join_of_days(spark):
+    schema = "ts_code string, name string, start_date int, end_date int, ann_date int"
+    rows = [
+        ("a", "ST x", 20200105, 20200120, None), ("a", "*ST x", 20200105, 20200110, 20200105), ("a", "x", 20200112, 20200113, 20200112),
+        ("a", "ST x", 20200105, 20200120, None), ("b", "*ST y", 20200301, 20200201, 20200301), (None, "ST z", 20200101, 20200331, 20200101),
+    ]
+    df = I.daily_name_status(spark.createDataFrame(rows, schema))
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = next(i for i, line in enumerate(plan) if "Generate" in line)
+    assert not any("Join" in line for line in plan[:first])
+    got = {(r.ts_code, r.trade_date): r.st_stock + 2 * r.star_st_stock for r in df.collect()}
+    assert len(got) == df.count() == 3 * 91
+    a = {d: s for (c, d), s in got.items() if c == "a"}
+    assert [a[20200100 + d] for d in range(4, 16)] == [0, 2, 2, 2, 2, 2, 2, 1, 0, 0, 1, 1] and a[20200121] == 0
+    assert not any(s for (c, _), s in got.items() if c != "a")
