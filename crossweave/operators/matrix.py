@@ -124,15 +124,16 @@ def assign_windows(df: DataFrame, windows: Sequence[dict]) -> DataFrame:
 
 
 def sample_weights(df: DataFrame, label: str, floor: float, power: float, keys: Sequence[str] = ("window",)) -> DataFrame:
-    """Weights rising with the label, mean one per window. Window statistics are aggregated and joined back."""
+    """Weights rising with the label, mean one per window. Window statistics, one row per window of a short list, are broadcast:
+    an exchange by window would gather all its rows in one task."""
     keys = list(keys)
     st = df.groupBy(*keys).agg(F.min(label).alias("_lo"), F.max(label).alias("_hi"))
-    df = df.join(st, keys)
+    df = df.join(F.broadcast(st), keys)
     span = F.col("_hi") - F.col("_lo")
     share = F.when(span >= 1e-9, (F.col(label) - F.col("_lo")) / F.nullif(span, F.lit(0.0)))
     df = df.withColumn("_w", F.when(share.isNotNull(), floor + F.pow(share, F.lit(power)) * (1 - floor)).otherwise(1.0))
     mean = df.groupBy(*keys).agg(F.avg("_w").alias("_mean"))
-    return df.join(mean, keys).withColumn("sample_weight", F.col("_w") / F.col("_mean")).drop("_lo", "_hi", "_w", "_mean")
+    return df.join(F.broadcast(mean), keys).withColumn("sample_weight", F.col("_w") / F.col("_mean")).drop("_lo", "_hi", "_w", "_mean")
 
 
 def group_sizes(df: DataFrame, key: str = "trade_date") -> DataFrame:
