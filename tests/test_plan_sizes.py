@@ -21,7 +21,8 @@ def test_sample_weights_move_no_rows_by_window(spark):
     try:
         df = spark.createDataFrame([(w, float(i)) for w in (0, 1) for i in range(10)] + [(None, 1.0)], "window int, label double")
         out = M.sample_weights(df, "label", 0.5, 1.0)
-        assert optimized(out).count("rightHint=(strategy=broadcast)") == 2
+        plan = optimized(out)
+        assert plan.count("rightHint=(strategy=broadcast)") == plan.count("Join Inner") > 0
         got = out.groupBy("window").avg("sample_weight").collect()
         assert sorted(r[0] for r in got) == [0, 1] and all(abs(r[1] - 1) < 1e-12 for r in got)
     finally:
