@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import as_date, clip, safe_div
 from ..functions.groups import group_quantiles, with_quantiles
 from ..functions.rolling import pair_corr, unbiased_kurtosis, unbiased_skew
+from ..sources.datasets import materialize
 
 
 def suspend_daily(raw: DataFrame) -> DataFrame:
@@ -93,10 +94,12 @@ def global_winsorize(
     df: DataFrame, columns: Sequence[str], lo: float = 0.01, hi: float = 0.99,
     tiebreak: Sequence[str] = ("trade_date", "ts_code"), total_rows: int | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """Clip to quantiles of the whole batch."""
+    """Clip to quantiles of the whole batch. Each column's quantiles read the rows several times, so these are written once."""
+    df = materialize(df, "batch")
+    rows = df.count() if total_rows is None else total_rows
     for c in columns:
         df = with_quantiles(
-            df, c, [], {"_lo": lo, "_hi": hi}, group_rows=total_rows, tiebreak=list(tiebreak), limit=limit
+            df, c, [], {"_lo": lo, "_hi": hi}, group_rows=rows, tiebreak=list(tiebreak), limit=limit
         )
         df = df.withColumn(c, clip(c, F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
     return df
