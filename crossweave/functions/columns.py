@@ -32,6 +32,16 @@ def finite(x: Column | str) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """``round(x, digits)`` of a double, value for value; only what lies near a tie, or is large, goes through decimal text."""
+    x = col(x)
+    scale = 10.0**digits
+    shifted = x * F.lit(scale)
+    whole = F.floor(shifted)
+    clear = (F.abs(shifted) < 1e12) & (F.abs(shifted - whole - 0.5) > 1e-3)
+    return F.when(clear, F.floor(shifted + 0.5) / F.lit(scale)).otherwise(F.round(x, digits))
+
+
 def to_numeric(x: Column | str) -> Column:
     """Double, null where the text is not a number."""
     return finite(col(x).try_cast("double"))
@@ -93,7 +103,7 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(finite(f.name) + nudge, digits).alias(f.name))
+            out.append(rounded(finite(f.name) + nudge, digits).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

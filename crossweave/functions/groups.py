@@ -19,6 +19,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -223,6 +225,22 @@ def group_quantiles(
     return placed.where(wanted).groupBy(*keys).agg(*picks).select(*keys, *outs)
 
 
+def _interpolated(q: float):
+    """Aggregate over a window: exact quantile of the non-null values, linear between two as ``percentile`` has it."""
+
+    def pick(v: pa.Array) -> float:
+        x = v.drop_null().to_numpy(zero_copy_only=False)
+        if not len(x):
+            return None
+        h = (len(x) - 1) * q
+        lo, hi = math.floor(h), math.ceil(h)
+        x = np.partition(x, [lo, hi])
+        a, b = float(x[lo]), float(x[hi])
+        return a if lo == hi or a == b else (hi - h) * a + (h - lo) * b
+
+    return F.arrow_udf(pick, "double")
+
+
 def with_quantiles(df, x, keys, quantiles, group_rows=None, tiebreak="ts_code", limit=None, slice_rows=None) -> DataFrame:
     """Add the group's quantiles of one column to every row."""
     return with_column_quantiles(df, {x: quantiles}, keys, group_rows, tiebreak, limit, slice_rows)
@@ -239,7 +257,8 @@ def with_column_quantiles(
 ) -> DataFrame:
     """Add quantiles of several columns: column → {output name: quantile}. Rows with a null key get nulls.
 
-    Groups that fit one task share a single window; no key means the whole table.
+    Groups that fit one task share a single window, whose columns are selected from as arrays of numbers: a map of
+    boxed values per column, as ``percentile`` keeps, would outgrow the task. No key means the whole table.
     """
     keys = _keys(keys)
     if not keys:
@@ -251,16 +270,9 @@ def with_column_quantiles(
         return df.drop("_all")
     if fits_one_task(df, keys, group_rows, limit):
         w = Window.partitionBy(*keys)
-        arrays = {
-            f"_q{i}": F.percentile(F.col(x), F.array(*[F.lit(float(q)) for q in qs.values()])).over(w)
-            for i, (x, qs) in enumerate(wanted.items())
-        }
-        df = df.withColumns(arrays)
         known = _known(keys)
-        out = {
-            n: F.when(known, F.get(f"_q{i}", F.lit(k))) for i, qs in enumerate(wanted.values()) for k, n in enumerate(qs)
-        }
-        return df.withColumns(out).drop(*arrays)
+        out = {n: _interpolated(q)(F.col(x).cast("double")).over(w) for x, qs in wanted.items() for n, q in qs.items()}
+        return df.withColumns(out).withColumns({n: F.when(known, F.col(n)) for n in out})
     # all columns in one long table: one range partitioning, one offsets table, one join back
     tie = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
     columns = list(wanted)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.columns import rounded
 from ..operators import cross_section as X
 from ..operators import factor_plan as FP
 from ..operators import fundamental as FU
@@ -71,8 +72,8 @@ _PROCESSED = z_sql(winsor_sql(f"SELECT trade_date, ts_code, {_R6} FROM ({_FLOW_S
     sql=f"SELECT trade_date, ts_code, {', '.join(f'{c} AS {c}_cc_processed' for c in _CONTINUOUS)} FROM ({_PROCESSED})",
 )
 def _(m):
-    rounded = flow_table(m).select(*KEYS, *[F.round(F.col(c) + 3.71728349e-9, 6).alias(c) for c in _CONTINUOUS])
-    return X.process_factors(rounded, _CONTINUOUS, group_rows=m.names).select(*KEYS, *[f"{c}_cc_processed" for c in _CONTINUOUS])
+    table = flow_table(m).select(*KEYS, *[rounded(F.col(c) + 3.71728349e-9, 6).alias(c) for c in _CONTINUOUS])
+    return X.process_factors(table, _CONTINUOUS, group_rows=m.names).select(*KEYS, *[f"{c}_cc_processed" for c in _CONTINUOUS])
 
 
 _REPORT = ["quarterly_changes", "quality_ratios", "report_stability", "yearly_changes", "balance_ratios"]

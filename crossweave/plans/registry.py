@@ -24,12 +24,17 @@ class Query:
     digits: int
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", LARGEST_METHOD)
         return round_doubles(self.build(Market(spark, sf_dir)), self.digits)
 
     def oracle(self) -> str | None:
         return None if self.sql is None else with_tables(self.sql, self.needs, self.doubles, self.recursive, self.digits)
 
 
+# HotSpot never compiles a method beyond this size: a stage that would need one runs without whole-stage code instead
+LARGEST_METHOD = "8000"
+
+
 REGISTRY: dict[str, Query] = {}
 
 

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_int, safe_div
+from ..functions.columns import as_int, col, rounded, safe_div
 from ..functions.rolling import Series
 
 # Report columns made as linear mixes of the aggregated ones.
@@ -52,7 +52,7 @@ REPORT_MIXES: dict[str, str] = {
 
 def _r6(x) -> Column:
     """Six digits; the nudge settles exact decimal ties whatever the summing order."""
-    return F.round((F.col(x) if isinstance(x, str) else x) + 3.71728349e-9, 6)
+    return rounded(col(x) + 3.71728349e-9, 6)
 
 
 def _code(suppkey) -> Column:
