@@ -222,14 +222,18 @@ class Market:
                 "src_row": F.col("end_date").cast("long") * 10,
             }
         )
-        copies = text.where(F.col("suppkey") % 7 == 0).withColumn("src_row", F.col("src_row") + 1)
-        bad = text.where(F.col("suppkey") % 11 == 0).withColumns(
-            {"ann_date": F.col("end_date"), "src_row": F.col("src_row") + 2}
+        # one pass over the reports: each row becomes its variants. Dates leave the generator, so that what is asked of
+        # them is asked of reports and does not move down to the order lines
+        variant = lambda n, ann: F.struct(F.lit(n).alias("n"), ann.alias("ann"), F.col("end_date").alias("end"))
+        variants = F.array(
+            variant(0, F.col("ann_date")),
+            F.when(F.col("suppkey") % 7 == 0, variant(1, F.col("ann_date"))),
+            F.when(F.col("suppkey") % 11 == 0, variant(2, F.col("end_date"))),
+            F.when(F.col("suppkey") % 13 == 0, variant(3, F.lit("2020-13-45"))),
         )
-        unparsable = text.where(F.col("suppkey") % 13 == 0).withColumns(
-            {"ann_date": F.lit("2020-13-45"), "src_row": F.col("src_row") + 3}
-        )
-        return text.unionByName(copies).unionByName(bad).unionByName(unparsable)
+        rows = text.withColumn("_v", F.explode(F.filter(variants, lambda v: v.isNotNull())))
+        changed = {"ann_date": F.col("_v.ann"), "end_date": F.col("_v.end"), "src_row": F.col("src_row") + F.col("_v.n")}
+        return rows.withColumns(changed).drop("_v")
 
     def industry_members(self) -> DataFrame:
         """Two membership intervals per instrument; every 13th instrument has none."""

@@ -53,3 +53,10 @@ def test_queries_leave_out_methods_too_large_to_compile(spark):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     queries()["latest_factor"](spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
+
+
+def test_dirty_reports_read_the_lines_once(spark):
+    from crossweave.sources.market import Market
+
+    plan = Market(spark, "/root/testdata/sf0.001").reports_dirty()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_shipdate") and plan.count("Relation [") == 1
