@@ -13,7 +13,7 @@ from .common import file_row, shared_table
 
 LEAST_DOCUMENTS, SCALE, TOP = 10, 1_000_000_000, 10
 #: (source, term) counts a task holds before it hands them on
-HELD_COUNTS = 300_000
+HELD_COUNTS = 800_000
 
 
 def _byte_table() -> bytes:
@@ -32,18 +32,20 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     by source.
 
     Copies are counted by the digest of their text, before any exchange and without the text; one row of each group then
-    brings the text, met by its place, so that a group of any size and its text are one row.
+    brings the text, met by its place, so that a group of any size and its text are one row. The groups grow with the
+    documents: both sides are sorted at any size, never broadcast.
     """
     copies = rows.select("lang", "source", F.sha2("text", 256).alias("digest"), "row")
     copies = copies.groupBy("lang", "digest", "source").agg(F.count("*").alias("n"), F.min("row").alias("row"))
     groups = copies.groupBy("lang", "digest").agg(F.min("row").alias("row"), F.collect_list(F.struct("source", "n")).alias("sources"))
     groups = shared_table(groups.select("row", "sources"), "text-groups")
-    return rows.select("lang", "text", "row").join(groups, "row").select("lang", "text", "sources")
+    return rows.select("lang", "text", "row").join(groups.hint("merge"), "row").select("lang", "text", "sources")
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
     """(lang, source, term, n, documents): occurrences and documents of every term, copies weighted. Each distinct text
-    is cut into terms once; tasks add up before the exchange."""
+    is cut into terms once; tasks add up before the exchange, which brings all sources of a term together, so that sums
+    over them need no other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _byte_table()
@@ -78,7 +80,7 @@ def term_counts(texts: DataFrame) -> DataFrame:
         yield from rows()
 
     part = texts.mapInArrow(run, "lang string, source string, term string, n long, documents long")
-    return part.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    return part.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
@@ -112,9 +114,9 @@ def source_divergence(
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     columns = [blank(lang_col).alias("lang"), blank(source_col).alias("source"), blank(text_col).alias("text")]
     rows = shared_table(docs.select(*columns), "audited").select("*", file_row().alias("row")) if row is None else docs.select(*columns, row.alias("row"))
-    counts = shared_table(term_counts(distinct_texts(rows)), "term-counts")
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("documents").alias("documents")).where(F.col("documents") >= least_documents)
-    kept = shared_table(counts.drop("documents").join(whole.drop("documents"), ["lang", "term"]), "kept-terms")
+    by_lang = Window.partitionBy("lang", "term")
+    counts = term_counts(distinct_texts(rows)).withColumns({"all": F.sum("n").over(by_lang), "documents": F.sum("documents").over(by_lang)})
+    kept = shared_table(counts.where(F.col("documents") >= least_documents).drop("documents"), "kept-terms")
     langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.count_distinct("term").alias("kept"))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.count("*").alias("held"))
     groups = rows.select("lang", "source").distinct().join(langs, "lang", "left").join(sums, ["lang", "source"], "left").na.fill(0, ["lang_n", "kept", "n", "held"])

@@ -4,7 +4,10 @@ from collections import Counter
 import random
 import re
 
-from crossweave.llm.divergence import distinct_texts, source_divergence, terms
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from crossweave.llm.divergence import distinct_texts, source_divergence, term_counts, terms
 from crossweave.llm.common import file_row
 
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -77,3 +80,12 @@ def test_copies_are_one_row(spark, tmp_path):
     found = distinct_texts(spark.read.parquet(str(tmp_path / "d")).select("*", file_row().alias("row"))).collect()
     assert sorted((r.lang, r.text, sorted((s.source, s.n) for s in r.sources)) for r in found) == [
         ("de", "same", [("a", 1)]), ("en", "other", [("a", 1)]), ("en", "same", [("a", 50), ("b", 2)])]
+
+
+def test_sums_over_the_sources_of_a_term_need_no_second_exchange(spark):
+    texts = spark.createDataFrame([("en", "b a a", [("x", 1), ("y", 2)]), ("en", "a", [("y", 1)])], "lang string, text string, sources array<struct<source string, n long>>")
+    by_term = Window.partitionBy("lang", "term")
+    sums = term_counts(texts).withColumn("all", F.sum("n").over(by_term))
+    assert sums._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, sums.collect())) == [
+        ("en", "x", "a", 2, 1, 7), ("en", "x", "b", 1, 1, 3), ("en", "y", "a", 5, 3, 7), ("en", "y", "b", 2, 2, 3)]
