@@ -55,19 +55,28 @@ def membership_snapshot(members: DataFrame, dates: DataFrame) -> DataFrame:
     """Industry of each code on each date.
 
     Several live records: the current flag first, then the latest entry, then the code.
-    The record's days are restricted to the wanted dates before they are unfolded, so a
-    code contributes one row per date it is live.
+    The winner of a code changes only on dates where one of its records begins or ends, so records meet these dates alone; each
+    winner is unfolded to the wanted dates until the next change, and no table of days is moved or sorted.
     """
     d = dates.select("trade_date").distinct()
-    cal = d.agg(F.sort_array(F.collect_set("trade_date")).alias("_cal"))  # one row, bounded by the calendar
+    cal = d.agg(F.sort_array(F.collect_set("trade_date")).alias("_cal")).withColumn("_one", F.lit(0))  # one row, bounded by the calendar
     m = members.withColumns(
         {"_in": F.coalesce("in_date", F.lit(0)), "_out": F.coalesce("out_date", F.lit(99991231)), "_one": F.lit(0)}
     )
-    live = m.join(F.broadcast(cal.withColumn("_one", F.lit(0))), "_one").withColumn(
-        "trade_date", F.explode(F.filter("_cal", lambda t: (t >= F.col("_in")) & (t < F.col("_out"))))
-    )
-    w = Window.partitionBy("trade_date", "ts_code").orderBy(F.desc("is_new"), F.desc("_in"), F.asc("industry_code"))
-    return live.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_in", "_out", "_one", "_cal")
+    # places in the calendar: the first date of the record, and the first one after it
+    begins = F.size("_cal") - F.size(F.filter("_cal", lambda t: t >= F.col("_in")))
+    m = m.join(F.broadcast(cal), "_one").withColumns({"_begins": begins, "_ends": F.size(F.filter("_cal", lambda t: t < F.col("_out")))})
+    m = m.where("_begins < _ends").drop("_cal")
+    changes = m.select(F.col("ts_code").alias("_code"), F.explode(F.array("_begins", "_ends")).alias("_p"))
+    changes = changes.groupBy("_code").agg(F.collect_set("_p").alias("_changes"))
+    own = F.filter("_changes", lambda p: (p >= F.col("_begins")) & (p < F.col("_ends")))
+    live = m.join(changes, F.col("ts_code").eqNullSafe(F.col("_code"))).withColumn("_p", F.explode(own))
+    live = live.withColumn("_next", F.array_min(F.filter("_changes", lambda p: p > F.col("_p")))).drop("_code", "_changes")
+    w = Window.partitionBy("ts_code", "_p").orderBy(F.desc("is_new"), F.desc("_in"), F.asc("industry_code"))
+    best = live.repartition("ts_code", "_p").withColumn("_rn", F.row_number().over(w)).where("_rn = 1")  # a code of many records spreads
+    days = F.explode(F.slice("_cal", F.col("_p") + 1, F.col("_next") - F.col("_p")))
+    unfolded = best.join(F.broadcast(cal), "_one").withColumn("trade_date", days)
+    return unfolded.drop("_rn", "_in", "_out", "_one", "_cal", "_begins", "_ends", "_p", "_next")
 
 
 def calendar_days(spark, start: int, end: int) -> DataFrame:
