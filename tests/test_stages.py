@@ -69,3 +69,17 @@ def test_operators_together_equal_operators_alone_without_sliding_frames(spark):
     for s in steps:
         alone = s.add(bars).orderBy(*keys).select(*s.outputs).collect()
         assert [tuple(r[o] for o in s.outputs) for r in got] == [tuple(r) for r in alone], s.outputs
+
+
+def test_sums_in_order_are_those_of_plain_windows(spark):
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(i, "a", rnd.choice([0.1, -0.1, 0.2, -0.2, 0.3, -0.3, None])) for i in range(400)], "trade_date int, ts_code string, x double")
+    w5, w15 = Series().frame(-4), Series().frame(-19, -5)
+
+    def asked():
+        five, fifteen = yield [S.mean("x", 5, 3), S.mean("x", 15, 8, back=5, in_order=True)]
+        return {"five": five, "fifteen": fifteen}
+
+    got = S.together(df, [asked()])
+    plain = {"p5": F.when(F.count("x").over(w5) >= 3, F.avg("x").over(w5)), "p15": F.when(F.count("x").over(w15) >= 8, F.avg("x").over(w15))}
+    assert got.withColumns(plain).where("not (five <=> p5) or not (fifteen <=> p15)").count() == 0
